@@ -7,10 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hydrospark.session import ship, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; the path may be in any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["shared_path", "shared_root", "ship", "stored", "table"]
 
 
 def shared_root(spark: SparkSession) -> str:
