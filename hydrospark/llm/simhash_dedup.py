@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from hydrospark.llm.common import stored, table
-from hydrospark.llm.components import components
+from hydrospark.operators.graph import components
 
 RADIUS = 3
 WORDS = 3

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,10 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that a shard takes, about.
 SHARD_BYTES = 64 << 20
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers, at least and, twice, at most.
+CACHE_WORDS = 500_000
+#: Bytes of text that are cut into words at once.
+AT_ONCE = 8 << 20
 GAMMA = 1.7
 _TAIL = struct.Struct("<8sQQQQB")
 _MAGIC = b"HSTOKEN1"
@@ -52,30 +55,124 @@ _NULL = -(1 << 63)
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary cuts texts at white space before anything else, so words between ASCII
-    blanks are encoded one by one and their ids remembered.
+    The vocabulary cuts texts at white space, lower-cases and parts letters from marks before
+    anything else, so words between ASCII blanks are encoded one by one and their ids
+    remembered.  Words are cut and numbered by Arrow, a few megabytes of text at once.
+    New words of letters go to the tokenizer many in one text; as each ends with an
+    end-of-word id, the ids are cut there.  Where the count of ends does not fit, and for
+    words of anything else, each goes to the tokenizer by itself.
     """
 
     def __init__(self, vocabulary: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.last = np.zeros(size, bool)  # ids that end a word
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
 
     def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            fresh = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, coded)}
-            if len(known) + len(fresh) <= CACHE_WORDS:
-                known.update(fresh)
-            else:  # full: what is known stays, the rest is encoded each time
-                return b"".join([known[w] if w in known else fresh[w] for w in words]) + self.end
-        return b"".join([known[w] for w in words]) + self.end
+        return next(self.many(pa.array([text], pa.string())))
+
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, with the end id."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        start, size = 0, 0
+        for k, n in enumerate(sizes.tolist()):
+            if size and size + n > AT_ONCE:
+                yield from self._some(texts.slice(start, k - start))
+                start, size = k, 0
+            size += n
+            if n > AT_ONCE:
+                yield b"".join(x[: -len(self.end)] for piece in _cut(texts[k].as_py()) for x in self._some(pa.array([piece]))) + self.end
+                start, size = k + 1, 0
+        yield from self._some(texts.slice(start))
+
+    def _some(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = pc.fill_null(texts, "")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        numbered = lists.flatten().dictionary_encode()
+        ids = self._ids_of(numbered.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        first = np.cumsum(length) - length
+        word = numbered.indices.to_numpy(zero_copy_only=False)
+        each = length[word]
+        before = np.concatenate(([0], np.cumsum(each)))
+        out = np.frombuffer(b"".join(ids), self.kind)[np.repeat(first[word] - before[:-1], each) + np.arange(before[-1])]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        a = 0
+        for b in before[ends].tolist():
+            yield out[a:b].tobytes() + self.end
+            a = b
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:  # the older half of what is known goes
+            self.older, self.known = self.known, {"": b""}
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self._learn(new)
+        return [known[w] for w in words]
+
+    def _learn(self, new: list[str]) -> None:
+        known, rest, marked = self.known, [], []
+        plain: dict[str, None] = {}
+        for w in new:
+            c = w.rstrip(".,")
+            if not c.isalpha():
+                rest.append(w)
+                continue
+            if c in self.older:
+                known[c] = self.older[c]
+            if c not in known:
+                plain[c] = None
+            if c is not w and len(c) != len(w):
+                marked.append((w, c))
+        self._encode_letters(list(plain))
+        marks = {w[len(c) :] for w, c in marked}
+        self._encode_each(rest + [m for m in marks if m not in known])
+        for w, c in marked:
+            known[w] = known[c] + known[w[len(c) :]]
+
+    def _encode_letters(self, words: list[str]) -> None:
+        parts = [words[k : k + 50] for k in range(0, len(words), 50)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        w = self.kind.itemsize
+        for part, e in zip(parts, coded):
+            ids = np.array(e.ids, self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * w
+            if len(ends) != len(part):
+                self._encode_each(part)
+                continue
+            body, a = ids.tobytes(), 0
+            for word, b in zip(part, ends.tolist()):
+                self.known[word] = body[a:b]
+                a = b
+
+    def _encode_each(self, words: list[str]) -> None:
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, coded))
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A very long text in pieces that end at an ASCII blank, where there is one."""
+    a = 0
+    while a < len(text):
+        b = a + AT_ONCE // 4
+        while b < len(text) and text[b] not in " \t\n\x0b\x0c\r":
+            b += 1
+        yield text[a:b]
+        a = b
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -212,7 +309,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack = Encoder(vocabulary), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            ids = [pack.compress(encode(t)) for t in b.column("text").to_pylist()]
+            ids = [pack.compress(x) for x in encode.many(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(ids, pa.binary())], names=["k", "ids"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), "text").mapInArrow(run, "k long, ids binary")
