@@ -22,6 +22,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -42,11 +43,12 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that a shard takes, about.
 SHARD_BYTES = 64 << 20
-#: Words whose ids a worker remembers, at least and, twice, at most.
-CACHE_WORDS = 500_000
+#: Words and marks whose ids a worker remembers (about 25 bytes each).
+CACHE_PIECES = 1_500_000
 #: Bytes of text that are cut into words at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 GAMMA = 1.7
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TAIL = struct.Struct("<8sQQQQB")
 _MAGIC = b"HSTOKEN1"
 _NULL = -(1 << 63)
@@ -56,25 +58,33 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary cuts texts at white space, lower-cases and parts letters from marks before
-    anything else, so words between ASCII blanks are encoded one by one and their ids
-    remembered.  Words are cut and numbered by Arrow, a few megabytes of text at once.
-    New words of letters go to the tokenizer many in one text; as each ends with an
-    end-of-word id, the ids are cut there.  Where the count of ends does not fit, and for
-    words of anything else, each goes to the tokenizer by itself.
+    anything else, so words between ASCII blanks are encoded one by one, the ASCII marks that end
+    a word by themselves, and their ids are remembered.  Words are cut,
+    numbered and looked up by Arrow, a few megabytes of text at once.  New words of letters go to
+    the tokenizer many in one text; as each ends with an end-of-word id, the ids are cut there.
+    Where the count of ends does not fit, and for words of anything else, each goes to the
+    tokenizer by itself.
     """
 
     def __init__(self, vocabulary: str, end_id: int = END_ID):
+        # Spark's tasks are the parallelism; threads within one would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         size = max(self.tokenizer.get_vocab_size(), end_id + 1)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
         self.last = np.zeros(size, bool)  # ids that end a word
         for token, k in self.tokenizer.get_vocab().items():
             self.last[k] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        """The known pieces: their texts, their ids one after the other, and where each one's begin."""
+        self.pieces = pa.array([""], pa.string())
+        self.ids = np.zeros(0, self.kind)
+        self.starts = np.zeros(2, np.int64)
 
     def __call__(self, text: str | None) -> bytes:
         return next(self.many(pa.array([text], pa.string())))
@@ -97,71 +107,68 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         numbered = lists.flatten().dictionary_encode()
-        ids = self._ids_of(numbered.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        first = np.cumsum(length) - length
+        words = numbered.dictionary
+        core = pc.utf8_rtrim(words, _MARKS)
+        core = pc.if_else(pc.and_not(pc.match_substring_regex(core, r"[\pL\pN]$"), pc.match_substring(words, "<|")), core, words)
+        mark = self._marks(words, core)
+        first, length = self._places(core, mark)
         word = numbered.indices.to_numpy(zero_copy_only=False)
-        each = length[word]
+        each = length.sum(1, dtype=np.int64)[word]
         before = np.concatenate(([0], np.cumsum(each)))
-        out = np.frombuffer(b"".join(ids), self.kind)[np.repeat(first[word] - before[:-1], each) + np.arange(before[-1])]
+        size = length[word].ravel()
+        at = first[word].ravel() - (np.cumsum(size) - size)
+        out = self.ids[np.repeat(at, size) + np.arange(before[-1])]
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         a = 0
         for b in before[ends].tolist():
             yield out[a:b].tobytes() + self.end
             a = b
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:  # the older half of what is known goes
-            self.older, self.known = self.known, {"": b""}
-        known, older = self.known, self.older
-        new = []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        self._learn(new)
-        return [known[w] for w in words]
+    def _marks(self, words: pa.Array, core: pa.Array) -> pa.Array:
+        """What is left of each word after its core."""
+        n = pc.utf8_length(core).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(n != pc.utf8_length(words).to_numpy(zero_copy_only=False))
+        rest = [w[k:] for w, k in zip(words.take(pa.array(cut)).to_pylist(), n[cut].tolist())]
+        kinds = {m: k for k, m in enumerate(dict.fromkeys(["", *rest]))}
+        code = np.zeros(len(words), np.int64)
+        code[cut] = [kinds[m] for m in rest]
+        return pa.array(list(kinds)).take(pa.array(code))
+
+    def _places(self, core: pa.Array, mark: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each core and mark begin, and how many they are."""
+        if len(self.pieces) > CACHE_PIECES:
+            self._forget()
+        both = pa.concat_arrays([core, mark]).dictionary_encode()
+        known = pc.index_in(both.dictionary, self.pieces)
+        missing = pc.is_null(known)
+        if pc.any(missing).as_py():
+            new, base = both.dictionary.filter(missing), len(self.pieces)
+            self._learn(new.to_pylist())
+            known = pc.replace_with_mask(known, missing, pc.add(pc.index_in(new, self.pieces.slice(base)), pa.scalar(base, pa.int32())))
+        k = known.to_numpy()[both.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T]
+        return self.starts[k], self.starts[k + 1] - self.starts[k]
 
     def _learn(self, new: list[str]) -> None:
-        known, rest, marked = self.known, [], []
-        plain: dict[str, None] = {}
-        for w in new:
-            c = w.rstrip(".,")
-            if not c.isalpha():
-                rest.append(w)
-                continue
-            if c in self.older:
-                known[c] = self.older[c]
-            if c not in known:
-                plain[c] = None
-            if c is not w and len(c) != len(w):
-                marked.append((w, c))
-        self._encode_letters(list(plain))
-        marks = {w[len(c) :] for w, c in marked}
-        self._encode_each(rest + [m for m in marks if m not in known])
-        for w, c in marked:
-            known[w] = known[c] + known[w[len(c) :]]
-
-    def _encode_letters(self, words: list[str]) -> None:
-        parts = [words[k : k + 50] for k in range(0, len(words), 50)]
-        coded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
-        w = self.kind.itemsize
-        for part, e in zip(parts, coded):
-            ids = np.array(e.ids, self.kind)
-            ends = (np.flatnonzero(self.last[ids]) + 1) * w
+        letters = [w for w in new if w.isalpha()]
+        parts = [letters[k : k + 50] for k in range(0, len(letters), 50)]
+        each = [w for w in new if not w.isalpha()]
+        names, ids, sizes = [], [], []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            found = np.array(e.ids, self.kind)
+            ends = np.flatnonzero(self.last[found]) + 1
             if len(ends) != len(part):
-                self._encode_each(part)
+                each += part
                 continue
-            body, a = ids.tobytes(), 0
-            for word, b in zip(part, ends.tolist()):
-                self.known[word] = body[a:b]
-                a = b
-
-    def _encode_each(self, words: list[str]) -> None:
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, coded))
+            names += part
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        for w, e in zip(each, self.tokenizer.encode_batch_fast(each, add_special_tokens=False)):
+            names.append(w)
+            ids.append(np.array(e.ids, self.kind))
+            sizes.append(np.array([len(e.ids)]))
+        self.pieces = pa.concat_arrays([self.pieces, pa.array(names, pa.string())])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate([self.ids, *ids])
 
 
 def _cut(text: str) -> Iterator[str]:
@@ -311,6 +318,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             ids = [pack.compress(x) for x in encode.many(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(ids, pa.binary())], names=["k", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), "text").mapInArrow(run, "k long, ids binary")
 
