@@ -114,14 +114,14 @@ def _pieces(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, places``: where chunks start that repeat, byte for byte, an earlier one."""
     found = stored(chunk_table(docs), "line-chunks")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # As a table: a join of two scans is one whose hot partitions Spark can split.
+    often = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-often")
     suspects = found.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
     body = stored(_pieces(docs.select("doc_id", "text").join(suspects, "doc_id")), "line-bodies")
-    # The hash pre-groups; equal bytes decide.  First by doc_id, then by place, without carrying bodies of all copies.
-    first = body.groupBy("h", "body").agg(F.min("doc_id").alias("first_doc"))
-    whole = body.join(first, ["h", "body"]).select("doc_id", "place", "h", "first_doc", F.sha2("body", 256).alias("same"))
-    place = whole.where("doc_id = first_doc").groupBy("h", "same").agg(F.min("place").alias("first_place"))
-    later = whole.join(place, ["h", "same"]).where("doc_id <> first_doc or place <> first_place")
+    # The hash only groups beforehand; equal bytes decide.  All but the first of each group are later ones,
+    # so they are what is left without the firsts: no row needs its group's, and a hot chunk is not joined.
+    first = body.groupBy("h", "body").agg(F.min(F.struct("doc_id", "place")).alias("f")).select("f.*")
+    later = body.select("doc_id", "place").join(first, ["doc_id", "place"], "left_anti")
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
