@@ -277,8 +277,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns, with the hit stretches beside them."""
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Contract columns."""
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 OP10_SQL = r"""

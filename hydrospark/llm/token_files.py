@@ -49,6 +49,8 @@ CACHE_PIECES = 1_500_000
 AT_ONCE = 4 << 20
 GAMMA = 1.7
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters and figures that stay one letter or figure when normalised; marks after them stand alone.
+_PLAIN_END = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]$"
 _TAIL = struct.Struct("<8sQQQQB")
 _MAGIC = b"HSTOKEN1"
 _NULL = -(1 << 63)
@@ -109,7 +111,7 @@ class Encoder:
         numbered = lists.flatten().dictionary_encode()
         words = numbered.dictionary
         core = pc.utf8_rtrim(words, _MARKS)
-        core = pc.if_else(pc.and_not(pc.match_substring_regex(core, r"[\pL\pN]$"), pc.match_substring(words, "<|")), core, words)
+        core = pc.if_else(pc.and_not(pc.match_substring_regex(core, _PLAIN_END), pc.match_substring(words, "<|")), core, words)
         mark = self._marks(words, core)
         first, length = self._places(core, mark)
         word = numbered.indices.to_numpy(zero_copy_only=False)
