@@ -17,7 +17,10 @@ def slugs(spark, d):
 
 SLUG_SQL = "SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(trim(p_name || ' // ' || p_brand || '!')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS slug FROM part"
 
-_TEXT = F.concat_ws(" ", "p_name", F.element_at(F.array(F.lit("Creek near"), F.lit("River at Houston TX"), F.lit("bayou, above St."), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int")))
+def _text():
+    return F.concat_ws(" ", "p_name", F.element_at(F.array(F.lit("Creek near"), F.lit("River at Houston TX"), F.lit("bayou, above St."), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int")))
+
+
 _TEXT_SQL = "(p_name || CASE p_partkey % 4 WHEN 0 THEN ' Creek near' WHEN 1 THEN ' River at Houston TX' WHEN 2 THEN ' bayou, above St.' ELSE ' ' END)"
 _STOP = "['at','near','nr','above','below','houston','tx','texas','street','st','road','rd','drive','dr']"
 
@@ -28,7 +31,7 @@ def _toks(x: str) -> str:
 
 def waterway_names(spark, d):
     """F02, F06."""
-    return table(spark, d, "part").select("p_partkey", X.waterway_name(_TEXT).alias("name"), F.size(X.long_tokens(_TEXT)).cast("long").alias("n_long"))
+    return table(spark, d, "part").select("p_partkey", X.waterway_name(_text()).alias("name"), F.size(X.long_tokens(_text())).cast("long").alias("n_long"))
 
 
 WATERWAY_SQL = f"SELECT p_partkey, array_to_string({_toks(_TEXT_SQL)}, ' ') AS name, CAST(len(list_filter(string_split(trim(regexp_replace(lower({_TEXT_SQL}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: len(w) > 2)) AS BIGINT) AS n_long FROM part"
@@ -36,7 +39,7 @@ WATERWAY_SQL = f"SELECT p_partkey, array_to_string({_toks(_TEXT_SQL)}, ' ') AS n
 
 def same_waterway(spark, d):
     """Every part's name against that of the part before it."""
-    p = table(spark, d, "part").select("p_partkey", _TEXT.alias("n"))
+    p = table(spark, d, "part").select("p_partkey", _text().alias("n"))
     q = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("n").alias("m"))
     return p.join(q, "p_partkey").select("p_partkey", X.same_waterway("n", "m").alias("same"))
 

@@ -26,7 +26,8 @@ def _hydrographs(spark, d):
     return S.normalize_hydrograph(_events(spark, d), ("series_id",))
 
 
-BY = W.partitionBy("series_id").orderBy("time", "event_id")
+def by_series():
+    return W.partitionBy("series_id").orderBy("time", "event_id")
 
 
 def excess_volume(spark, d):
@@ -37,16 +38,16 @@ def excess_volume(spark, d):
 
 
 EXCESS_SQL = f"""
-WITH h AS (SELECT user_id AS series_id, ts, max(value) AS q FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+WITH h AS (SELECT user_id AS series_id, ts, max(value) AS q FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP by_series() 1, 2),
 e AS (SELECT *, greatest(q - {BANKFULL}, 0.0) * 0.028316846592 AS e FROM h),
-i AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS dt, lag(e) OVER w AS e0 FROM e WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+i AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS dt, lag(e) OVER w AS e0 FROM e WINDOW w AS (PARTITION by_series() series_id ORDER by_series() ts))
 SELECT series_id, count(*) AS point_count, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 3600.0, 4) AS horizon_hours,
   round(coalesce(sum(CASE WHEN dt > 0 AND dt <= {GAP_HOURS * 3600} THEN 0.5 * (e0 + e) * dt END), 0.0), 4) AS excess_volume_m3,
   round(max(q), 4) AS peak_flow_cfs, {BANKFULL} AS bankfull_flow_cfs,
   count(CASE WHEN dt > 0 AND dt <= {GAP_HOURS * 3600} THEN 1 END) AS intervals_used,
   count(CASE WHEN dt > {GAP_HOURS * 3600} THEN 1 END) AS intervals_skipped_large_gap,
   round(coalesce(sum(CASE WHEN dt > 0 AND dt <= {GAP_HOURS * 3600} AND (e0 > 0 OR e > 0) THEN dt END), 0.0) / 3600.0, 4) AS exceedance_interval_hours
-FROM i GROUP BY series_id"""
+FROM i GROUP by_series() series_id"""
 
 
 def normalize_dedupe(spark, d):
@@ -61,7 +62,7 @@ def normalize_dedupe(spark, d):
 NORMALIZE_SQL = """
 WITH feed AS (SELECT user_id AS series_id, date_trunc('hour', ts) AS t, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v, event_id AS seq FROM events),
 b AS (SELECT * FROM feed UNION ALL SELECT series_id, t, 1.5, seq + 1000000000 FROM feed WHERE seq % 3 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY series_id, t ORDER BY seq DESC) AS n FROM b WHERE v IS NOT NULL AND t IS NOT NULL)
+r AS (SELECT *, row_number() OVER (PARTITION by_series() series_id, t ORDER by_series() seq DESC) AS n FROM b WHERE v IS NOT NULL AND t IS NOT NULL)
 SELECT series_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS time, round(v / 0.028316846592, 6) AS flow_cfs FROM r WHERE n = 1"""
 
 
@@ -98,7 +99,7 @@ SKILL_SQL = _ASOF + """,
 n AS (SELECT series_id, count(*) AS matched_points, avg((modeled_cfs - observed_cfs) ^ 2) AS mse, avg(abs(modeled_cfs - observed_cfs)) AS mae_cfs, avg(modeled_cfs - observed_cfs) AS bias_cfs,
   sum(modeled_cfs - observed_cfs) AS se, sum(observed_cfs) AS so, avg(observed_cfs) AS mo, avg(modeled_cfs) AS mm, stddev_pop(observed_cfs) AS sdo, stddev_pop(modeled_cfs) AS sdm,
   CASE WHEN count(*) > 1 AND stddev_pop(observed_cfs) > 0 AND stddev_pop(modeled_cfs) > 0 THEN corr(modeled_cfs, observed_cfs) END AS r, max(observed_cfs) AS po, max(modeled_cfs) AS pm,
-  arg_max(time, {'x': observed_cfs, 't': -epoch_us(time)}) AS ot, arg_max(time, {'x': modeled_cfs, 't': -epoch_us(time)}) AS mt FROM pairs GROUP BY series_id)
+  arg_max(time, {'x': observed_cfs, 't': -epoch_us(time)}) AS ot, arg_max(time, {'x': modeled_cfs, 't': -epoch_us(time)}) AS mt FROM pairs GROUP by_series() series_id)
 SELECT series_id, matched_points, round(sqrt(mse), 5) AS rmse_cfs, round(mae_cfs, 5) AS mae_cfs, round(bias_cfs, 5) AS bias_cfs, round(CASE WHEN abs(so) > 1e-9 THEN 100 * se / so END, 5) AS percent_bias,
   round(r, 5) AS pearson_r, round(CASE WHEN sdo > 0 THEN 1 - mse / (sdo * sdo) END, 5) AS nse, round(1 - sqrt((r - 1) ^ 2 + (sdm / sdo - 1) ^ 2 + (mm / mo - 1) ^ 2), 5) AS kge,
   round(po, 5) AS observed_peak_cfs, round(pm, 5) AS modeled_peak_cfs, round(CASE WHEN po > 0 THEN pm / po END, 5) AS peak_ratio, round((epoch_us(mt) - epoch_us(ot)) / 3.6e9, 5) AS peak_timing_error_hours FROM n"""
@@ -117,7 +118,7 @@ def peak_timing(spark, d):
     return S.peak(_events(spark, d), ["series_id"], "flow_cfs")
 
 
-PEAK_SQL = "SELECT user_id AS series_id, max(value) AS peak_flow_cfs, arg_max(ts, {'x': value, 't': -epoch_us(ts)}) AS peak_time FROM events GROUP BY 1"
+PEAK_SQL = "SELECT user_id AS series_id, max(value) AS peak_flow_cfs, arg_max(ts, {'x': value, 't': -epoch_us(ts)}) AS peak_time FROM events GROUP by_series() 1"
 
 
 def latest_observation(spark, d):
@@ -125,7 +126,7 @@ def latest_observation(spark, d):
     return S.latest(_events(spark, d), ["series_id"], "time", "event_id")
 
 
-LATEST_SQL = "SELECT user_id AS series_id, event_id, ts AS time, value AS flow_cfs, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+LATEST_SQL = "SELECT user_id AS series_id, event_id, ts AS time, value AS flow_cfs, event_type FROM events QUALIFY row_number() OVER (PARTITION by_series() user_id ORDER by_series() ts DESC, event_id DESC) = 1"
 
 
 def baseline(spark, d):
@@ -134,7 +135,7 @@ def baseline(spark, d):
     return S.last_known(e, ["series_id"], S.resolve(e, ("discharge_cfs", "flow_cfs")), "event_id")
 
 
-BASELINE_SQL = "SELECT user_id AS series_id, arg_max(value, event_id) AS flow_cfs FROM events WHERE event_id % 4 != 0 GROUP BY 1"
+BASELINE_SQL = "SELECT user_id AS series_id, arg_max(value, event_id) AS flow_cfs FROM events WHERE event_id % 4 != 0 GROUP by_series() 1"
 
 
 def pivot_last(spark, d):
@@ -144,7 +145,7 @@ def pivot_last(spark, d):
 
 
 PIVOT_SQL = """SELECT user_id AS series_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(value, event_id) FILTER (event_type = 'view') AS view, arg_max(value, event_id) FILTER (event_type = 'click') AS click, arg_max(value, event_id) FILTER (event_type = 'error') AS error
-FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY 1, 2"""
+FROM events WHERE event_type IN ('view', 'click', 'error') GROUP by_series() 1, 2"""
 
 
 def period_summary(spark, d):
@@ -152,7 +153,7 @@ def period_summary(spark, d):
     return _rounded(S.period_summary(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", "o_orderdate"), 6)
 
 
-PERIOD_SQL = "SELECT o_custkey, count(o_totalprice) AS n, min(o_orderdate) AS first_time, max(o_orderdate) AS last_time, round(avg(o_totalprice), 6) AS mean, round(max(o_totalprice), 6) AS max FROM orders GROUP BY 1"
+PERIOD_SQL = "SELECT o_custkey, count(o_totalprice) AS n, min(o_orderdate) AS first_time, max(o_orderdate) AS last_time, round(avg(o_totalprice), 6) AS mean, round(max(o_totalprice), 6) AS max FROM orders GROUP by_series() 1"
 
 
 def rain_total(spark, d):
@@ -161,7 +162,7 @@ def rain_total(spark, d):
     return _rounded(S.rain_total(e, ["series_id"]), 5)
 
 
-RAIN_SQL = "SELECT user_id AS series_id, round(coalesce(sum(value / 25.4) FILTER (event_type = 'error'), 0.0), 5) AS total, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY 1"
+RAIN_SQL = "SELECT user_id AS series_id, round(coalesce(sum(value / 25.4) FILTER (event_type = 'error'), 0.0), 5) AS total, count(*) FILTER (event_type = 'error') AS n FROM events GROUP by_series() 1"
 
 
 def newest_issue(spark, d):
@@ -169,7 +170,7 @@ def newest_issue(spark, d):
     return S.newest_issue(_events(spark, d).withColumn("issued_time", F.to_date("time")), ["series_id"]).select("series_id", "event_id", "flow_cfs")
 
 
-NEWEST_SQL = "SELECT user_id AS series_id, event_id, value AS flow_cfs FROM events QUALIFY CAST(ts AS DATE) = max(CAST(ts AS DATE)) OVER (PARTITION BY user_id)"
+NEWEST_SQL = "SELECT user_id AS series_id, event_id, value AS flow_cfs FROM events QUALIFY CAST(ts AS DATE) = max(CAST(ts AS DATE)) OVER (PARTITION by_series() user_id)"
 
 
 def tail_n(spark, d):
@@ -177,7 +178,7 @@ def tail_n(spark, d):
     return S.tail(_events(spark, d).select("event_id", "series_id", "flow_cfs"), 250, ["event_id"])
 
 
-TAIL_SQL = "SELECT event_id, user_id AS series_id, value AS flow_cfs FROM events ORDER BY event_id DESC LIMIT 250"
+TAIL_SQL = "SELECT event_id, user_id AS series_id, value AS flow_cfs FROM events ORDER by_series() event_id DESC LIMIT 250"
 
 
 def stride_sample(spark, d):
@@ -185,7 +186,7 @@ def stride_sample(spark, d):
     return S.stride(_events(spark, d).select("series_id", "event_id", "time"), ["series_id"], ["time", "event_id"], 20).select("series_id", "event_id")
 
 
-STRIDE_SQL = """WITH r AS (SELECT user_id AS series_id, event_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
+STRIDE_SQL = """WITH r AS (SELECT user_id AS series_id, event_id, count(*) OVER (PARTITION by_series() user_id) AS n, row_number() OVER (PARTITION by_series() user_id ORDER by_series() ts, event_id) - 1 AS i FROM events)
 SELECT series_id, event_id FROM r WHERE i % greatest(1, CAST(ceil(n / 20.0) AS BIGINT)) = 0"""
 
 
@@ -195,19 +196,19 @@ def ring_buffer(spark, d):
     return out.select("series_id", F.array_join("items", ",").alias("items"))
 
 
-RING_SQL = "SELECT series_id, string_agg(event_type, ',' ORDER BY event_id) AS items FROM (SELECT user_id AS series_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 12) GROUP BY 1"
+RING_SQL = "SELECT series_id, string_agg(event_type, ',' ORDER by_series() event_id) AS items FROM (SELECT user_id AS series_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION by_series() user_id ORDER by_series() event_id DESC) <= 12) GROUP by_series() 1"
 
 
 def _window(name):
     def make(spark, d):
         made = {
-            "rolling_median5": lambda: S.rolling_median("flow_cfs", BY, 5),
-            "rolling_median3": lambda: S.rolling_median("flow_cfs", BY, 3),
-            "median_filter3": lambda: S.median_filter3("flow_cfs", BY),
-            "gradient": lambda: S.gradient("flow_cfs", F.unix_micros(F.col("time").cast("timestamp")) / 3.6e9, BY),
-            "savgol9": lambda: S.savgol("flow_cfs", BY),
-            "outlier_add": lambda: S.outlier_add("flow_cfs", BY, 80.0),
-            "outlier_ratio": lambda: S.outlier_ratio("flow_cfs", BY, 3.0),
+            "rolling_median5": lambda: S.rolling_median("flow_cfs", by_series(), 5),
+            "rolling_median3": lambda: S.rolling_median("flow_cfs", by_series(), 3),
+            "median_filter3": lambda: S.median_filter3("flow_cfs", by_series()),
+            "gradient": lambda: S.gradient("flow_cfs", F.unix_micros(F.col("time").cast("timestamp")) / 3.6e9, by_series()),
+            "savgol9": lambda: S.savgol("flow_cfs", by_series()),
+            "outlier_add": lambda: S.outlier_add("flow_cfs", by_series(), 80.0),
+            "outlier_ratio": lambda: S.outlier_ratio("flow_cfs", by_series(), 3.0),
         }[name]()
         return _rounded(_events(spark, d).select("series_id", "event_id", made.alias("x")), 5)
 
@@ -215,8 +216,8 @@ def _window(name):
     return make
 
 
-_W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
-_MED = "median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING)"
+_W = "WINDOW w AS (PARTITION by_series() user_id ORDER by_series() ts, event_id)"
+_MED = "median(value) OVER (PARTITION by_series() user_id ORDER by_series() ts, event_id ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING)"
 _SEL = "SELECT user_id AS series_id, event_id, "
 _SORT3 = "(a + b + c - greatest(a, b, c) - least(a, b, c))"
 
@@ -226,10 +227,10 @@ def _savgol_sql() -> str:
     lines = [f"WHEN i = {k} THEN " + " + ".join(f"({wt!r}) * nth_value(value, {j + 1}) OVER u" for j, wt in enumerate(edge[k])) for k in range(4)]
     lines += [f"WHEN n - 1 - i = {k} THEN " + " + ".join(f"({wt!r}) * nth_value(value, 9 - {j}) OVER v" for j, wt in enumerate(edge[8 - k])) for k in range(4)]
     inner = " + ".join(f"({wt!r}) * " + (f"lag(value, {4 - j}) OVER w" if j < 4 else "value" if j == 4 else f"lead(value, {j - 4}) OVER w") for j, wt in enumerate(S.SAVGOL9))
-    return f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
+    return f"""WITH r AS (SELECT *, count(*) OVER (PARTITION by_series() user_id) AS n, row_number() OVER (PARTITION by_series() user_id ORDER by_series() ts, event_id) - 1 AS i FROM events)
 SELECT user_id AS series_id, event_id, round(CASE WHEN n < 9 THEN value {' '.join(lines)} ELSE {inner} END, 5) AS x FROM r
-WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
-v AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+WINDOW w AS (PARTITION by_series() user_id ORDER by_series() ts, event_id), u AS (PARTITION by_series() user_id ORDER by_series() ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+v AS (PARTITION by_series() user_id ORDER by_series() ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 
 
 WINDOW_SQL = {
@@ -251,29 +252,29 @@ def _gappy(spark, d):
 def interp_gaps(spark, d):
     """Flows over 60 are gaps, bridged along time."""
     hours = F.unix_micros(F.col("time").cast("timestamp")) / 3.6e9
-    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_linear("flow_cfs", hours, BY).alias("x")), 4)
+    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_linear("flow_cfs", hours, by_series()).alias("x")), 4)
 
 
 def interp_rows(spark, d):
     """The same by row number."""
-    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_by_row("flow_cfs", BY).alias("x")), 5)
+    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_by_row("flow_cfs", by_series()).alias("x")), 5)
 
 
 def _interp_sql(at: str, places: int) -> str:
     return f"""WITH r AS (SELECT user_id AS series_id, event_id, ts, CASE WHEN value <= 60 THEN value END AS v, {at} AS s FROM events {_W}),
 k AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN s END IGNORE NULLS) OVER b AS s0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN v IS NOT NULL THEN s END IGNORE NULLS) OVER a AS s1 FROM r
-WINDOW b AS (PARTITION BY series_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+WINDOW b AS (PARTITION by_series() series_id ORDER by_series() ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION by_series() series_id ORDER by_series() ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT series_id, event_id, round(CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 WHEN s1 = s0 THEN v0 ELSE v0 + (s - s0) / (s1 - s0) * (v1 - v0) END, {places}) AS x FROM k"""
 
 
 def station_m(spark, d):
     """Path length over (hours, value)."""
     h = F.unix_micros(F.col("time").cast("timestamp")) / 3.6e9
-    return _rounded(_events(spark, d).withColumn("h", h).select("series_id", "event_id", S.station("h", "flow_cfs", BY).alias("station_m")), 3)
+    return _rounded(_events(spark, d).withColumn("h", h).select("series_id", "event_id", S.station("h", "flow_cfs", by_series()).alias("station_m")), 3)
 
 
 STATION_SQL = f"""WITH r AS (SELECT user_id AS series_id, event_id, ts, sqrt((epoch_us(ts) / 3.6e9 - lag(epoch_us(ts) / 3.6e9) OVER w) ^ 2 + (value - lag(value) OVER w) ^ 2) AS s FROM events {_W})
-SELECT series_id, event_id, round(sum(coalesce(s, 0.0)) OVER (PARTITION BY series_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS station_m FROM r"""
+SELECT series_id, event_id, round(sum(coalesce(s, 0.0)) OVER (PARTITION by_series() series_id ORDER by_series() ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS station_m FROM r"""
 
 
 def _path(spark, d):
@@ -288,9 +289,9 @@ def tangents(spark, d):
     return _rounded(S.tangents(_path(spark, d), ["series_id"], reach=10.0).select("series_id", "event_id", "tangent_dx", "tangent_dy", "cross_dx", "cross_dy"), 5)
 
 
-_PATH = "WITH p AS (SELECT user_id AS series_id, event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS s, value AS y FROM events)"
+_PATH = "WITH p AS (SELECT user_id AS series_id, event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION by_series() user_id)) / 3.6e9 AS s, value AS y FROM events)"
 TANGENT_SQL = _PATH + """, e AS (SELECT *, count(*) OVER n AS c, first_value(s) OVER n AS nx0, last_value(s) OVER n AS nx1, first_value(y) OVER n AS ny0, last_value(y) OVER n AS ny1, first_value(s) OVER r AS rx0, last_value(s) OVER r AS rx1, first_value(y) OVER r AS ry0, last_value(y) OVER r AS ry1 FROM p
-WINDOW n AS (PARTITION BY series_id ORDER BY s RANGE BETWEEN 10.0 PRECEDING AND 10.0 FOLLOWING), r AS (PARTITION BY series_id ORDER BY s ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+WINDOW n AS (PARTITION by_series() series_id ORDER by_series() s RANGE BETWEEN 10.0 PRECEDING AND 10.0 FOLLOWING), r AS (PARTITION by_series() series_id ORDER by_series() s ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 v AS (SELECT series_id, event_id, CASE WHEN c > 1 THEN nx1 - nx0 ELSE rx1 - rx0 END AS dx, CASE WHEN c > 1 THEN ny1 - ny0 ELSE ry1 - ry0 END AS dy FROM e),
 u AS (SELECT series_id, event_id, dx / nullif(sqrt(dx * dx + dy * dy), 0) AS tx, dy / nullif(sqrt(dx * dx + dy * dy), 0) AS ty FROM v)
 SELECT series_id, event_id, round(tx, 5) AS tangent_dx, round(ty, 5) AS tangent_dy, round(-ty, 5) AS cross_dx, round(tx, 5) AS cross_dy FROM u"""
@@ -301,8 +302,8 @@ def sections(spark, d):
     return _rounded(S.pick_sections(_path(spark, d), ["series_id"], spacing=48.0), 5)
 
 
-SECTION_SQL = _PATH + """, g AS (SELECT series_id, unnest(list_transform(range(0, CAST(floor(max(s) / 48.0) AS BIGINT) + 1), lambda k: k * 48.0) || CASE WHEN max(s) - floor(max(s) / 48.0) * 48.0 > 24.0 THEN [max(s)] ELSE [] END) AS t FROM p GROUP BY series_id)
-SELECT DISTINCT series_id, round(arg_min(s, {'d': abs(s - t), 's': s}), 5) AS station_m FROM g JOIN p USING (series_id) GROUP BY series_id, t"""
+SECTION_SQL = _PATH + """, g AS (SELECT series_id, unnest(list_transform(range(0, CAST(floor(max(s) / 48.0) AS BIGINT) + 1), lambda k: k * 48.0) || CASE WHEN max(s) - floor(max(s) / 48.0) * 48.0 > 24.0 THEN [max(s)] ELSE [] END) AS t FROM p GROUP by_series() series_id)
+SELECT DISTINCT series_id, round(arg_min(s, {'d': abs(s - t), 's': s}), 5) AS station_m FROM g JOIN p USING (series_id) GROUP by_series() series_id, t"""
 
 
 def keep_rising(spark, d):
@@ -310,7 +311,7 @@ def keep_rising(spark, d):
     return S.keep_rising(_events(spark, d).select("series_id", "event_id", "flow_cfs").dropDuplicates(["series_id", "flow_cfs"]).drop("event_id"), ["series_id"], "flow_cfs", 0.5)
 
 
-RISING_SQL = "WITH v AS (SELECT DISTINCT user_id AS series_id, value AS flow_cfs FROM events) SELECT series_id, flow_cfs FROM v QUALIFY lag(flow_cfs) OVER (PARTITION BY series_id ORDER BY flow_cfs) IS NULL OR flow_cfs - lag(flow_cfs) OVER (PARTITION BY series_id ORDER BY flow_cfs) > 0.5"
+RISING_SQL = "WITH v AS (SELECT DISTINCT user_id AS series_id, value AS flow_cfs FROM events) SELECT series_id, flow_cfs FROM v QUALIFY lag(flow_cfs) OVER (PARTITION by_series() series_id ORDER by_series() flow_cfs) IS NULL OR flow_cfs - lag(flow_cfs) OVER (PARTITION by_series() series_id ORDER by_series() flow_cfs) > 0.5"
 
 
 def first_exceedance(spark, d):
@@ -318,7 +319,7 @@ def first_exceedance(spark, d):
     return S.first_satisfying(_events(spark, d), ["series_id"], F.col("flow_cfs") > 120, "event_id")
 
 
-FIRST_SQL = "SELECT user_id AS series_id, event_id, ts AS time, value AS flow_cfs, event_type FROM events WHERE value > 120 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1"
+FIRST_SQL = "SELECT user_id AS series_id, event_id, ts AS time, value AS flow_cfs, event_type FROM events WHERE value > 120 QUALIFY row_number() OVER (PARTITION by_series() user_id ORDER by_series() event_id) = 1"
 
 
 def gap_sessions(spark, d):
@@ -327,8 +328,8 @@ def gap_sessions(spark, d):
     return out.groupBy("series_id", "session").agg(F.count("*").alias("n"), F.round(F.sum("flow_cfs"), 4).alias("total"))
 
 
-GAP_SQL = f"""WITH r AS (SELECT user_id AS series_id, ts, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {int(GAP_HOURS * 3.6e9)} THEN 1 ELSE 0 END AS g FROM events),
-s AS (SELECT *, CAST(sum(g) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM r) SELECT series_id, session, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY 1, 2"""
+GAP_SQL = f"""WITH r AS (SELECT user_id AS series_id, ts, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION by_series() user_id ORDER by_series() ts) > {int(GAP_HOURS * 3.6e9)} THEN 1 ELSE 0 END AS g FROM events),
+s AS (SELECT *, CAST(sum(g) OVER (PARTITION by_series() series_id ORDER by_series() ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM r) SELECT series_id, session, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP by_series() 1, 2"""
 
 
 def upsert(spark, d):
@@ -338,7 +339,7 @@ def upsert(spark, d):
     return S.upsert_latest(e, later, ["series_id", "time"], "seq").select("series_id", "time", F.round("flow_cfs", 4).alias("flow_cfs"))
 
 
-UPSERT_SQL = "SELECT user_id AS series_id, ts AS time, round(value + CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE 0.0 END, 4) AS flow_cfs FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id % 5 = 0 DESC, event_id DESC) = 1"
+UPSERT_SQL = "SELECT user_id AS series_id, ts AS time, round(value + CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE 0.0 END, 4) AS flow_cfs FROM events QUALIFY row_number() OVER (PARTITION by_series() user_id, ts ORDER by_series() event_id % 5 = 0 DESC, event_id DESC) = 1"
 
 
 def distinct_pairs(spark, d):
@@ -356,7 +357,7 @@ def percentiles(spark, d):
     return _rounded(e.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.98).alias("p98"), p(0.99).alias("p99"), F.median("value").alias("med")), 5)
 
 
-PERCENTILE_SQL = "SELECT event_type, round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.95), 5) AS p95, round(quantile_cont(value, 0.98), 5) AS p98, round(quantile_cont(value, 0.99), 5) AS p99, round(median(value), 5) AS med FROM events GROUP BY 1"
+PERCENTILE_SQL = "SELECT event_type, round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.95), 5) AS p95, round(quantile_cont(value, 0.98), 5) AS p98, round(quantile_cont(value, 0.99), 5) AS p99, round(median(value), 5) AS med FROM events GROUP by_series() 1"
 
 QUERIES = {
     "h02_excess_volume": excess_volume, "x02_normalize_dedupe": normalize_dedupe, "j01_asof_nearest": asof_pairs, "a13_hydrograph_skill": skill, "a12_point_errors": point_errors, "a06_peak_timing": peak_timing,
