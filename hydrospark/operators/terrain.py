@@ -39,6 +39,8 @@ def settle(cells: DataFrame, start: Column, kernel: Callable, tile: int = TILE,
     """
     ship(cells.sparkSession)
     state = checkpointed(cells.select("row", "col", "z", start.alias("w"), F.lit(True).alias("changed")))
+    if state.limit(1).count() == 0:
+        return state.drop("changed")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(key[0]) * tile - 1, int(key[1]) * tile - 1
@@ -118,5 +120,5 @@ def volume_limited_fill(candidates: DataFrame, seeds: DataFrame, budget_m3: floa
 
     wet = candidates.where(F.col(depth) > 0)
     reached = cost_distance(wet, masked(seeds, keep=[wet]), elevation, grid, connectivity, uphill_penalty)
-    both = reached.select("row", "col", "cost").join(wet, CELL)
+    both = checkpointed(reached.select("row", "col", "cost").join(wet, CELL))
     return running_fill(both, budget_m3, "cost", depth, grid)

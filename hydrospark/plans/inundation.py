@@ -74,14 +74,14 @@ def screen(terrain: DataFrame, mainstem: DataFrame, profile: DataFrame, s: Scree
     of a finished bank profile.  The result holds the tables ``levels, corridor, candidates, seeds, potential, depth`` and the
     budget.  Depths under ``min_depth_m`` are dropped after the fill, so the stored volume may be less than what was filled.
     """
-    section = levels(profile, s, controls)
-    corridor = G.cells_near_rings(G.corridor_quads(profile), s.grid, s.nrows, s.ncols, s.exclusion_buffer_m)
+    section = Gr.checkpointed(levels(profile, s, controls))
+    corridor = Gr.checkpointed(G.cells_near_rings(G.corridor_quads(profile), s.grid, s.nrows, s.ncols, s.exclusion_buffer_m))
     places = section.select(F.col("center_x").alias("x"), F.col("center_y").alias("y"), "section_id", F.col("scenario_wse_m_navd88").alias("wse")).where("wse is not null")
     near = R.nearest_section(terrain, places, s.grid, s.section_reach_m)
     depth = F.col("wse") - F.col("ground")
     base = near.withColumn("depth", depth).where(F.col("hand").between(-1e-6, s.max_hand_m) & (F.col("depth") >= s.min_depth_m))
     base = Gr.checkpointed(R.masked(base, drop=[corridor, mainstem]))
-    dry = R.masked(terrain, drop=[corridor, mainstem])
+    dry = Gr.checkpointed(R.masked(terrain, drop=[corridor, mainstem]))
     seeds = Gr.checkpointed(B.seeds(section, dry, s.grid, ["section_id"], least_depth=s.min_depth_m, passable=F.col("hand").between(-1e-6, s.max_hand_m)))
     ids = base.select(R.cell_id(s.ncols))
     # Seeds outside the candidates open the candidates next to them.
@@ -90,7 +90,7 @@ def screen(terrain: DataFrame, mainstem: DataFrame, profile: DataFrame, s: Scree
     potential = Gr.checkpointed(base.withColumn("id", F.col("row").cast("long") * s.ncols + F.col("col")).join(kept.select("id"), "id", "left_semi").drop("id"))
     excess, budget, source = budget_m3(s, hydrograph)
     filled = T.volume_limited_fill(potential, seeds, budget, "depth", "ground", s.grid, s.connectivity, s.uphill_penalty)
-    out = filled.select("row", "col", F.col("filled_depth").alias("depth")).where(F.col("depth") >= s.min_depth_m)
+    out = Gr.checkpointed(filled.select("row", "col", F.col("filled_depth").alias("depth")).where(F.col("depth") >= s.min_depth_m))
     return {"levels": section, "corridor": corridor, "candidates": base, "seeds": seeds, "potential": potential, "depth": out, "excess_volume_m3": excess, "budget_m3": budget, "volume_source": source}
 
 

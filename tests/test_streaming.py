@@ -22,7 +22,7 @@ def test_running_excess_is_the_batch_integral(spark, landed):
     e, path, tmp = landed
     q = R.running_excess(R.readings(spark, path, files_per_trigger=1), 60.0, 12.0).writeStream.outputMode("update").format("memory").queryName("excess").option("checkpointLocation", str(tmp / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(240)
-    last = {r.series_id: r for r in spark.sql("SELECT series_id, max_by(struct(*), point_count) AS r FROM excess GROUP BY 1").select("r.*").collect()}
+    last = {r.series_id: r for r in spark.sql("SELECT max_by(struct(*), point_count) AS r FROM excess GROUP BY series_id").select("r.*").collect()}
     want = {r.series_id: r for r in S.excess_volume(e.drop("seq"), 60.0, max_gap_hours=12.0).collect()}
     assert set(last) == set(want)
     for k, r in want.items():

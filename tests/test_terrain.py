@@ -126,7 +126,7 @@ def test_clip_and_simplify(spark):
     assert len(G.simplify(spark.createDataFrame([(1, line)], f"id int, rings {G.RINGS}"), 0.1, ["id"]).first()["rings"][0]) == 3
 
 
-def valley(n=61):
+def valley(n):
     """A V-valley that drains south along the middle column, with a gentle flood plain beyond its banks."""
     r, c = np.mgrid[0:n, 0:n]
     off = np.abs(c - n // 2)
@@ -134,16 +134,16 @@ def valley(n=61):
 
 
 def test_valley_from_end_to_end(spark):
-    n, grid = 61, (2.0, 0.0, 0.0, 0.0, -2.0, 122.0)
+    n, grid = 45, (2.0, 0.0, 0.0, 0.0, -2.0, 90.0)
     z = valley(n)
     dem = cells(spark, z)
     mid = (2.0 * (n // 2) + 1.0, 1.0)
     got = P.prepare(dem, grid, n, mid, stream_km2=0.0009, mainstem_km2=0.001, snap_m=20.0)
     main = {(r.row, r.col) for r in got["mainstem"].collect()}
-    assert (n - 1, n // 2) in main and all(abs(c - n // 2) <= 1 for _, c in main) and len(main) > 30
+    assert (n - 1, n // 2) in main and all(abs(c - n // 2) <= 1 for _, c in main) and len(main) > 25
     assert got["terrain"].where("hand < -0.01").count() == 0
-    assert got["terrain"].where("row = 60 and col = 30").first()["area_km2"] > 0.6 * z.size * 4e-6
-    profile = P.bank_profile(got, dem, grid, n, spacing=20.0, half_width=30.0, sample=1.0, reach=(8.0, 26.0), least_relief=4.0)
+    assert got["terrain"].where(f"row = {n - 1} and col = {n // 2}").first()["area_km2"] > 0.6 * z.size * 4e-6
+    profile = P.bank_profile(got, dem, grid, n, spacing=15.0, half_width=30.0, sample=1.0, reach=(8.0, 26.0), least_relief=4.0)
     rows = profile.orderBy("station_m").collect()
     assert len(rows) >= 4 and all(r.section_id == k for k, r in enumerate(rows))
     sound = [r for r in rows if r.left_bank_distance_m is not None]
@@ -158,12 +158,11 @@ def test_valley_from_end_to_end(spark):
     assert out["seeds"].count() > 0 and row.potential_pixels > 0
     assert 0 < row.flood_volume_m3 <= out["budget_m3"] + 1e-6
     assert row.flood_pixels <= row.potential_pixels
-    more = I.Screen(**{**s.__dict__, "duration_hours": 0.2})
-    assert I.summary(I.screen(got["terrain"], got["mainstem"], profile, more), got["terrain"], more).first().flood_volume_m3 >= row.flood_volume_m3
     assert R.masked(out["depth"], keep=[out["corridor"]]).count() == 0
-    rating = spark.createDataFrame([(0.0, bank - 8.0), (300.0, bank), (3000.0, bank + 6.0)], "flow_cfs double, stage_ft double")
-    storm = Sc.run_rainfall(spark, got["terrain"], got["mainstem"], profile, rating, s, rainfall_in=11.0, duration_hours=5.0, basin_sqmi=1.0, wetness="wet")
-    assert storm["screen"].gauge_flow_cfs > 300 and storm["budget_m3"] > 0
+    storm = Sc.rainfall_hydrograph(spark, profile, rainfall_in=11.0, duration_hours=5.0, basin_sqmi=1.0, wetness="wet").toPandas()
+    assert storm.streamflow.max() > 300 and storm.time.is_monotonic_increasing
+    with pytest.raises(ValueError, match="positive"):
+        Sc.rainfall_hydrograph(spark, profile, rainfall_in=0.0, duration_hours=5.0, basin_sqmi=1.0)
 
 
 def test_selected_branch(spark):
