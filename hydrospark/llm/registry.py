@@ -9,7 +9,7 @@ from hydrospark.llm.line_dedup import op7_line_dedup
 from hydrospark.llm.packing import op2_best_fit_packing
 from hydrospark.llm.quality_rules import op8_quality_rules
 from hydrospark.llm.secrets import OP1_SQL, op1_secret_scan
-from hydrospark.llm.sharding import op5_sharding
+from hydrospark.llm.sharding import OP5_SQL, op5_sharding
 from hydrospark.llm.simhash_dedup import op9_simhash_dedup
 from hydrospark.llm.token_files import op6_token_files
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op1_secret_scan": OP1_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op1_secret_scan": OP1_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL}

@@ -112,3 +112,28 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns, with the virtual slot beside them.  The law is ``bytes``."""
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+#: The checksum by its table, the map by a recursion over the slots from the heaviest to the lightest.
+OP5_SQL = r"""
+WITH RECURSIVE
+step(n, k, c) AS (SELECT r, 0, r FROM range(256) t(r) UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+h AS (SELECT r, doc_id, text, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM d),
+b AS (SELECT r, doc_id, n, list_transform(range(0, n), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)) AS bytes FROM h),
+s AS (SELECT r, doc_id, CAST(n + 16 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) AS text_crc32 FROM b, crc),
+v AS (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 8) AS BIGINT) % 4096 AS INTEGER) AS vslot FROM s),
+loads AS (SELECT k AS vslot, CAST(coalesce(sum(size), 0) AS BIGINT) AS b, count(size) AS n FROM range(4096) t(k) LEFT JOIN v ON vslot = k GROUP BY 1),
+ordered AS (SELECT *, row_number() OVER (ORDER BY b DESC, vslot) AS i FROM loads),
+greedy(i, slot, shard, total) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), list_transform(range(40), lambda x: CAST(0 AS BIGINT))
+  UNION ALL
+  SELECT o.i, o.vslot, list_position(total, list_min(total)) - 1,
+    list_transform(range(1, 41), lambda k: total[k] + CASE WHEN k = list_position(total, list_min(total)) THEN o.b ELSE 0 END)
+  FROM greedy g JOIN ordered o ON o.i = g.i + 1),
+placed AS (SELECT slot AS vslot, CAST(shard AS INTEGER) AS shard FROM greedy WHERE slot IS NOT NULL),
+firsts AS (SELECT vslot, shard, CAST(coalesce(sum(n) OVER (PARTITION BY shard ORDER BY vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM placed JOIN loads USING (vslot))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, first + row_number() OVER (PARTITION BY vslot ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, vslot FROM v JOIN firsts USING (vslot)
+"""
