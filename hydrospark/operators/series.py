@@ -262,11 +262,10 @@ def savgol(value: Column | str, w, size: int = 9) -> Column:
     n = F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     before = F.least(F.row_number().over(w) - 1, F.lit(size - 1))
     nth, left = F.row_number().over(w) - 1, n - F.row_number().over(w)
-    dot = lambda start, weights: sum((F.get(around, start + k) * wt for k, wt in enumerate(weights)), F.lit(0.0))
-    out = dot(before - half, savgol_edge(half, size))
-    for i in range(half):
-        out = F.when(nth == i, dot(F.lit(0), savgol_edge(i, size))).when(left == i, dot(before + i + 1 - size, savgol_edge(size - 1 - i, size))).otherwise(out)
-    return F.when(n < size, x).otherwise(out)
+    place = F.when(nth < half, nth).when(left < half, size - 1 - left).otherwise(half).cast("int")
+    weights = F.element_at(F.array(*[F.array(*map(F.lit, savgol_edge(i, size))) for i in range(size)]), place + 1)
+    products = F.zip_with(F.slice(around, before - place + 1, F.lit(size)), weights, lambda v, k: v * k)
+    return F.when(n < size, x).otherwise(F.aggregate(products, F.lit(0.0), lambda t, v: t + v))
 
 
 def outlier_add(value: Column | str, w, limit: float, exempt_first: bool = True) -> Column:
