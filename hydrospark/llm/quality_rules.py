@@ -48,6 +48,8 @@ FALSE_ALARM = 0.01
 #: Most that one abstention moves the log odds.
 ABSTAIN = 1.0
 _WORDLIKE = re.compile(rb"[A-Za-z0-9\x80-\xff]").search
+_ASCII_RUN = re.compile("[\x00-\x7f]+").sub
+_ASCII_OTHERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string"
@@ -84,7 +86,7 @@ def measure(text: str | None) -> dict:
         "word_length": chars / some,
         "capitals": sum(map(bytes.isupper, words)) / some,
         "variety": len(ids) / some ** 0.8 if n > 1000 else len(ids) / some,
-        "letters": sum(map(str.isalpha, text)) / max(chars, 1),
+        "letters": _letters(text) / max(chars, 1),
         "wordlike": sum(w.isalnum() or _WORDLIKE(w) is not None for w in words) / some,
     }
     return {
@@ -98,6 +100,11 @@ def measure(text: str | None) -> dict:
     }
 
 
+def _letters(text: str) -> int:
+    """How many characters are letters; only those beyond ASCII are looked at one by one."""
+    return len(text.encode("ascii", "ignore").translate(None, _ASCII_OTHERS)) + sum(map(str.isalpha, _ASCII_RUN("", text)))
+
+
 def _vote(x: float, bad_below, good_from, good_to, bad_above) -> str:
     if (bad_below is not None and x < bad_below) or (bad_above is not None and x > bad_above):
         return "-"
