@@ -1,27 +1,32 @@
-"""Line dedup over content-defined chunks of lines.
-
-Lines are hashed; a rolling hash over the last ``ROLL`` line hashes sets a chunk
+"""Line dedup over runs of repeated lines and content-defined chunks.
+
+Every two adjacent lines are a piece, and so is a line of more than ``LONG_LINE`` words.
+Pieces whose hash occurs more than once in the corpus are compared byte for byte; the first
+occurrence (smallest doc_id, then position) of each stays a first, the others are repeats.
+Lines joined by repeated pieces form runs, and a maximal run of more than ``LONG_LINE`` words
+goes, however its words are dealt to lines and whatever stands around it.  Of shorter runs
+the content-defined chunks go: a rolling hash over the last ``ROLL`` line hashes sets a
 boundary wherever it is divisible by ``MEAN``, so boundaries depend on the lines nearby
-and not on their place in the document.  A line of more than ``LONG_LINE`` words is a
-chunk of its own.  Chunks of several lines, or of one such long line, with at least
-``MIN_WORDS`` words are candidates; those whose hash occurs more than once in the corpus
-are compared byte for byte, the first occurrence (smallest doc_id, then position) stays and
-the others are removed.
+and not on their place in the document, and a chunk of several lines and at least
+``MIN_WORDS`` words goes where all of it repeats.  The first occurrence of a line in the
+corpus is in no repeat, so no line is lost everywhere.
 
-Scale: the first pass moves one narrow row (hash, doc_id, place) for each chunk.  The
+Scale: the first pass moves one narrow row (hash, doc_id, row, place) for each piece.  The
 text of documents with a repeated hash is read again for the comparison, and texts
 are joined with what to remove once more.  Hashes and bytes are counted with map-side
-combining, so a chunk that a third of all documents share is one row from each task.
+combining, so a piece that a third of all documents share is one row from each task.
 
 Defined results: a null text has no lines and stays null; empty texts stay; blank lines
-are kept unless inside a removed chunk; rows that share a doc_id each lose what the
-doc_id loses at that place; a document of which no word is left is dropped by
-``remove``; empty tables give empty results; other columns pass through.
+are kept unless inside a removed run or chunk; rows that share a doc_id or have none are told
+apart by a row number, in no set order, and those without one come last; a document of which
+no word is left is dropped by ``remove``; empty tables give empty results; other columns pass
+through.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,36 +44,46 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
 
+def _lines(text: str) -> tuple[list[bytes], list[int]]:
+    """The lines as bytes, and how many words each has."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return lines, [len(x.split()) for x in lines]
+
+
 def chunks(text: str | None) -> list[tuple[int, int, int]]:
-    """Candidate chunks as (hash, first line, one past the last)."""
+    """Pieces as (hash, first line, one past the last); of two with one first line the long line is the first."""
     if not text:
         return []
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    words = [len(x.split()) for x in lines]
-    hashes = [xxh64_intdigest(x) for x in lines]
+    lines, words = _lines(text)
     out: list[tuple[int, int, int]] = []
+    for i, line in enumerate(lines):
+        if words[i] > LONG_LINE:
+            out.append((xxh64_intdigest(line), i, i + 1))
+        if i + 1 < len(lines):
+            out.append((xxh64_intdigest(line + b"\n" + lines[i + 1]), i, i + 2))
+    return out
 
-    def close(a: int, b: int) -> None:
-        if b - a == 1 and words[a] <= LONG_LINE or sum(words[a:b]) < MIN_WORDS:
-            return
-        out.append((xxh64_intdigest(b"\n".join(lines[a:b])), a, b))
 
+def bounds(lines: list[bytes], words: list[int]) -> list[tuple[int, int]]:
+    """The content-defined chunks as (first line, one past the last); long lines stand alone."""
+    hashes = [xxh64_intdigest(x) for x in lines]
+    out: list[tuple[int, int]] = []
     start = 0
     for i in range(len(lines)):
         if words[i] > LONG_LINE:
             if start < i:
-                close(start, i)
-            close(i, i + 1)
+                out.append((start, i))
+            out.append((i, i + 1))
             start = i + 1
             continue
         roll = 0
         for h in hashes[max(start, i - ROLL + 1) : i + 1]:
             roll = (roll * _BASE + h) & _MASK
         if (roll >> 32) % MEAN == 0:
-            close(start, i + 1)
+            out.append((start, i + 1))
             start = i + 1
     if start < len(lines):
-        close(start, len(lines))
+        out.append((start, len(lines)))
     return out
 
 
@@ -76,8 +91,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, h`` for every candidate chunk; place is the first line's number."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: a number of its own for each row without a doc_id of its own, else zero."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    shared = stored(shared, "line-shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn("__row", F.lit(0).cast("long"))
+    same = docs["doc_id"].eqNullSafe(shared["__id"])
+    # Stored, as the numbers would differ from one computation to the next.
+    rows = stored(docs.join(shared, same, "left_semi").withColumn("__row", F.monotonically_increasing_id() + 1), "line-rows")
+    return docs.join(shared, same, "left_anti").withColumn("__row", F.lit(0).cast("long")).unionByName(rows)
+
+
+def chunk_table(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, place, h`` for every piece of numbered rows; place is the first line's number."""
 
     def run(batches):
         for b in batches:
@@ -87,13 +114,15 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                     keys.append(k)
                     place.append(a)
                     h.append(_signed(x))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keys, pa.int64())), pa.array(place, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "place", "h"])
+            at = pa.array(keys, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("row").take(at), pa.array(place, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "row", "place", "h"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, place int, h long")
+    docs = rows.where("text is not null").select("doc_id", F.col("__row").alias("row"), "text")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, place int, h long")
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, h, body``: the bytes of those chunks whose hash is in the array ``hs``."""
+    """``doc_id, row, place, h, body``: the bytes of those pieces whose hash is in the array ``hs``."""
 
     def run(batches):
         for b in batches:
@@ -106,35 +135,57 @@ def _pieces(docs: DataFrame) -> DataFrame:
                         place.append(a)
                         h.append(s)
                         body.append("\n".join(lines[a:z]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keys, pa.int64())), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(body, pa.string())], names=["doc_id", "place", "h", "body"])
+            at = pa.array(keys, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(at), b.column("row").take(at), pa.array(place, pa.int32()), pa.array(h, pa.int64()), pa.array(body, pa.string())], names=["doc_id", "row", "place", "h", "body"]
+            )
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, place int, h long, body string")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, place int, h long, body string")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, places``: where chunks start that repeat, byte for byte, an earlier one."""
-    found = stored(chunk_table(docs), "line-chunks")
+def repeats(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, places``: where pieces start that repeat, byte for byte, an earlier one; a place of two such pieces comes twice."""
+    found = stored(chunk_table(rows), "line-chunks")
     # As a table: a join of two scans is one whose hot partitions Spark can split.
     often = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "line-often")
-    suspects = found.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    body = stored(_pieces(docs.select("doc_id", "text").join(suspects, "doc_id")), "line-bodies")
+    suspects = found.join(often, "h").groupBy("doc_id", "row").agg(F.collect_set("h").alias("hs")).withColumnsRenamed({"doc_id": "__id", "row": "__r"})
+    docs = rows.select("doc_id", F.col("__row").alias("row"), "text")
+    body = stored(_pieces(docs.join(suspects, docs["doc_id"].eqNullSafe(suspects["__id"]) & (docs["row"] == suspects["__r"])).select("doc_id", "row", "text", "hs")), "line-bodies")
     # The hash only groups beforehand; equal bytes decide.  All but the first of each group are later ones,
-    # so they are what is left without the firsts: no row needs its group's, and a hot chunk is not joined.
-    first = body.groupBy("h", "body").agg(F.min(F.struct("doc_id", "place")).alias("f")).select("f.*")
-    later = body.select("doc_id", "place").join(first, ["doc_id", "place"], "left_anti")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    # so they are what is left without the firsts: no row needs its group's, and a hot piece is not joined.
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row", "place", "h")
+    first = body.groupBy("h", "body").agg(F.min(order).alias("f")).select("f.*").drop("no_id").withColumnsRenamed({c: f"__{c}" for c in ("doc_id", "row", "place", "h")})
+    same = body["doc_id"].eqNullSafe(first["__doc_id"])
+    for c in ("row", "place", "h"):
+        same = same & (body[c] == first[f"__{c}"])
+    later = body.select("doc_id", "row", "place", "h").join(first, same, "left_anti")
+    return later.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__places``, the starts of chunks to remove (null: none)."""
-    gone = repeats(docs).withColumnsRenamed({"doc_id": "__id", "places": "__places"})
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    """``docs`` with ``__places``, the starts of repeated pieces (null: none)."""
+    rows = numbered(docs)
+    gone = repeats(rows).withColumnsRenamed({"doc_id": "__id", "row": "__r", "places": "__places"})
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__row"] == gone["__r"]), "left").drop("__id", "__r", "__row")
 
 
 def cut(text: str, places: list[int]) -> tuple[str, int]:
-    """The text without the chunks that start at those lines, and how many lines went."""
-    gone, lines = set(places), text.split("\n")
-    drop = {i for _, a, z in chunks(text) if a in gone for i in range(a, z)}
+    """The text without the runs and chunks of which all repeats at those places, and how many lines went."""
+    (raw, words), times, lines = _lines(text), Counter(places), text.split("\n")
+    # A line and the next one: at a long line's place its own piece comes first, and repeats wherever the pair does.
+    pair = [times[i] > (w > LONG_LINE) for i, w in enumerate(words)]
+    drop: set[int] = set()
+    a = 0
+    while a < len(lines):
+        z = a + 1
+        while z < len(lines) and pair[z - 1]:
+            z += 1
+        if (z - a > 1 or times[a]) and sum(words[a:z]) > LONG_LINE:
+            drop.update(range(a, z))
+        a = z
+    for a, z in bounds(raw, words):
+        if z - a > 1 and all(pair[a : z - 1]) and sum(words[a:z]) >= MIN_WORDS:
+            drop.update(range(a, z))
     return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(drop)
 
 

@@ -239,6 +239,40 @@ def test_long_passages_go_wherever_they_stand(spark):
     assert sorted(r.text for r in line_dedup.remove(alone).collect()) == sorted(r.text for r in alone.collect())
 
 
+def test_passages_of_several_lines_go_whole(spark):
+    """Whatever lines a repeated passage of over 50 words has, one copy is left of it, and nothing else goes."""
+    rng = random.Random(7)
+    shapes = [(n, w) for n in range(2, 11) for w in (6, 10, 20, 30) if n * w > 50] + [(3, 18), (1, 60)]
+    docs, passages, around = [], [], []
+    for n, w in shapes:
+        passage = [prose(w, rng) for _ in range(n)]
+        passages.append("\n".join(passage))
+        for _ in range(3):
+            own = [prose(rng.randint(4, 20), rng) for _ in range(5)]
+            around.append(own)
+            docs.append((len(docs), "\n".join([*own[:2], *passage, *own[2:]])))
+    out = {r.doc_id: r.text for r in line_dedup.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, own in enumerate(around):
+        assert out[i] == (docs[i][1] if i % 3 == 0 else "\n".join(own)), shapes[i // 3]
+
+
+def test_a_long_line_takes_its_repeated_neighbours_along(spark):
+    rng = random.Random(8)
+    head, long, tail = prose(5, rng), prose(60, rng), prose(6, rng)
+    own = [[prose(9, rng) for _ in range(2)] for _ in range(3)]
+    docs = [(i, "\n".join([a, head, long, tail, b])) for i, (a, b) in enumerate(own[:2])] + [(2, "\n".join([own[2][0], long, own[2][1]]))]
+    out = {r.doc_id: r.text for r in line_dedup.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {0: docs[0][1], 1: "\n".join(own[1]), 2: "\n".join(own[2])}
+
+
+def test_rows_without_an_id_of_their_own_take_part(spark):
+    rng = random.Random(9)
+    passage, other = "\n".join(prose(20, rng) for _ in range(4)), "\n".join(prose(20, rng) for _ in range(4))
+    docs = [(1, passage), (None, passage + "\n" + "tail a"), (None, other), (None, other), (7, passage + "\n" + "tail b"), (7, "\n".join(prose(20, rng) for _ in range(4)))]
+    got = [(r.doc_id, r.text) for r in line_dedup.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, passage), (None, "tail a"), (None, other), (7, "tail b"), docs[5]], key=str)
+
+
 def test_boundaries_resist_shifts():
     body = [prose(14) for _ in range(40)]
     hashes = lambda lines: {h for h, _, _ in line_dedup.chunks("\n".join(lines))}
