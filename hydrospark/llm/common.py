@@ -6,10 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hydrospark.session import ship, table
 
-__all__ = ["shared_path", "shared_root", "ship", "stored", "table"]
+__all__ = ["numbered", "shared_path", "shared_root", "ship", "stored", "table"]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -44,3 +45,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: a number of its own for each row without a doc_id of its own, else zero."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    shared = stored(shared, "shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn("__row", F.lit(0).cast("long"))
+    same = docs["doc_id"].eqNullSafe(shared["__id"])
+    # Stored, as the numbers would differ from one computation to the next.
+    rows = stored(docs.join(shared, same, "left_semi").withColumn("__row", F.monotonically_increasing_id() + 1), "shared-id-rows")
+    return docs.join(shared, same, "left_anti").withColumn("__row", F.lit(0).cast("long")).unionByName(rows)

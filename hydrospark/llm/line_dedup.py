@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from hydrospark.llm.common import stored, table
+from hydrospark.llm.common import numbered, stored, table
 
 ROLL = 2
 MEAN = 3
@@ -91,18 +91,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``: a number of its own for each row without a doc_id of its own, else zero."""
-    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
-    shared = stored(shared, "line-shared-ids")
-    if shared.isEmpty():
-        return docs.withColumn("__row", F.lit(0).cast("long"))
-    same = docs["doc_id"].eqNullSafe(shared["__id"])
-    # Stored, as the numbers would differ from one computation to the next.
-    rows = stored(docs.join(shared, same, "left_semi").withColumn("__row", F.monotonically_increasing_id() + 1), "line-rows")
-    return docs.join(shared, same, "left_anti").withColumn("__row", F.lit(0).cast("long")).unionByName(rows)
-
-
 def chunk_table(rows: DataFrame) -> DataFrame:
     """``doc_id, row, place, h`` for every piece of numbered rows; place is the first line's number."""
 

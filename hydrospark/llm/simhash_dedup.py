@@ -17,6 +17,12 @@ Scale: texts are read once and never shuffled; what moves is 16 rows of 24 bytes
 each *distinct* fingerprint.  Copies share a fingerprint, so a hot group of copies is
 one row.
 
+The pipeline's stage (``keep_one``) takes more in: texts whose sets of 5-word shingles have a
+Jaccard similarity of ``LEAST_JACCARD`` differ by some ten bits, beyond any radius whose
+shards stay small.  It therefore adds links from MinHash bands: in each band the fingerprints of
+a bucket meet its least one, and links that the radius does not make are kept only if
+the exact similarity of the texts is reached.  A bucket of n sends n - 1 pairs.
+
 Defined results: a null or wordless text has fingerprint zero; repeated rows share a
 component; a null doc_id stays a row and never names a component unless nothing else
 is in it; an empty table gives an empty result; other columns are not read.
@@ -30,11 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from hydrospark.llm.common import stored, table
+from hydrospark.llm.common import numbered, stored, table
 from hydrospark.operators.graph import components
 
 RADIUS = 3
 WORDS = 3
+#: The stage's second measure: shingles of so many words, the least similarity, and bands of so many minima.
+WIDE_WORDS = 5
+LEAST_JACCARD = 0.8
+BANDS = 20
+BAND_ROWS = 5
 SEED = 42
 #: Members of a shard that one task uses as queries; larger shards are walked by several tasks.
 TREE_QUERIES = 20_000
@@ -42,20 +53,25 @@ TREE_QUERIES = 20_000
 ROWS_AT_ONCE = 400_000
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash: bit i is set if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The hash of every shingle of ``size`` words; a shorter text is one shingle, a wordless one has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= WORDS:
-        return xxh64_intdigest(joined, SEED)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    end = np.cumsum(size) - 1
-    start = end - size + 1
-    cuts = zip(start[: 1 - WORDS].tolist(), end[WORDS - 1 :].tolist())
-    n = len(words) - WORDS + 1
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, n)
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    end = np.cumsum(length) - 1
+    start = end - length + 1
+    cuts = zip(start[: 1 - size].tolist(), end[size - 1 :].tolist())
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: str | None) -> int:
+    """The SimHash: bit i is set if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, WORDS)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -212,14 +228,80 @@ def dedup(docs: DataFrame) -> DataFrame:
     return printed.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+_DRAW = np.random.default_rng(SEED)
+_TIMES = _DRAW.integers(1 << 63, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _DRAW.integers(1 << 63, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64)
+
+
+def bands(text: str | None) -> list[int]:
+    """The MinHash bands of the 5-word shingles, each as one signed number; none for a wordless text."""
+    hashes = shingle_hashes(text, WIDE_WORDS)
+    if not len(hashes):
+        return []
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[k : k + 4096] * _TIMES + _PLUS).min(1))
+    raw = least.tobytes()
+    size = 8 * BAND_ROWS
+    return np.array([xxh64_intdigest(raw[k : k + size], k) for k in range(0, len(raw), size)], np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: str | None, b: str | None) -> float:
+    """Similarity of the sets of 5-word shingles."""
+    x, y = np.unique(shingle_hashes(a, WIDE_WORDS)), np.unique(shingle_hashes(b, WIDE_WORDS))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, fp, bands`` of numbered rows."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fp), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "row", "fp", "bands"])
+
+    return rows.select("doc_id", F.col("__row").alias("row"), "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, fp long, bands array<long>")
+
+
+def wide_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Links (a, b) among fingerprints beyond the radius whose texts reach ``LEAST_JACCARD``.
+
+    ``distinct`` has ``fp``, ``bands`` and the row ``first`` that stands for a fingerprint.
+    """
+    dealt = stored(distinct.select("fp", F.explode("bands").alias("band")), "simhash-bands")
+    heads = stored(dealt.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-heads")
+    pairs = dealt.join(heads, "band").where(f"bit_count(fp ^ head) > {RADIUS}").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
+    pairs = stored(pairs, "simhash-pairs")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = distinct.join(ends, "fp").select(F.col("fp").alias("__fp"), F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
+    texts = stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & (rows["__row"] == wanted["__r"])).select(F.col("__fp").alias("fp"), "text"), "simhash-texts")
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches):
+        for t in batches:
+            near = [jaccard(x, y) >= LEAST_JACCARD for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist())]
+            yield t.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that of the smallest doc_id.
 
-    Rows without a doc_id cannot be told apart and all stay.
+    Rows are linked by the radius or by ``LEAST_JACCARD``.  Rows that share a doc_id or have none are told
+    apart by a row number; those without one stay only where no other row of their group has one.
     """
-    gone = dedup(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__to")).where("__to <> doc_id").select("doc_id")
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows = numbered(docs)
+    printed = stored(_banded(rows), "simhash")
+    key = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
+    distinct = stored(printed.groupBy("fp").agg(F.min(F.struct(key.alias("first"), "bands")).alias("m")).select("fp", "m.*"), "simhash-distinct")
+    links = near_links(distinct.select("fp")).unionByName(wide_links(rows, distinct))
+    groups = components(links)
+    named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.row").alias("__r"))
+    return rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi").select(*docs.columns)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
