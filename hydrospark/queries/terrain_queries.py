@@ -54,8 +54,8 @@ SELECT CAST(root AS BIGINT) AS root, round(count(*) * 4.0, 4) AS area_m2 FROM la
 
 
 def _sections(spark, d):
-    """Every tenth row as a section across the grid."""
-    e = table(spark, d, "embeddings").where("vec_id % 10 = 4")
+    """Every row as a section across the grid."""
+    e = table(spark, d, "embeddings")
     w = (8.0 + F.col("label")).alias("w")
     base = e.select(F.lit(0).alias("workspace_id"), F.col("vec_id").alias("section_id"), (F.col("vec_id") * 2.0).alias("station_m"), w)
     return base.select("workspace_id", "section_id", "station_m", F.lit(1064.0).alias("center_x"), (4999.0 - F.col("station_m")).alias("center_y"), F.lit(1.0).alias("cross_dx"), F.lit(0.0).alias("cross_dy"), F.when(F.col("section_id") % 40 != 14, -F.col("w")).alias("left_bank_distance_m"), F.col("w").alias("right_bank_distance_m"))
@@ -68,7 +68,7 @@ def corridor(spark, d):
 
 
 def find_banks(spark, d):
-    """Banks on every tenth row."""
+    """Banks on every row."""
     keys = ["workspace_id", "section_id"]
     tall = _cells(spark, d).withColumn("value", F.col("value") * 10 + F.abs(F.col("col") - 32) * 0.1)
     samples = B.smoothed(B.sample_lines(_sections(spark, d), tall, GRID, keys, 60.0, 2.0), keys)

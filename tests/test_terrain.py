@@ -176,3 +176,13 @@ def test_selected_branch(spark):
     assert {r.id for r in Gr.selected_branch(ptr, area, one(5), one(0), 1.0).collect()} == {0, 1, 2, 5, 6}
     assert Gr.selected_branch(ptr, area, one(5), one(3), 1.0).count() == 0
     assert [(r.id, r.path_index) for r in Gr.mainstem(ptr, area, one(0), 2.0).orderBy("path_index").collect()] == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_every_row_is_a_section(spark, sf_dir):
+    from hydrospark.queries import terrain_queries as Q
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.section_id for r in Q.find_banks(spark, sf_dir).select("section_id").collect()} == ids
+    # Row k of the grid is section k: the corridor touches every row but those beside a section without a bank.
+    rows = {r.row for r in Q.corridor(spark, sf_dir).select("row").distinct().collect()}
+    assert {i for i in ids if not {k % 40 for k in range(i - 2, i + 3)} & {14}} <= rows
