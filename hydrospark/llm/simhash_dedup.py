@@ -44,8 +44,8 @@ WORDS = 3
 #: The stage's second measure: shingles of so many words, the least similarity, and bands of so many minima.
 WIDE_WORDS = 5
 LEAST_JACCARD = 0.8
-BANDS = 20
-BAND_ROWS = 5
+BANDS = 14
+BAND_ROWS = 4
 SEED = 42
 #: Members of a shard that one task uses as queries; larger shards are walked by several tasks.
 TREE_QUERIES = 20_000
@@ -53,24 +53,24 @@ TREE_QUERIES = 20_000
 ROWS_AT_ONCE = 400_000
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """The hash of every shingle of ``size`` words; a shorter text is one shingle, a wordless one has none."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The hash of every shingle of ``WORDS`` words; a shorter text is one shingle, a wordless one has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= size:
+    if len(words) <= WORDS:
         return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     length = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(length) - 1
     start = end - length + 1
-    cuts = zip(start[: 1 - size].tolist(), end[size - 1 :].tolist())
-    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, len(words) - size + 1)
+    cuts = zip(start[: 1 - WORDS].tolist(), end[WORDS - 1 :].tolist())
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in cuts), np.uint64, len(words) - WORDS + 1)
 
 
 def fingerprint(text: str | None) -> int:
     """The SimHash: bit i is set if it is set in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, WORDS)
+    hashes = shingle_hashes(text)
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):  # bounded memory for very long texts
@@ -228,14 +228,29 @@ def dedup(docs: DataFrame) -> DataFrame:
     return printed.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _DRAW = np.random.default_rng(SEED)
 _TIMES = _DRAW.integers(1 << 63, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _DRAW.integers(1 << 63, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64)
 
 
+def wide_shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles of ``WIDE_WORDS`` words, as numbers made of the words' hashes; a shorter text is one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    number = {w: xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)}
+    each = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
+    size = min(WIDE_WORDS, len(each))
+    out = np.zeros(len(each) - size + 1, np.uint64)
+    for k in range(size):
+        out = (out ^ (out >> np.uint64(29))) * _ODD + each[k : k + len(out)]
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
 def bands(text: str | None) -> list[int]:
     """The MinHash bands of the 5-word shingles, each as one signed number; none for a wordless text."""
-    hashes = shingle_hashes(text, WIDE_WORDS)
+    hashes = wide_shingles(text)
     if not len(hashes):
         return []
     least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
@@ -248,7 +263,7 @@ def bands(text: str | None) -> list[int]:
 
 def jaccard(a: str | None, b: str | None) -> float:
     """Similarity of the sets of 5-word shingles."""
-    x, y = np.unique(shingle_hashes(a, WIDE_WORDS)), np.unique(shingle_hashes(b, WIDE_WORDS))
+    x, y = wide_shingles(a), wide_shingles(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
