@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from hydrospark.session import ship, table
 
-__all__ = ["numbered", "shared_path", "shared_root", "ship", "stored", "table"]
+__all__ = ["join_counted", "numbered", "shared_path", "shared_root", "ship", "stored", "table"]
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is ``spark.checkpoint.dir``; only where the session has none (tests) a
+    It is ``spark.checkpoint.dir``; only where a local session has none (tests) a
     temporary folder of the driver is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         root = spark.sparkContext.getCheckpointDir()
     return root if "://" in root or root.startswith("file:") else f"file://{root}"
@@ -48,12 +50,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``: a number of its own for each row without a doc_id of its own, else zero."""
+    """``docs`` with ``__row``: a number of its own for each row without a doc_id of its own, else zero.  A ``__row`` in ``docs`` is replaced."""
+    docs = docs.drop("__row")
     shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
     shared = stored(shared, "shared-ids")
     if shared.isEmpty():
         return docs.withColumn("__row", F.lit(0).cast("long"))
-    same = docs["doc_id"].eqNullSafe(shared["__id"])
+    named = shared.where("__id is not null")
+    some, rest = docs.where("doc_id is null"), docs.where("doc_id is not null")
+    if not named.isEmpty():
+        same = rest["doc_id"] == named["__id"]
+        some, rest = some.unionByName(rest.join(named, same, "left_semi")), rest.join(named, same, "left_anti")
     # Stored, as the numbers would differ from one computation to the next.
-    rows = stored(docs.join(shared, same, "left_semi").withColumn("__row", F.monotonically_increasing_id() + 1), "shared-id-rows")
-    return docs.join(shared, same, "left_anti").withColumn("__row", F.lit(0).cast("long")).unionByName(rows)
+    rows = stored(some.withColumn("__row", F.monotonically_increasing_id() + 1), "shared-id-rows")
+    return rest.withColumn("__row", F.lit(0).cast("long")).unionByName(rows)
+
+
+#: A key of so many rows is joined by itself.
+HOT_ROWS = 100_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, hot_rows: int | None = None) -> DataFrame:
+    """Inner join on ``key``, where ``counted`` has each key once, with the number ``n`` of its rows.
+
+    Keys of ``hot_rows`` rows or more stay where they are: what is known of them is broadcast,
+    one row for that many rows at least.  The others meet by a shuffle.
+    """
+    limit = hot_rows or HOT_ROWS
+    hot = F.broadcast(counted.where(F.col(n) >= limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(counted.where(F.col(n) < limit), key)
+    return rows.join(hot, key).unionByName(cold)
