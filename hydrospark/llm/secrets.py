@@ -12,10 +12,11 @@ span unless it is an example or a placeholder; spans of the fixed kinds always s
 
 Scale: texts are read once and never shuffled.  Candidates (a hash and a source each)
 are counted with map-side combining, so a value in a third of all rows is a row or two
-from each task; joining the verdicts back moves only candidates.  Only hashes of values
+from each task; joining the verdicts back moves only candidates, and not those of values
+that are very frequent.  Only hashes of values
 are stored, never the values.
 
-Defined results: a null text is empty; a null source is an owner of its own; repeated
+Defined results: a null text is empty; each row without a source is an owner of its own; repeated
 rows each keep their spans and count one owner; an empty table gives an empty result;
 other columns are not read.
 """
@@ -24,12 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm.common import stored, table
+from hydrospark.llm.common import join_counted, stored, table
 
 KINDS = ("assign", "access", "hex", "token", "pem")
 EXAMPLE_OWNERS = 3
@@ -55,14 +57,29 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         found += [("access", *m.span(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", *m.span(), m[0]) for m in _HEX.finditer(text)]
-    fixed = [(a, b) for _, a, b, _ in found]
+    fixed = _joined((a, b) for _, a, b, _ in found)
+    starts = [a for a, _ in fixed]
     wide = [("token", *m.span(), m[0]) for m in _TOKEN.finditer(text) if _mixed(m[0])]
     if "PRIVATE KEY-----" in text:
         wide += [("pem", *m.span(), m[0]) for m in _PEM.finditer(text)]
-    found += [x for x in wide if not any(a < x[2] and x[1] < b for a, b in fixed)]
+    for x in wide:
+        k = bisect_left(starts, x[2])  # stretches before k begin before x ends, and the last of them ends last
+        if not k or fixed[k - 1][1] <= x[1]:
+            found.append(x)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _joined(spans) -> list[tuple[int, int]]:
+    """Overlapping stretches as one, by start."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _mixed(x: str) -> bool:
     return len(set(x)) >= 10 and re.search("[0-9]", x) is not None and re.search("[a-z]", x) is not None and re.search("[A-Z]", x) is not None
 
@@ -90,8 +107,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``hash, n_rows, n_repositories, n_owners`` of every candidate value (columns hash, source)."""
-    by_source = found.withColumn("source", F.coalesce("source", F.lit("\x00null"))).groupBy("hash", "source").agg(F.count("*").alias("n"))
+    """``hash, n_rows, n_repositories, n_owners`` of every candidate value (columns hash, source, row)."""
+    by_source = found.withColumn("source", F.coalesce("source", F.concat(F.lit("\x00"), F.col("row").cast("string")))).groupBy("hash", "source").agg(F.count("*").alias("n"))
     by_owner = by_source.groupBy("hash", F.substring_index("source", "/", 1).alias("owner")).agg(F.sum("n").alias("n"), F.count("*").alias("r"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
@@ -103,11 +120,11 @@ def secrets(docs: DataFrame) -> DataFrame:
     """
     scanned = stored(scan(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = scanned.where(F.size("found") > 0).select("row", "source", F.inline("found"))
-    owned = ownership(each.select("hash", "source"))
+    owned = stored(ownership(each.select("hash", "source", "row")), "secret-owners")
     verdict = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("placeholder"), "placeholder").when(F.col("n_owners") == 1, "live").otherwise("shared")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     spans = (
-        each.join(owned, "hash")
+        join_counted(each, owned, "hash", "n_rows")
         .withColumns({"verdict": verdict, "nth": order})
         .where("nth <= 3 or verdict in ('live', 'shared')")
         .groupBy("row")
@@ -139,7 +156,7 @@ _LEAST = {"assign": 12, "access": 18, "hex": 16, "token": 20}
 #: Every match of a kind with its place: matches and what lies between them are cut by the same
 #: pattern, and their lengths add up.  (PEM blocks are left to the tests.)
 OP1_SQL = (
-    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, 'null') AS source, coalesce(text, '') AS text FROM documents), m AS ("
+    "WITH d0 AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents), d AS (SELECT r, doc_id, coalesce(source, 'no source ' || r) AS source, text FROM d0), m AS ("
     + " UNION ALL ".join(
         f"""SELECT r, source, '{k}' AS kind, {n} AS nth, list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS a, hits[i] AS hit, vals[i] AS v
 FROM (SELECT r, source, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM (
