@@ -8,9 +8,10 @@ with enough room and continues to its successors until one is compatible; else a
 bin is opened.  A document longer than a sequence is cut; its whole sequences fill bins
 of their own, and the remainder is packed.
 
-Scale: only (doc_id, size, source, cluster) moves.  Documents are dealt by a hash of doc_id
-to groups of about ``GROUP_ROWS`` rows, so that every group, and so every task's memory,
-is bounded and a hot source is spread over all groups; each group is packed on its own.
+Scale: only (doc_id, size, source, cluster) moves.  Documents are dealt by a hash of doc_id,
+text and, of rows without a doc_id of their own, a row number, to groups of about ``GROUP_ROWS``
+rows, so that every group, and so every task's memory, is bounded and a hot source, a repeated
+row or a missing id is spread over all groups; each group is packed on its own.
 
 Defined results: null and wordless texts get a row without a bin; null sources count
 as one source of their own kind; repeated rows are packed like any others (they are one
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm.common import table
+from hydrospark.llm.common import numbered, stored, table
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
@@ -76,10 +77,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``bin`` is null for documents without words.
     """
-    rows = sizes(docs)
-    n_groups = max(1, -(-docs.count() // GROUP_ROWS))
+    rows = stored(sizes(docs), "packing-sizes")
+    n_groups = max(1, -(-rows.count() // GROUP_ROWS))
     kind = dict(docs.dtypes)["doc_id"]
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(n_groups)))
+    dealt = numbered(rows).withColumn("grp", F.pmod(F.xxhash64("doc_id", "cluster", "__row"), F.lit(n_groups))).drop("__row")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "cluster"], kind="stable", ignore_index=True)
