@@ -2,18 +2,19 @@
 
 Records are hashed into ``N_SLOTS`` virtual slots; the bytes of each slot are summed, and a
 versioned map gives every slot a shard.  Version 1 places the heaviest slots first, each
-on the lightest shard, so shards are near equal in bytes (law ``bytes``).  Rebalancing
-edits the map: ``grown`` gives a version with more shards that moves slots into the new
-shards only.  The slot of a record never changes.
+on the lightest shard, so shards are near equal in bytes (law ``bytes``).  The map is a table
+under a path of the caller's, a folder for each version; ``shard`` uses its latest version
+where there is one, and ``rebalance`` edits that into the next: slots move into the new
+shards, or from overfull into light ones, and nowhere else.  The slot of a record never changes.
 
 Scale: one pass over doc_id and the text's length; what is shuffled is (slot, doc_id, size)
-to number the records.  A slot holds a small, even part of the rows whatever the sources
-or texts are, as slots hash doc_id and text together.  The map has ``N_SLOTS`` rows and the
-driver sees one sum for each slot.
+to number the records, and the keys of rows that are repeated.  A slot holds a small, even part
+of the rows whatever the sources or texts are, as slots hash doc_id, text and, of rows equal in
+both, which copy it is.  The map has ``N_SLOTS`` rows and the driver sees one sum for each slot.
 
 Defined results: a null text has no bytes and checksum 0; null doc_ids hash like a value;
-rows equal in id and text share a slot and are numbered in any order; an empty table gives
-an empty result and a map of empty slots; other columns are not read.
+rows equal in id and text are copies 0, 1, ... in no set order and go to slots of their own; an
+empty table gives an empty result and a map of empty slots; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,18 +25,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hydrospark.llm.common import shared_path, table
+from hydrospark.llm.common import shared_path, stored, table
 
 N_SLOTS = 4096
 N_SHARDS = 40
 ROW_BYTES = 16
+#: Copies of one row that are numbered together.
+BLOCK = 100_000
 
 
 def slotted(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """``doc_id, size, text_crc32, vslot`` of every row."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(raw).cast("string")))
-    return docs.select("doc_id", (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n_slots).cast("int").alias("vslot"))
+    plain = docs.select("doc_id", (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = stored(plain.withColumn("__at", F.monotonically_increasing_id()), "sizes")
+    same = ["doc_id", "size", "text_crc32"]
+    often = rows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"__{c}") for c in same])
+    often = stored(often, "repeated-rows")
+    if often.isEmpty():
+        copies = rows.withColumn("copy", F.lit(0).cast("long"))
+    else:
+        equal = rows["doc_id"].eqNullSafe(often["__doc_id"]) & (rows["size"] == often["__size"]) & (rows["text_crc32"] == often["__text_crc32"])
+        # Numbered in blocks of rows that lie together, then the blocks one after the other: no task holds all copies of a row.
+        block = F.floor(F.col("__at") / (1 << 33))
+        some = stored(rows.join(often, equal, "left_semi").withColumns({"__part": block, "__sub": F.floor(F.col("__at") % (1 << 33) / BLOCK)}), "copies")
+        blocks = some.groupBy(*same, "__part", "__sub").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy(*same).orderBy("__part", "__sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        offset = blocks.select(*[F.col(c).alias(f"__{c}") for c in same], F.col("__part").alias("__p"), F.col("__sub").alias("__s"), before.alias("__before"))
+        nth = F.row_number().over(W.partitionBy(*same, "__part", "__sub").orderBy("__at")) - 1
+        numbered = some.withColumn("__nth", nth)
+        there = numbered["doc_id"].eqNullSafe(offset["__doc_id"]) & (numbered["size"] == offset["__size"]) & (numbered["text_crc32"] == offset["__text_crc32"]) & (numbered["__part"] == offset["__p"]) & (numbered["__sub"] == offset["__s"])
+        copied = numbered.join(offset, there).select(*same, (F.col("__before") + F.col("__nth")).cast("long").alias("copy"))
+        copies = rows.join(often, equal, "left_anti").select(*same, F.lit(0).cast("long").alias("copy")).unionByName(copied)
+    which = F.when(F.col("copy") > 0, F.concat(F.lit(":"), F.col("copy").cast("string"))).otherwise("")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string"), which))
+    return copies.select(*same, (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n_slots).cast("int").alias("vslot"))
 
 
 def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> list[tuple[int, int]]:
@@ -83,29 +107,87 @@ def grown(slot_map: list[int], loads: list[tuple[int, int]], more: int = 1) -> l
     return out
 
 
-def stored_map(spark: SparkSession, slot_map: list[int], loads: list[tuple[int, int]], path: str, version: int) -> DataFrame:
-    """Write a version of the map and read it back.
+def evened(slot_map: list[int], loads: list[tuple[int, int]], slack: float = 0.02) -> list[int]:
+    """The next version for a corpus that has grown: slots of overfull shards go to the lightest, while that helps.
 
-    Columns: ``version, vslot, shard, first`` (the number of the slot's first record in its shard), ``bytes, rows``.
+    Shards within ``slack`` of the mean keep their slots.
     """
-    before: dict[int, int] = {}
-    rows = []
-    for slot, shard in enumerate(slot_map):
-        rows.append((version, slot, shard, before.get(shard, 0), *loads[slot]))
-        before[shard] = before.get(shard, 0) + loads[slot][1]
-    kind = "version int, vslot int, shard int, first long, bytes long, rows long"
-    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{path}/version-{version:06d}")
-    return spark.read.schema(kind).parquet(f"{path}/version-{version:06d}")
+    out = list(slot_map)
+    n = max(out) + 1
+    total = [0] * n
+    members: list[list[int]] = [[] for _ in range(n)]
+    for slot, shard in enumerate(out):
+        total[shard] += loads[slot][0]
+        members[shard].append(slot)
+    limit = sum(total) / n * (1 + slack)
+    for donor in sorted(range(n), key=lambda s: -total[s]):
+        for slot in sorted(members[donor], key=lambda k: (-loads[k][0], k)):
+            to = min(range(n), key=lambda s: (total[s], s))
+            if total[donor] <= limit:
+                break
+            if loads[slot][0] and total[to] + loads[slot][0] < total[donor] and total[to] + loads[slot][0] <= limit:
+                total[donor] -= loads[slot][0]
+                total[to] += loads[slot][0]
+                out[slot] = to
+    return out
+
+
+_MAP = "version int, vslot int, shard int, bytes long, rows long"
+
+
+def write_map(spark: SparkSession, slot_map: list[int], loads: list[tuple[int, int]], path: str, version: int) -> None:
+    """Write one version of the map; a version that is there already is never overwritten."""
+    rows = [(version, slot, shard, *loads[slot]) for slot, shard in enumerate(slot_map)]
+    spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("error").parquet(f"{path}/version={version:06d}")
+
 
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:
+    """(version, shard of each slot), of the latest version unless one is named; None where there is no map."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    disk = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not disk.exists(root):
+        return None
+    names = [x.getPath().getName() for x in disk.listStatus(root)]
+    whole = [int(n.split("=")[1]) for n in names if n.startswith("version=") and disk.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    if version is None and not whole:
+        return None
+    version = max(whole) if version is None else version
+    rows = spark.read.schema(_MAP).parquet(f"{path}/version={version:06d}").select("vslot", "shard").collect()
+    return version, [s for _, s in sorted((r["vslot"], r["shard"]) for r in rows)]
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot, vslot``; slot numbers the records of a shard from 0."""
+
+def rebalance(docs: DataFrame, path: str, more: int = 0) -> int:
+    """Edit the latest map for what ``docs`` weighs now, with ``more`` further shards, and write it as the next version; its number."""
+    spark = docs.sparkSession
+    version, old = read_map(spark, path)
+    loads = slot_loads(slotted(docs, len(old)), len(old))
+    write_map(spark, grown(old, loads, more) if more else evened(old, loads), loads, path, version + 1)
+    return version + 1
+
+
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, path: str | None = None, version: int | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot, vslot``; slot numbers the records of a shard from 0.
+
+    With a ``path``, the map there is used (the latest version, or the one named); where it has none, and
+    without a path, version 1 is made for ``n_shards`` and ``n_slots``.
+    """
+    spark = docs.sparkSession
+    known = read_map(spark, path, version) if path else None
+    n_slots = len(known[1]) if known else n_slots
     rows = slotted(docs, n_slots)
     loads = slot_loads(rows, n_slots)
-    spark = docs.sparkSession
-    placed = stored_map(spark, balanced(loads, n_shards), loads, shared_path(spark, "slot-map"), 1)
+    slot_map = known[1] if known else balanced(loads, n_shards)
+    if not known:
+        write_map(spark, slot_map, loads, path or shared_path(spark, "slot-map"), 1)
+    before: dict[int, int] = {}
+    firsts = []
+    for slot, to in enumerate(slot_map):
+        firsts.append((slot, to, before.get(to, 0)))
+        before[to] = before.get(to, 0) + loads[slot][1]
+    placed = spark.createDataFrame(firsts, "vslot int, shard int, first long")
     in_slot = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "text_crc32")) - 1
-    return rows.withColumn("nth", in_slot).join(F.broadcast(placed.select("vslot", "shard", "first")), "vslot").select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).alias("slot"), "vslot")
+    return rows.withColumn("nth", in_slot).join(F.broadcast(placed), "vslot").select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).alias("slot"), "vslot")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +206,8 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM
 h AS (SELECT r, doc_id, text, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM d),
 b AS (SELECT r, doc_id, n, list_transform(range(0, n), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)) AS bytes FROM h),
 s AS (SELECT r, doc_id, CAST(n + 16 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) AS text_crc32 FROM b, crc),
-v AS (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 8) AS BIGINT) % 4096 AS INTEGER) AS vslot FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS copy FROM s),
+v AS (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || CASE WHEN copy > 0 THEN ':' || copy ELSE '' END), 1, 8) AS BIGINT) % 4096 AS INTEGER) AS vslot FROM k),
 loads AS (SELECT k AS vslot, CAST(coalesce(sum(size), 0) AS BIGINT) AS b, count(size) AS n FROM range(4096) t(k) LEFT JOIN v ON vslot = k GROUP BY 1),
 ordered AS (SELECT *, row_number() OVER (ORDER BY b DESC, vslot) AS i FROM loads),
 greedy(i, slot, shard, total) AS (
