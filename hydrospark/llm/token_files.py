@@ -10,14 +10,18 @@ number.  Numbers lead to a stored 32-bit fingerprint of the key, which tells for
 off, and to the row whose offset and length give the ids in the payload.
 
 Scale: ids are compressed for the shuffle; a task holds one batch of ids and the index of
-its shard (about 30 bytes for a document), never a shard's payload.  A shard is written under
-a name of its own attempt and then moved in place, so tasks can be repeated and lost
-executors cost only their shards.
-
-Defined results: a null text is empty and gets only the end id; null doc_ids come first;
-equal doc_ids stay together in one shard, in the order of their ids' bytes, and the index
-leads to the first of them (``copies`` says how many follow); an empty table gives an empty
-result; other columns are not read.
+its shard (about 30 bytes for a document), never a shard's payload.  Shards take about
+``SHARD_BYTES`` each, however many there are; a doc_id with more rows than a shard takes is dealt
+to several neighbouring ones.  Files are read back in blocks of ``BLOCK_BYTES``, a few documents
+or many to a request.  A shard is written under a name of its own attempt and then moved in
+place, so tasks can be repeated and lost executors cost only their shards; what failed attempts
+leave is removed when all shards are there.
+
+Defined results: a null text is empty and gets only the end id; doc_ids are whole numbers (of
+any other type a ValueError says so); null doc_ids come first; equal doc_ids lie next to each
+other, in the order of their ids' bytes within a shard, and each shard's index leads to the first
+of them that it holds (``copies`` says how many it holds); an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydrospark.llm.common import shared_path, stored, table
 
@@ -43,6 +48,10 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Bytes of text that a shard takes, about.
 SHARD_BYTES = 64 << 20
+#: What a document counts for beside its text.
+DOC_BYTES = 64
+#: Bytes of payload in one read.
+BLOCK_BYTES = 8 << 20
 #: Words and marks whose ids a worker remembers (about 25 bytes each).
 CACHE_PIECES = 1_500_000
 #: Bytes of text that are cut into words at once.
@@ -306,6 +315,19 @@ class ShardReader:
             n += 1
         return n
 
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids) of all rows, a block of the payload at a time."""
+        w, row = self.kind.itemsize, 0
+        ends = self.ends.astype(np.int64)
+        while row < len(ends):
+            start = int(ends[row - 1]) if row else 0
+            last = max(row + 1, int(np.searchsorted(ends, start + BLOCK_BYTES // w, "right")))
+            block = np.frombuffer(self.source.read_at((int(ends[last - 1]) - start) * w, start * w), self.kind)
+            for r in range(row, last):
+                a = int(ends[r - 1]) if r else 0
+                yield r, block[a - start : int(ends[r]) - start]
+            row = last
+
     def ids(self, row: int) -> np.ndarray:
         start = int(self.ends[row - 1]) if row else 0
         w = self.kind.itemsize
@@ -331,11 +353,12 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, n_shards: int) -> D
     Shards are ranges of doc_id, cut at its approximate quantiles.
     """
     key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"))
-    cuts = sorted(set(key.approxQuantile("k", [i / n_shards for i in range(1, n_shards)], 0.2 / n_shards))) if n_shards > 1 else []
+    cuts = sorted(int(c) for c in key.approxQuantile("k", [i / n_shards for i in range(1, n_shards)], 0.2 / n_shards)) if n_shards > 1 else []
     width = Encoder(vocabulary).kind
-    shard = F.lit(0)
-    if cuts:
-        shard = F.expr(f"size(filter(array({','.join(f'{int(c)}L' for c in cuts)}), c -> c < k))") if len(cuts) < 64 else _bucket(cuts)
+    # A doc_id that is several cuts has enough rows for as many shards; they are dealt evenly to those.
+    under, upto = _below(cuts, "<"), _below(cuts, "<=")
+    spread = F.pmod(F.xxhash64("ids", F.monotonically_increasing_id()), upto - under + 1).cast("int")
+    shard = under + F.when(upto - under > 1, spread).otherwise(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, root = fs.FileSystem.from_uri(path)
@@ -366,13 +389,13 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, n_shards: int) -> D
     return rows.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "k", "ids").mapInArrow(run, "shard int, file string, n_docs long, n_ids long")
 
 
-def _bucket(cuts: list[float]):
-    """Binary search among many cuts."""
-    steps = F.array(*[F.lit(int(c)) for c in cuts])
-    found = F.lit(0)
+def _below(cuts: list[int], how: str):
+    """How many of the sorted cuts are under ``k`` (or equal to it as well), by binary search."""
+    steps, found = F.array(*[F.lit(c) for c in cuts]), F.lit(0)
     for b in reversed(range(len(cuts).bit_length())):
         more = found + (1 << b)
-        found = F.when((more <= len(cuts)) & (F.get(steps, more - 1) < F.col("k")), more).otherwise(found)
+        at = F.get(steps, more - 1)
+        found = F.when((more <= len(cuts)) & (at < F.col("k") if how == "<" else at <= F.col("k")), more).otherwise(found)
     return found
 
 
@@ -388,27 +411,46 @@ def read_files(manifest: DataFrame, path: str) -> DataFrame:
             for name, before in zip(b.column("file").to_pylist(), b.column("before").to_pylist()):
                 with place.open_input_file(f"{root}/{name}") as source:
                     shard = ShardReader(source)
-                    distinct = shard.keys[np.concatenate(([True], shard.keys[1:] != shard.keys[:-1]))]
-                    for k in range(0, len(distinct), 10_000):
-                        part = distinct[k : k + 10_000]
-                        out: list[tuple] = []
-                        for key, row in zip(part.tolist(), shard.rows(part).tolist()):
-                            n = shard.copies(row)
-                            for r in range(row, row + n):
-                                ids = shard.ids(r)
-                                start = before + (int(shard.ends[r - 1]) if r else 0)
-                                out.append((None if key == _NULL else key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n))
-                        cols = list(zip(*out))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32", "copies"])
+                    first = np.concatenate(([True], shard.keys[1:] != shard.keys[:-1])) if len(shard.keys) else np.zeros(0, bool)
+                    # The index leads every key to its first row; the rows that follow are its copies.
+                    rows = shard.rows(shard.keys[first])
+                    if not np.array_equal(rows, np.flatnonzero(first)):
+                        raise ValueError(f"the index of {name} does not fit its rows")
+                    copies = np.diff(np.append(rows, len(shard.keys)))[np.cumsum(first) - 1]
+                    out: list[tuple] = []
+                    for r, ids in shard.blocks():
+                        key, start = int(shard.keys[r]), before + (int(shard.ends[r - 1]) if r else 0)
+                        out.append((None if key == _NULL else key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(copies[r])))
+                        if len(out) == 10_000:
+                            yield _table(out)
+                            out = []
+                    if out:
+                        yield _table(out)
 
     return manifest.select("file", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, copies long")
 
 
+def _table(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32", "copies"])
+
+
+def _tidy(spark: SparkSession, path: str) -> None:
+    """Remove what attempts that failed have left."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    disk = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for left in disk.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/.part-*")) or []:
+        disk.delete(left.getPath(), False)
+
+
 def token_files(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
     """Write token files of ``docs`` under ``path`` and read them back, one row for each document."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be a whole number")
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + DOC_BYTES), F.lit(0)).alias("b")).first()["b"]
     n_shards = max(8, -(-size // SHARD_BYTES)) if size else 1
     written = stored(write_files(docs, path, vocabulary, n_shards), "token-manifest")
+    _tidy(docs.sparkSession, path)
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     manifest = written.withColumn("before", before)  # a row for each shard
     return read_files(manifest.repartition(n_shards, "shard"), path)
