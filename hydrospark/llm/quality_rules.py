@@ -12,18 +12,22 @@ Scale: one narrow pass over the texts, no shuffle of text.  The driver sees at m
 
 Defined results: a null text has no words and is treated as empty; a document
 without words fails the base rule; repeated rows and null ids are judged row by row;
-an empty table gives an empty result; other columns are neither read nor changed.
+an empty table gives an empty result; other columns are neither read nor changed (columns
+``__votes`` and ``__failed`` are ``keep``'s own and do not come out of it).
 """
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydrospark.llm.common import stored, table
 
@@ -36,16 +40,14 @@ LIMITS = {
     "dup_lines": (None, None, 0.20, 0.50),
     "word_length": (2.5, 3.5, 7.0, 9.0),
     "capitals": (None, None, 0.15, 0.50),
-    "variety": (0.10, 0.30, None, None),
+    "variety": (0.65, 0.80, None, None),
     "letters": (0.60, 0.70, None, None),
     "wordlike": (0.80, 0.95, None, None),
 }
 KEEP_FROM = 0.5
-#: In the start of the expectation maximisation a "bad" vote counts as much as this many "good" ones: most rules look for one fault.
-BAD_WEIGHT = 3.0
-#: A rule votes "bad" on this share of good documents at most; its thresholds are set for that.
+#: A rule votes "bad" on this share of good documents at most: a bound of the maximisation, as the thresholds are set for that.
 FALSE_ALARM = 0.01
-#: Most that one abstention moves the log odds.
+#: Most that one abstention moves the log odds.  The README has what happens without either bound.
 ABSTAIN = 1.0
 _WORDLIKE = re.compile(rb"[A-Za-z0-9\x80-\xff]").search
 _ASCII_RUN = re.compile("[\x00-\x7f]+").sub
@@ -85,7 +87,7 @@ def measure(text: str | None) -> dict:
         "dup_lines": dup / max(len(lines), 1),
         "word_length": chars / some,
         "capitals": sum(map(bytes.isupper, words)) / some,
-        "variety": len(ids) / some ** 0.8 if n > 1000 else len(ids) / some,
+        "variety": math.log(max(len(ids), 1)) / math.log(n) if n > 1 else 1.0,
         "letters": _letters(text) / max(chars, 1),
         "wordlike": sum(w.isalnum() or _WORDLIKE(w) is not None for w in words) / some,
     }
@@ -101,8 +103,9 @@ def measure(text: str | None) -> dict:
 
 
 def _letters(text: str) -> int:
-    """How many characters are letters; only those beyond ASCII are looked at one by one."""
-    return len(text.encode("ascii", "ignore").translate(None, _ASCII_OTHERS)) + sum(map(str.isalpha, _ASCII_RUN("", text)))
+    """How many characters are letters or marks on them; only those beyond ASCII are looked at one by one."""
+    other = _ASCII_RUN("", text)
+    return len(text.encode("ascii", "ignore").translate(None, _ASCII_OTHERS)) + (len(other) if other.isalpha() else sum(c.isalpha() or unicodedata.category(c)[0] == "M" for c in other))
 
 
 def _vote(x: float, bad_below, good_from, good_to, bad_above) -> str:
@@ -132,7 +135,7 @@ def features(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("
 def fit(counts: dict[str, int], rounds: int = 200, smooth: float = 1.0) -> dict[str, float]:
     """Posterior probability of a good document for every vote pattern, by expectation maximisation.
 
-    The start is the weighted share of good among the votes cast.  Rates are smoothed by
+    The start is the share of good among the votes cast.  Rates are smoothed by
     ``smooth`` pseudo-votes, and a rule's rate of "bad" votes on good documents is held
     to FALSE_ALARM, so that the class of good documents cannot take in a kind of junk.
     """
@@ -143,7 +146,7 @@ def fit(counts: dict[str, int], rounds: int = 200, smooth: float = 1.0) -> dict[
     kind = np.array([["-0+".index(c) for c in p] for p in patterns])
     onehot = np.eye(3)[kind]  # pattern, rule, vote
     good, bad = onehot[:, :, 2].sum(1), onehot[:, :, 0].sum(1)
-    post = (good + 0.5) / (good + BAD_WEIGHT * bad + 1.0)
+    post = (good + 0.5) / (good + bad + 1.0)
     for _ in range(rounds):
         rates = []
         for weight in (post * n, (1 - post) * n):
@@ -182,16 +185,22 @@ def score(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are.
 
-    Counts first, then judges in a second pass: texts are measured twice but never shuffled.
+    Texts are measured once and written with their votes; the votes are then counted and
+    judged where they lie.
     """
-    post = fit(pattern_counts(features(docs, keys=())))
+    docs = docs.drop("__votes", "__failed")
+    schema = T.StructType([*docs.schema, T.StructField("__votes", T.StringType()), T.StructField("__failed", T.BooleanType())])
 
     def run(batches):
         for b in batches:
             rows = [measure(t) for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array([not r["base_failed"] and post.get(r["votes"], 0.0) >= KEEP_FROM for r in rows], pa.bool_()))
+            made = [pa.array([r["votes"] for r in rows], pa.string()), pa.array([r["base_failed"] for r in rows], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "__votes", "__failed"])
 
-    return docs.mapInArrow(run, docs.schema)
+    voted = stored(docs.mapInArrow(run, schema), "quality-votes")
+    post = fit(pattern_counts(voted.select(F.col("__votes").alias("votes"))))
+    good = docs.sparkSession.createDataFrame([(v,) for v, x in post.items() if x >= KEEP_FROM], "__good string")
+    return voted.where("not __failed").join(F.broadcast(good), F.col("__votes") == F.col("__good"), "left_semi").select(*docs.columns)
 
 
 def accuracy(counts: Counter | dict[str, int]) -> dict[str, tuple[float, float]]:
