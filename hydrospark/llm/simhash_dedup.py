@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from hydrospark.llm.common import numbered, stored, table
+from hydrospark.llm.common import join_counted, numbered, stored, table
 from hydrospark.operators.graph import components
 
 RADIUS = 3
@@ -220,12 +220,12 @@ def near_links(distinct: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row."""
     printed = stored(fingerprints(docs), "simhash")
-    distinct = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     groups = components(near_links(distinct))
-    named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
-    return printed.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = stored(named.join(least, "root").select("fp", "n", "component_id"), "simhash-labels")
+    return join_counted(printed, label, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
