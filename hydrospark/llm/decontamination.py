@@ -10,10 +10,12 @@ a match of two words or more, so the automaton is stepped through those alone; t
 rest of a text would only throw it back to its start.
 
 Scale: one narrow pass over the texts, nothing is shuffled.  The items are sent to the
-executors in automata of at most ``ITEM_WORDS`` words each; a larger benchmark becomes
-several automata, applied one after another.
+executors in automata of at most ``ITEM_WORDS`` words each, one broadcast for each, and the
+driver builds one at a time; a larger benchmark becomes several automata, applied one after
+another, in the pipeline's stage as in the report.
 
-Defined results: null texts and items have no words; items with equal ids count once;
+Defined results: null texts and items have no words; items with equal ids count once; an
+item without an id hits words like any other but is neither counted in ``n_items`` nor named;
 repeated rows are judged row by row; empty tables give empty results or no hits; other
 columns are not read.
 """
@@ -27,14 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hydrospark.llm.common import table
+from hydrospark.llm.common import stored, table
 
 WINDOW = 13
 #: A document is contaminated if it has a hit and one word in this many, or more, is hit.
 COVERAGE = 20
 #: Words of test items in one automaton (about 300 bytes each when built).
-ITEM_WORDS = 1_000_000
+ITEM_WORDS = 250_000
+#: Columns of a scan.
+MADE = ("__spans", "__items", "__n")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -47,7 +52,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """A generalised suffix automaton over word numbers, with the items of each window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         self.ids: dict[bytes, int] = {}
         coded = [(i, [self.ids.setdefault(w, len(self.ids)) for w in ws]) for i, ws in items if ws]
         self.next: list[dict[int, int]] = [{}]
@@ -175,36 +180,43 @@ def automata(benchmark: DataFrame):
     """Automata of all items, each of about ITEM_WORDS words; the driver holds one group of items at a time."""
     group: list[tuple[str, list[bytes]]] = []
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null").toLocalIterator():
         words = words_of(row["t"])
         if group and size + len(words) > ITEM_WORDS:
             yield Automaton(group)
             group, size = [], 0
+        if len(words) > ITEM_WORDS:  # cut, with a window's overlap, so that no window is lost
+            step = max(ITEM_WORDS - WINDOW, WINDOW)
+            for k in range(0, len(words) - WINDOW + 1, step):
+                yield Automaton([(row["i"], words[k : k + step + WINDOW - 1])])
+            continue
         group.append((row["i"], words))
         size += len(words)
     yield Automaton(group)
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (which must have ``text``) with __spans and __items: hit stretches of words and item ids.
+    """``docs`` (which must have ``text``) with ``__spans, __items, __n``: hit stretches of words, item ids, number of words.
 
-    Columns of those two names in ``docs`` are replaced.
+    Columns of those names in ``docs`` are replaced.
     """
-    docs = docs.drop("__spans", "__items")
-    out = docs.withColumns({"__spans": F.expr("cast(array() as array<int>)"), "__items": F.expr("cast(array() as array<string>)")})
+    docs = docs.drop(*MADE)
+    out = docs.withColumns({"__spans": F.expr("cast(array() as array<int>)"), "__items": F.expr("cast(array() as array<string>)"), "__n": F.lit(0).cast("long")})
     for automaton in automata(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
         def run(batches, sent=sent):
             found = sent.value
             for b in batches:
-                flat, names = [], []
+                flat, names, n = [], [], []
                 for text, old, had in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), b.column("__items").to_pylist()):
-                    spans, items = found.scan(words_of(text))
+                    words = words_of(text)
+                    spans, items = found.scan(words)
                     flat.append([x for s in merged([*zip(old[::2], old[1::2]), *spans]) for x in s])
-                    names.append(sorted({*had, *items}))
-                cols = [b.column(c) for c in b.schema.names if c not in ("__spans", "__items")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(flat, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=[*(c for c in b.schema.names if c not in ("__spans", "__items")), "__spans", "__items"])
+                    names.append(sorted({*had, *items} - {None}))
+                    n.append(len(words))
+                rest = [c for c in b.schema.names if c not in MADE]
+                yield pa.RecordBatch.from_arrays([*map(b.column, rest), pa.array(flat, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(n, pa.int64())], names=[*rest, *MADE])
 
         out = out.mapInArrow(run, out.schema)
     return out
@@ -229,33 +241,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the hit spans cut out of contaminated documents, until none is left in them.
 
     Documents below the coverage limit stay as they are.  A contaminated document of
-    which no word is left goes.  ``n_chars``, where present, follows the new text.
+    which no word is left goes.  ``n_chars``, where present, follows the new text.  All are
+    scanned once; those that were cut are scanned again, as a cut joins what stood around it.
     """
-    columns = docs.columns
-    found = list(automata(benchmark)) if benchmark is not None else []
-    sent = docs.sparkSession.sparkContext.broadcast(found)
+    columns, done, rest = docs.columns, [], docs
+    while True:
+        seen = stored(_cut(scanned(rest, benchmark)), "decontaminated")
+        done.append(seen.where("not __again").select(*columns))
+        rest = seen.where("__again").select(*columns)
+        if rest.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
-    def run(batches):
-        def spans_of(words):
-            return [x for s in merged([s for a in sent.value for s in a.scan(words)[0]]) for x in s]
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Scanned rows with the spans of contaminated ones cut out; ``__again`` marks those with words left."""
+    schema = T.StructType([*(f for f in rows.schema if f.name not in MADE), T.StructField("__again", T.BooleanType())])
+
+    def run(batches):
         for b in batches:
-            texts, mask = [], []
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                spans = spans_of(words)
-                keep = True
-                while judged(spans, len(words))[1]:
-                    text = remove_spans(text, spans)
-                    words = words_of(text)
-                    keep, spans = bool(words), spans_of(words)
-                texts.append(text)
-                mask.append(keep)
-            cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in b.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(mask, pa.bool_()))
+            texts, again, mask = [], [], []
+            for text, spans, n in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), b.column("__n").to_pylist()):
+                n_hit, bad = judged(spans, n)
+                texts.append(remove_spans(text, spans) if bad else text)
+                again.append(bad)
+                mask.append(not bad or n > n_hit)
+            cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in b.schema.names if c not in MADE]
+            made = pa.RecordBatch.from_arrays([*cols, pa.array(again, pa.bool_())], names=[*(c for c in b.schema.names if c not in MADE), "__again"])
+            yield made.filter(pa.array(mask, pa.bool_()))
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    return rows.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -263,17 +281,16 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = list(zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), b.column("__items").to_pylist()))
-            n = [len(words_of(t)) for t, _, _ in rows]
-            hit = [judged(s, k) for (_, s, _), k in zip(rows, n)]
-            digest = [hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in rows]
+            items = b.column("__items").to_pylist()
+            hit = [judged(s, k) for s, k in zip(b.column("__spans").to_pylist(), b.column("__n").to_pylist())]
+            digest = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array([h for h, _ in hit], pa.int64()), pa.array([len(i) for _, _, i in rows], pa.int64()), pa.array(digest, pa.string()), pa.array([c for _, c in hit], pa.bool_()), b.column("__spans")],
+                [b.column("doc_id"), b.column("__n"), pa.array([h for h, _ in hit], pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest, pa.string()), pa.array([c for _, c in hit], pa.bool_()), b.column("__spans")],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
     found = scanned(docs.select("doc_id", "text"), benchmark)
-    return found.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>")
+    return found.drop("text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +308,7 @@ iw AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 win AS (
   SELECT DISTINCT item, least(13, len(w)) AS k, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') AS s
   FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM iw WHERE len(w) > 0)),
@@ -301,7 +318,7 @@ dwin AS (
   FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, sizes WHERE len(w) >= k)),
 hits AS (SELECT rid, d.k, p, item FROM dwin d JOIN win USING (k, s)),
 hw AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM hits) GROUP BY rid),
-hi AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+hi AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
