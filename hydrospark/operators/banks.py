@@ -34,7 +34,7 @@ def smoothed(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     w = W.partitionBy(*keys).orderBy("distance_m")
     ft = samples.withColumn("elevation_ft", F.col("elevation_m") * C.M_TO_FT)
-    return ft.withColumn("__f", S.fill_by_row("elevation_ft", w)).withColumn("smooth_ft", S.savgol("__f", w)).drop("__f")
+    return ft.withColumn("__f", S.fill_by_row("elevation_ft", keys, "distance_m")).withColumn("smooth_ft", S.savgol("__f", w)).drop("__f")
 
 
 def peaks(y: np.ndarray, prominence: float, distance: int) -> np.ndarray:

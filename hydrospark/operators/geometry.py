@@ -35,7 +35,7 @@ def corridor_quads(profile: DataFrame, by: Sequence[str] = ("workspace_id",), le
     df = profile.withColumns({"__ok": ok, "__l": F.when(ok, F.least(a, b)), "__r": F.when(ok, F.greatest(a, b))})
     df = df.withColumn("__n", F.sum(F.col("__ok").cast("int")).over(whole)).where(F.col("__n") >= least_pairs)
     size = F.hypot("cross_dx", "cross_dy")
-    df = df.withColumns({"__l": S.fill_linear("__l", "station_m", w), "__r": S.fill_linear("__r", "station_m", w), "__dx": X.safe_divide("cross_dx", size), "__dy": X.safe_divide("cross_dy", size)})
+    df = df.withColumns({"__l": S.fill_linear("__l", "station_m", by, "station_m"), "__r": S.fill_linear("__r", "station_m", by, "station_m"), "__dx": X.safe_divide("cross_dx", size), "__dy": X.safe_divide("cross_dy", size)})
     at = lambda d: F.struct((F.col("center_x") + F.col(d) * F.col("__dx")).alias("x"), (F.col("center_y") + F.col(d) * F.col("__dy")).alias("y"))
     df = df.withColumns({"__a": at("__l"), "__b": at("__r")})
     df = df.withColumns({"__c": F.lead("__b").over(w), "__d": F.lead("__a").over(w)}).where("__c is not null")

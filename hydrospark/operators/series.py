@@ -76,22 +76,34 @@ def excess_volume(hydrograph: DataFrame, bankfull: Column | str | float, by: Seq
     )
 
 
+def both_ways(by: Sequence[str], *order: str):
+    """Windows from the start of a series to a row, and from its end: with ``last`` they look back and ahead.
+
+    Rows that are equal in the order see each other.  (A frame that ends at the series' end is
+    worked anew for every row; the reverse of one that begins at its start is not.)
+    """
+    frame = (W.unboundedPreceding, W.currentRow)
+    return W.partitionBy(*by).orderBy(*order).rangeBetween(*frame), W.partitionBy(*by).orderBy(*[F.desc_nulls_last(c) for c in order]).rangeBetween(*frame)
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, value: str, by: Sequence[str], time: str = "time", tolerance_seconds: float = 1800.0) -> DataFrame:
     """Every row of ``left`` with the ``value`` of ``right`` that is nearest in time.
 
     The tolerance is inclusive; of two at the same distance the earlier wins; rows of
-    ``left`` without a partner stay out.  One shuffle and one sort: both sides are united and
-    the neighbours are looked up in a window.
+    ``left`` without a partner stay out.  Both sides are dealt to spans of time, 32 tolerances
+    long, and values near the end of a span to the next one as well, so that a long series is
+    spread over many tasks; one shuffle then, and neighbours by looking back in a window and in its reverse.
     """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    reach = max(int(tolerance_seconds * 1_000_000), 0)
+    span = max(32 * reach, 1_000_000)
     own = [c for c in left.columns if c not in (*by, time)]
-    a = left.select(*by, F.col(time).alias("__t"), F.struct(*[F.col(c) for c in own], F.lit(True).alias("__is")).alias("__l"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(None).cast(left.schema[time].dataType).alias("__vt"))
-    b = right.where(F.col(value).isNotNull()).select(*by, F.col(time).alias("__t"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.col(value).alias("__v"), F.col(time).alias("__vt"))
-    w = W.partitionBy(*by).orderBy("__t")
+    part = lambda t: F.floor(t / span)
+    a = left.select(*by, part(micros(time)).alias("__span"), F.col(time).alias("__t"), F.struct(*[F.col(c) for c in own], F.lit(True).alias("__is")).alias("__l"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(None).cast(left.schema[time].dataType).alias("__vt"))
+    b = right.where(F.col(value).isNotNull()).select(*by, F.explode(F.sequence(part(micros(time) - reach), part(micros(time) + reach))).alias("__span"), F.col(time).alias("__t"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), F.col(value).alias("__v"), F.col(time).alias("__vt"))
     known = F.when(F.col("__vt").isNotNull(), F.struct("__vt", "__v"))
-    near = a.unionByName(b).withColumns({
-        "__before": F.last(known, ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)),
-        "__after": F.first(known, ignorenulls=True).over(w.rangeBetween(W.currentRow, W.unboundedFollowing)),
-    }).where("__l is not null")
+    w, back = both_ways((*by, "__span"), "__t")
+    near = a.unionByName(b).withColumns({"__before": F.last(known, ignorenulls=True).over(w), "__after": F.last(known, ignorenulls=True).over(back)}).where("__l is not null")
     db, da = X.seconds_between("__before.__vt", "__t"), X.seconds_between("__t", "__after.__vt")
     earlier = da.isNull() | (db <= da)
     picked = F.when(db.isNotNull() & earlier, F.col("__before")).otherwise(F.col("__after"))
@@ -214,19 +226,19 @@ def median_filter3(value: Column | str, w) -> Column:
     return middle(F.array(F.coalesce(F.lag(x).over(w), x), x, F.coalesce(F.lead(x).over(w), x)))
 
 
-def fill_linear(value: Column | str, at: Column | str, w) -> Column:
-    """Gaps are bridged linearly along ``at``; beyond the known ends the nearest value holds."""
+def fill_linear(value: Column | str, at: Column | str, by: Sequence[str], *order: str) -> Column:
+    """Gaps of the series ``by``, in ``order``, are bridged linearly along ``at``; beyond the known ends the nearest value holds."""
     v, s = X.col(value), X.col(at).cast("double")
+    ahead, back = both_ways(by, *order)
     known = F.when(v.isNotNull(), F.struct(s.alias("s"), v.cast("double").alias("v")))
-    before = F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first(known, ignorenulls=True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
+    before, after = F.last(known, ignorenulls=True).over(ahead), F.last(known, ignorenulls=True).over(back)
     share = F.coalesce(X.safe_divide(s - before["s"], after["s"] - before["s"]), F.lit(0.0))
     return F.when(before.isNull(), after["v"]).when(after.isNull(), before["v"]).otherwise(before["v"] + share * (after["v"] - before["v"]))
 
 
-def fill_by_row(value: Column | str, w) -> Column:
+def fill_by_row(value: Column | str, by: Sequence[str], *order: str) -> Column:
     """As fill_linear, with row numbers for distances."""
-    return fill_linear(value, F.row_number().over(w), w)
+    return fill_linear(value, F.row_number().over(W.partitionBy(*by).orderBy(*order)), by, *order)
 
 
 def gradient(value: Column | str, at: Column | str, w) -> Column:
@@ -318,15 +330,15 @@ def pick_sections(path: DataFrame, by: Sequence[str], at: str = "station_m", spa
     left = F.col("__end") - F.element_at(steps, -1)
     goals = ends.select(*by, F.explode(F.when(left > spacing / 2, F.concat(steps, F.array("__end"))).otherwise(steps)).alias("__goal"))
     both = path.select(*by, F.col(at).alias("__s"), F.col(at).alias("__v")).unionByName(goals.select(*by, F.col("__goal").alias("__s"), F.lit(None).cast("double").alias("__v")))
-    w = W.partitionBy(*by).orderBy("__s")
-    near = both.withColumns({"__b": F.last("__v", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0)), "__a": F.first("__v", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))}).where("__v is null")
+    w, back = both_ways(by, "__s")
+    near = both.withColumns({"__b": F.last("__v", ignorenulls=True).over(w), "__a": F.last("__v", ignorenulls=True).over(back)}).where("__v is null")
     chosen = F.when(F.col("__b").isNotNull() & (F.col("__a").isNull() | (F.col("__s") - F.col("__b") <= F.col("__a") - F.col("__s"))), F.col("__b")).otherwise(F.col("__a"))
     return near.select(*by, chosen.alias(at)).distinct()
 
 
-def keep_rising(df: DataFrame, by: Sequence[str], value: str, step: float = 1e-9) -> DataFrame:
-    """Drop a row that rises no more than ``step`` over the one before it."""
-    w = W.partitionBy(*by).orderBy(value)
+def keep_rising(df: DataFrame, by: Sequence[str], value: str, step: float = 1e-9, tie: str | None = None) -> DataFrame:
+    """Drop a row that rises no more than ``step`` over the one before it; of equal ones the least ``tie`` is first."""
+    w = W.partitionBy(*by).orderBy(value, *([tie] if tie else []))
     before = F.lag(value).over(w)
     return df.withColumn("__b", before).where(F.col("__b").isNull() | (F.col(value) - F.col("__b") > step)).drop("__b")
 

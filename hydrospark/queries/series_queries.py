@@ -252,12 +252,12 @@ def _gappy(spark, d):
 def interp_gaps(spark, d):
     """Flows over 60 are gaps, bridged along time."""
     hours = F.unix_micros(F.col("time").cast("timestamp")) / 3.6e9
-    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_linear("flow_cfs", hours, by_series()).alias("x")), 4)
+    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_linear("flow_cfs", hours, ["series_id"], "time", "event_id").alias("x")), 4)
 
 
 def interp_rows(spark, d):
     """The same by row number."""
-    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_by_row("flow_cfs", by_series()).alias("x")), 5)
+    return _rounded(_gappy(spark, d).select("series_id", "event_id", S.fill_by_row("flow_cfs", ["series_id"], "time", "event_id").alias("x")), 5)
 
 
 def _interp_sql(at: str, places: int) -> str:
