@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydrospark.functions import columns as X
+from hydrospark.operators.graph import checkpointed
 
 
 def match_tiles(wanted: DataFrame, index: DataFrame, key: str = "id", values: str = "values") -> DataFrame:
@@ -18,7 +21,8 @@ def match_tiles(wanted: DataFrame, index: DataFrame, key: str = "id", values: st
     five letters or more that only one tile has, then one that is part of a single tile's
     bare name, or the other way, from six letters on.  Null where no tier finds one.
 
-    The third tier compares by shared six-letter pieces, so only pairs that can match meet.
+    The third tier compares names that share a six-letter piece; of all pieces of the name that must
+    lie in the other one the rarest is taken, so a piece that all names begin with brings no pairs.
     """
     names = wanted.select(F.col(key).alias("__id"), F.posexplode(values).alias("__pos", "__v")).withColumns({"__base": F.lower(X.base_name("__v")), "__bare": X.tile_key("__v")})
     tiles = index.select(F.col("key").alias("__key"), F.lower("name").alias("__name"), X.tile_key("name").alias("__tbare"))
@@ -31,9 +35,11 @@ def match_tiles(wanted: DataFrame, index: DataFrame, key: str = "id", values: st
     tier2 = first(rest.where(F.length("__bare") >= 5).join(one, F.col("__bare") == F.col("__tbare")).withColumn("__ext", F.lit(0)))
     rest = rest.join(tier2, "__id", "left_anti").where(F.length("__bare") >= 6)
     pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 5, F.lit(1))), lambda i: F.substr(c, i, F.lit(6))))
-    head = rest.select("__id", "__pos", "__bare", F.substring("__bare", 1, 6).alias("__g"))
-    inside = head.join(tiles.select("__key", "__tbare", F.explode(pieces(F.col("__tbare"))).alias("__g")), "__g").where(F.contains("__tbare", F.col("__bare"))).select("__id", "__pos", "__key")
-    around = rest.select("__id", "__pos", "__bare", F.explode(pieces(F.col("__bare"))).alias("__g")).join(tiles.where(F.length("__tbare") >= 6).select("__key", "__tbare", F.substring("__tbare", 1, 6).alias("__g")), "__g").where(F.contains("__bare", F.col("__tbare"))).select("__id", "__pos", "__key")
+    tile_pieces = tiles.select("__key", "__tbare", F.explode(pieces(F.col("__tbare"))).alias("__g"))
+    own_pieces = rest.select("__id", "__pos", "__bare", F.explode(pieces(F.col("__bare"))).alias("__g"))
+    inside = rarest(own_pieces, tile_pieces, ["__id", "__pos", "__bare"]).join(tile_pieces, "__g").where(F.contains("__tbare", F.col("__bare"))).select("__id", "__pos", "__key")
+    long_tiles = tile_pieces.where(F.length("__tbare") >= 6)
+    around = rarest(long_tiles, own_pieces, ["__key", "__tbare"]).join(own_pieces, "__g").where(F.contains("__bare", F.col("__tbare"))).select("__id", "__pos", "__key")
     short = rest.select("__id", "__pos", "__bare", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.transform(F.sequence(F.lit(1), F.length("__bare") - n + 1), lambda i: F.substr(F.col("__bare"), i, n))))).alias("__tbare")).join(tiles.where(F.length("__tbare").between(1, 5)), "__tbare").select("__id", "__pos", "__key")
     hits = inside.unionByName(around).unionByName(short).distinct().groupBy("__id", "__pos").agg(F.count("*").alias("n"), F.min("__key").alias("__key")).where("n = 1")
     tier3 = first(hits.withColumn("__ext", F.lit(0)))
@@ -41,6 +47,14 @@ def match_tiles(wanted: DataFrame, index: DataFrame, key: str = "id", values: st
     return wanted.join(found, key, "left")
 
 
+def rarest(pieces: DataFrame, others: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of the pieces ``__g`` of each name the one that the fewest ``others`` have; names of which some piece is in none are left out."""
+    times = others.groupBy("__g").agg(F.count("*").alias("__times"))
+    counted = pieces.join(times, "__g", "left")
+    best = counted.groupBy(*by).agg(F.min_by("__g", F.struct("__times", "__g")).alias("__g"), F.count_if(F.col("__times").isNull()).alias("__none"))
+    return best.where("__none = 0").drop("__none")
+
+
 def rank_gauges(candidates: DataFrame, selected_name: str | None, by: Sequence[str] = ()) -> DataFrame:
     """``score`` and ``auto_supported`` of gauge candidates.
 
@@ -64,30 +78,53 @@ def best_supported(ranked: DataFrame, by: Sequence[str] = (), tie: str = "site_n
     return ok.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct("score", tie)).alias("__r")).where("__r is not null").select(*by, "__r.*")
 
 
-def nearest(points: DataFrame, features: DataFrame, key: str, distance: Column, order: str, limit: float | None = None, n: int = 1, cell: float = 1.0, columns: Sequence[str] = ("lat", "lon")) -> DataFrame:
-    """The ``n`` nearest features of every point, the nearer first.
+#: Radius of the earth in km, as in the haversine.
+EARTH_KM = 6371.0088
+
+
+def nearest(points: DataFrame, features: DataFrame, key: str, distance: Column, order: str, limit: float | None = None, n: int = 1, columns: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """The ``n`` nearest features of every point, the nearer first, within ``limit`` km where given.
 
-    Points and features have ``lat, lon`` and ``flat, flon``; ``distance`` is a column over both.  With
-    a ``limit`` (in the unit of the distance) features are dealt to cells of ``cell`` degrees and a point
-    meets those of its own and the eight around, so ``cell`` must be at least the limit in degrees.
-    Without one, features are a small table (a catalogue) and are broadcast.
+    Points and features have ``lat, lon`` and ``flat, flon``; ``distance`` is a column over both, in km of a great
+    circle.  Features are dealt to cells and a point meets those of its own cell and the eight around; it is settled
+    if no feature beyond those can be nearer.  Only points that are not go on to the next round, in which
+    cells are twice as wide.  The first cells are so wide that they hold a few features each on average; columns of cells close up at 180 degrees.
     """
-    if limit is None:
-        pairs = points.join(F.broadcast(features), F.lit(True))
-    else:
-        spot = lambda c: F.floor(F.col(c) / cell)
-        around = F.explode(F.array(*[F.struct((spot("flat") + i).alias("__i"), (spot("flon") + j).alias("__j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        dealt = features.select("*", around.alias("__c")).select(*features.columns, "__c.__i", "__c.__j")
-        pairs = points.withColumns({"__i": spot(columns[0]), "__j": spot(columns[1])}).join(dealt, ["__i", "__j"]).drop("__i", "__j")
-    near = pairs.withColumn("distance", distance)
-    if limit is not None:
-        near = near.where(F.col("distance") <= limit)
-    rest = [c for c in near.columns if c != key]
-    if n == 1:
-        return near.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("distance", order)).alias("__r")).select(key, "__r.*")
-    from pyspark.sql import Window as W
-
-    return near.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("distance", order))).where(F.col("rank") <= n)
+    box = features.agg(F.count("*").alias("n"), (F.max("flat") - F.min("flat")).alias("h"), (F.max("flon") - F.min("flon")).alias("w")).first()
+    wide = (2.0 * n * max(box["h"] or 0.0, 1e-3) * max(box["w"] or 0.0, 1e-3) / max(box["n"], 1)) ** 0.5
+    halvings = min(max(int(math.log2(360.0 / max(wide, 1e-4))), 1), 20)
+    lat, lon = columns
+    made = ["__i", "__j", "__beyond"]
+    rest, done = points, []
+    for m in range(halvings, 0, -1):
+        size, across, last = 360.0 / 2**m, 2**m, m == 1
+        row = lambda c: F.floor((F.col(c) + 90.0) / size)
+        col = lambda c: F.floor((F.col(c) + 180.0) / size)
+        sides = sorted({j % across for j in (-1, 0, 1)})
+        cells = F.explode(F.array(*[F.struct((row("flat") + i).alias("__i"), F.pmod(col("flon") + j, F.lit(across)).alias("__j")) for i in (-1, 0, 1) for j in sides]))
+        dealt = features.select("*", cells.alias("__c")).select(*features.columns, "__c.__i", "__c.__j")
+        # What is outside the nine cells is a cell away north or south, or beyond the meridian a cell to the east or west.
+        arc = F.asin(F.lit(math.sin(math.radians(min(size, 90.0)))) * F.cos(F.radians(lat)))
+        beyond = F.lit(float("inf")) if last else F.least(F.lit(math.radians(size)), arc) * EARTH_KM
+        asked = rest.withColumns({"__i": row(lat), "__j": F.pmod(col(lon), F.lit(across)), "__beyond": beyond})
+        near = asked.join(dealt, ["__i", "__j"]).withColumn("distance", distance)
+        near = near if limit is None else near.where(F.col("distance") <= limit)
+        first = F.row_number().over(W.partitionBy(key).orderBy("distance", order))
+        found = checkpointed(near.withColumn("rank", first).where(F.col("rank") <= n))
+        sure = found.where((F.col("rank") == n) & (F.col("distance") <= F.col("__beyond"))).select(key)
+        if limit is not None:
+            sure = sure.unionByName(asked.where(F.col("__beyond") >= limit).select(key))
+        if last:
+            done.append(found)
+            break
+        done.append(found.join(sure, key, "left_semi"))
+        rest = checkpointed(rest.join(sure, key, "left_anti"))
+        if rest.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop(*made, *(["rank"] if n == 1 else []))
 
 
 def nearest_or_else(points: DataFrame, first: DataFrame, second: DataFrame, key: str) -> DataFrame:

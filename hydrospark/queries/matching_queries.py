@@ -105,7 +105,7 @@ p AS (SELECT c_custkey, s_suppkey, 2 * 6371.0088 * asin(sqrt(least(1.0, sin(radi
 def nearest(spark, d):
     """The nearest supplier of every customer within 60 km."""
     c, s = _places(spark, d)
-    out = M.nearest(c, s, "c_custkey", X.haversine_km("lat", "lon", "flat", "flon"), "s_suppkey", limit=60.0, cell=0.7)
+    out = M.nearest(c, s, "c_custkey", X.haversine_km("lat", "lon", "flat", "flon"), "s_suppkey", limit=60.0)
     return _rounded(out.select("c_custkey", "s_suppkey", F.col("distance").alias("km")), 5)
 
 
@@ -120,8 +120,8 @@ def nearest_or_else(spark, d):
     """The nearest within 4 km of one third of the suppliers, else within 60 km of all."""
     c, s = _places(spark, d)
     km = X.haversine_km("lat", "lon", "flat", "flon")
-    a = M.nearest(c, s.where("s_suppkey % 3 = 0"), "c_custkey", km, "s_suppkey", limit=4.0, cell=0.05)
-    b = M.nearest(c, s, "c_custkey", km, "s_suppkey", limit=60.0, cell=0.7)
+    a = M.nearest(c, s.where("s_suppkey % 3 = 0"), "c_custkey", km, "s_suppkey", limit=4.0)
+    b = M.nearest(c, s, "c_custkey", km, "s_suppkey", limit=60.0)
     return _rounded(M.nearest_or_else(c, a, b, "c_custkey").select("c_custkey", "s_suppkey", "source", F.col("distance").alias("km")), 5)
 
 
