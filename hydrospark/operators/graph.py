@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; a folder is set only where the session has none."""
+    """``df`` written to the shared checkpoint folder; a folder is set only where a local session has none."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 

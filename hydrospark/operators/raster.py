@@ -175,13 +175,16 @@ def resample(target: DataFrame, source: DataFrame, target_grid: Grid, source_gri
     return got.groupBy("row", "col").agg(X.safe_divide(F.sum(F.col("__w") * F.col(value)), F.sum(known)).alias(value))
 
 
-def adaptive_resolution(width_m: float, height_m: float, base: float, max_cells: int = 12_000_000, steps: Sequence[float] = (2, 3, 4, 5, 6, 8, 10, 12, 15, 20)) -> dict:
-    """The finest step that keeps a box under ``max_cells``; the coarsest if none does."""
-    ladder = sorted({float(s) for s in steps if s > 0} | {float(base)})
-    width, height = max(1.0, width_m), max(1.0, height_m)
-    need = max(float(base), (width * height / max(max_cells, 1)) ** 0.5)
-    chosen = next((s for s in ladder if s >= need), ladder[-1])
-    return {"chosen_resolution_m": chosen, "estimated_bbox_cells": int(width / chosen * (height / chosen)), "adaptive": chosen > base + 1e-9}
+def adaptive_resolution(boxes: DataFrame, width: str, height: str, base: float, max_cells: int = 12_000_000, steps: Sequence[float] = (2, 3, 4, 5, 6, 8, 10, 12, 15, 20)) -> DataFrame:
+    """For each box the finest of the steps, from ``base`` on, that keeps it within ``max_cells``; the coarsest if none does.
+
+    Adds ``chosen_resolution_m, estimated_bbox_cells, adaptive``; sides count as one metre at least.
+    """
+    sizes = F.array(*[F.lit(s) for s in sorted({float(base), *map(float, steps)}) if s >= base])
+    area = F.greatest(X.number(width), F.lit(1.0)) * F.greatest(X.number(height), F.lit(1.0))
+    fits = F.filter(sizes, lambda s: area / (s * s) <= max_cells)
+    out = boxes.withColumn("chosen_resolution_m", F.coalesce(F.get(fits, F.lit(0)), F.element_at(sizes, -1)))
+    return out.withColumns({"estimated_bbox_cells": F.floor(area / (F.col("chosen_resolution_m") * F.col("chosen_resolution_m"))), "adaptive": F.col("chosen_resolution_m") > base})
 
 
 def nearest_section(cells: DataFrame, sections: DataFrame, grid: Grid, reach: float, carried: Sequence[str] = ("wse",), order: str = "section_id") -> DataFrame:
@@ -250,19 +253,21 @@ def extent_edges(mask: DataFrame) -> DataFrame:
 def running_fill(cells: DataFrame, budget_m3: float, cost: str, depth: str, grid: Grid = UNIT_GRID, parts: int | None = None) -> DataFrame:
     """W14, M17 (second half): cells are filled in the order of cost, row and column until the budget is used.
 
-    The last cell takes what is left.  Two passes: cells are ranged by cost into partitions,
-    the partitions' sums come to the driver (a number for each), and each partition then sums
-    on from what lies before it; no single task holds all cells.
+    The last cell takes what is left.  Two passes: cells are ranged by cost into partitions (cells
+    of one cost that has several quantiles, such as flat ground, by their rows), the partitions'
+    sums come to the driver (a number for each), and each partition then sums on from what lies
+    before it; no single task holds all cells.
     """
     area = cell_area(grid)
     budget = max(float(budget_m3), 0.0)
     n = parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ok = cells.where((F.col(depth) > 0) & F.col(cost).isNotNull())
-    cuts = [x for x in ok.approxQuantile(cost, [i / n for i in range(1, n)], 0.001)] if n > 1 else []
-    part = F.lit(0)
-    for x in sorted(set(cuts)):
-        part = part + (F.col(cost) > x).cast("int")
-    ranged = ok.withColumns({"__p": part, "__v": F.col(depth) * area})
+    cuts, rows = ok.approxQuantile([cost, "row"], [i / n for i in range(1, n)], 0.001) if n > 1 else ([], [])
+    frequent = sorted({x for x in cuts if cuts.count(x) > 1})
+    below = lambda c, at: sum((F.col(c) > x).cast("int") for x in sorted(set(at)))
+    part = F.lit(0) + below(cost, cuts)
+    band = F.when(F.col(cost).isin(frequent), 1 + below("row", rows)).otherwise(0) if frequent else F.lit(0)
+    ranged = ok.withColumns({"__p": part * (n + 1) + band, "__v": F.col(depth) * area})
     sums = {r["__p"]: r["s"] for r in ranged.groupBy("__p").agg(F.sum("__v").alias("s")).collect()}
     before, total = {}, 0.0
     for p in sorted(sums):

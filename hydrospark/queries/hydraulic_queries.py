@@ -10,41 +10,47 @@ from hydrospark.queries.series_queries import _rounded
 from hydrospark.session import table
 
 
+#: Parts and line items are dealt to so many gauges.
+GAUGES = 16
+_BY = ["gauge"]
+
+
 def _curve(spark, d):
-    """Parts under number 1000 as a rising curve: number -> price."""
-    p = table(spark, d, "part").where("p_partkey < 1000")
-    return H.rating_curve(p.select(F.col("p_partkey").alias("flow_cfs"), F.col("p_retailprice").alias("stage_ft")))
+    """Parts as the rating curves of 16 gauges: number -> price."""
+    p = table(spark, d, "part")
+    return H.rating_curve(p.select((F.col("p_partkey") % GAUGES).alias("gauge"), F.col("p_partkey").alias("flow_cfs"), F.col("p_retailprice").alias("stage_ft")), _BY)
 
 
 def _lines(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") + F.col("l_discount") * 7).alias("q"), (895.0 + F.col("l_quantity") * 2.3).alias("h"))
+    return table(spark, d, "lineitem").select((F.col("l_partkey") % GAUGES).alias("gauge"), "l_orderkey", "l_linenumber", (F.col("l_partkey") + F.col("l_discount") * 7).alias("q"), (895.0 + F.col("l_quantity") * 2.3).alias("h"))
 
 
 def stage_from_flow(spark, d):
     """H03, H04, J15."""
-    return _rounded(H.stage_from_flow(_lines(spark, d), _curve(spark, d), "q").select("l_orderkey", "l_linenumber", "stage_ft"), 5)
+    return _rounded(H.stage_from_flow(_lines(spark, d), _curve(spark, d), "q", by=_BY).select("l_orderkey", "l_linenumber", "stage_ft"), 5)
 
 
 def flow_from_stage(spark, d):
     """H05, W13."""
-    return _rounded(H.flow_from_stage(_lines(spark, d), _curve(spark, d), "h").select("l_orderkey", "l_linenumber", "flow_cfs"), 4)
+    return _rounded(H.flow_from_stage(_lines(spark, d), _curve(spark, d), "h", by=_BY).select("l_orderkey", "l_linenumber", "flow_cfs"), 4)
 
 
-_CURVE = "WITH c AS (SELECT CAST(p_partkey AS DOUBLE) AS x, min(p_retailprice) AS y FROM part WHERE p_partkey < 1000 GROUP BY 1), "
+_CURVE = f"WITH c AS (SELECT p_partkey % {GAUGES} AS gauge, CAST(p_partkey AS DOUBLE) AS x, min(p_retailprice) AS y FROM part GROUP BY 1, 2), "
 
 
 def _lookup_sql(x: str, y: str, probe: str, out: str, places: int) -> str:
-    return _CURVE + f"""s AS (SELECT {x} AS x0, {y} AS y0, lead({x}) OVER (ORDER BY {x}) AS x1, lead({y}) OVER (ORDER BY {x}) AS y1 FROM c),
-e AS (SELECT min({x}) AS lo, max({x}) AS hi FROM c), p AS (SELECT l_orderkey, l_linenumber, least(greatest({probe}, lo), hi) AS q FROM lineitem, e)
-SELECT l_orderkey, l_linenumber, round(y0 + coalesce((y1 - y0) * (q - x0) / (x1 - x0), 0.0), {places}) AS {out} FROM p ASOF JOIN s ON p.q >= s.x0"""
+    return _CURVE + f"""u AS (SELECT gauge, {x} AS x0, min({y}) AS y0 FROM c GROUP BY 1, 2),
+s AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM u WINDOW w AS (PARTITION BY gauge ORDER BY x0)),
+e AS (SELECT gauge, min({x}) AS lo, max({x}) AS hi FROM c GROUP BY 1), p AS (SELECT e.gauge, l_orderkey, l_linenumber, least(greatest({probe}, lo), hi) AS q FROM lineitem JOIN e ON e.gauge = l_partkey % {GAUGES})
+SELECT l_orderkey, l_linenumber, round(y0 + coalesce((y1 - y0) * (q - x0) / (x1 - x0), 0.0), {places}) AS {out} FROM p ASOF JOIN s ON p.gauge = s.gauge AND p.q >= s.x0"""
 
 
 def rating_range(spark, d):
     """H06."""
-    return H.rating_range(_curve(spark, d))
+    return H.rating_range(_curve(spark, d), _BY)
 
 
-RANGE_SQL = "SELECT CAST(min(p_partkey) AS DOUBLE) AS min_flow_cfs, CAST(max(p_partkey) AS DOUBLE) AS max_flow_cfs, min(p_retailprice) AS min_stage_ft, max(p_retailprice) AS max_stage_ft FROM part WHERE p_partkey < 1000"
+RANGE_SQL = f"SELECT p_partkey % {GAUGES} AS gauge, CAST(min(p_partkey) AS DOUBLE) AS min_flow_cfs, CAST(max(p_partkey) AS DOUBLE) AS max_flow_cfs, min(p_retailprice) AS min_stage_ft, max(p_retailprice) AS max_stage_ft FROM part GROUP BY 1"
 
 
 def scs_kirpich(spark, d):

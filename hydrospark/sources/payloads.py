@@ -64,11 +64,21 @@ def daily_values(pages: DataFrame, payload: str = "payload", keys: Sequence[str]
     return rows.groupBy(*keys, "time").agg(F.max_by(F.struct(*rest), "value").alias("r")).select(*keys, "time", "r.*")
 
 
-def objects(pages: DataFrame, payload: str = "payload", keys: Sequence[str] = (), depth: int = 6) -> DataFrame:
-    """every JSON object in a payload, however deep (``depth`` levels), as the variant ``obj``.
+def objects(pages: DataFrame, payload: str = "payload", keys: Sequence[str] = ()) -> DataFrame:
+    """every JSON object in a payload, however deep, as the variant ``obj``.
 
-    One level at a time: what is an object or an array is exploded, the rest ends there.
+    One level at a time: what is an object or an array is exploded, the rest ends there.  How many levels
+    there are is looked up first: the most brackets that are open at once, outside of strings.
     """
+    brackets = F.regexp_replace(F.regexp_replace(payload, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]", "")
+    walk = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def take(a, c):
+        now = a["open"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(a["most"], now).alias("most"))
+
+    deep = F.aggregate(F.split(brackets, ""), walk, take, lambda a: a["most"])
+    depth = pages.agg(F.max(deep).alias("d")).first()["d"] or 1
     level = pages.select(*keys, F.try_parse_json(payload).alias("obj"))
     out = None
     for _ in range(depth):

@@ -60,23 +60,30 @@ def upsert_into(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str,
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-STATE = "last_time double, last_excess double, volume double, used long, skipped long, peak double, points long"
-VOLUME = "series_id string, excess_volume_m3 double, intervals_used long, intervals_skipped_large_gap long, peak_flow_cfs double, point_count long"
+STATE = "last_time double, last_excess double, volume double, used long, skipped long, peak double, points long, late long"
+VOLUME = "series_id string, excess_volume_m3 double, intervals_used long, intervals_skipped_large_gap long, peak_flow_cfs double, point_count long, late_readings long"
 
 
-def running_excess(stream: DataFrame, bankfull: float, max_gap_hours: float = 3.0) -> DataFrame:
+def running_excess(stream: DataFrame, bankfull: float, max_gap_hours: float = 3.0, idle: int | None = None) -> DataFrame:
     """The excess volume of every series so far, by its last reading; an interval over the gap is not bridged.
 
-    The state of a series is seven numbers.  Readings must arrive in the order of time within a series
-    from batch to batch; within a batch they are sorted.
+    The state of a series is eight numbers.  Within a batch readings are sorted; one that is not after the last
+    of an earlier batch is too late for the running volume and is counted in ``late_readings``: where that is
+    above zero, the series is to be integrated anew from the table that ``upsert_into`` keeps.  A series without
+    readings for ``idle`` milliseconds is forgotten; without it none is.
     """
+    wait = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
     ship(stream.sparkSession)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, before, volume, used, skipped, peak, n = state.get if state.exists else (float("nan"), 0.0, 0.0, 0, 0, float("-inf"), 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, before, volume, used, skipped, peak, n, late = state.get if state.exists else (float("nan"), 0.0, 0.0, 0, 0, float("-inf"), 0, 0)
         rows = pd.concat(list(parts)).sort_values("time")
         for t, q in zip(rows["time"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6, rows["flow_cfs"].to_numpy(float)):
             if n and t <= last:
+                late += 1
                 continue
             excess = max(q - bankfull, 0.0) * C.CFS_TO_CMS
             if n:
@@ -85,10 +92,12 @@ def running_excess(stream: DataFrame, bankfull: float, max_gap_hours: float = 3.
                 else:
                     skipped += 1
             last, before, peak, n = t, excess, max(peak, q), n + 1
-        state.update((last, before, volume, used, skipped, peak, n))
-        yield pd.DataFrame([(key[0], volume, used, skipped, peak, n)], columns=[p.split()[0] for p in VOLUME.split(", ")])
+        state.update((last, before, volume, used, skipped, peak, n, late))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame([(key[0], volume, used, skipped, peak, n, late)], columns=[p.split()[0] for p in VOLUME.split(", ")])
 
-    return stream.where("time is not null and flow_cfs is not null").groupBy("series_id").applyInPandasWithState(step, VOLUME, STATE, "update", GroupStateTimeout.NoTimeout)
+    return stream.where("time is not null and flow_cfs is not null").groupBy("series_id").applyInPandasWithState(step, VOLUME, STATE, "update", wait)
 
 
 def with_static(stream: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
