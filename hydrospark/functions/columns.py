@@ -191,9 +191,10 @@ def datum_candidate(altitude_ft, datum) -> Column:
 
 
 def slugify(x) -> Column:
-    """lower case, runs of anything else become one underscore, at most 80 characters."""
+    """lower case, runs of anything else become one underscore, at most 80 characters; a fixed name where nothing is left."""
     s = F.regexp_replace(F.lower(F.trim(col(x))), "[^a-z0-9]+", "_")
-    return F.substring(F.regexp_replace(s, "^_+|_+$", ""), 1, 80)
+    s = F.substring(F.regexp_replace(s, "^_+|_+$", ""), 1, 80)
+    return F.when(s == "", C.EMPTY_SLUG).otherwise(s)
 
 
 def name_tokens(x) -> Column:
@@ -387,3 +388,31 @@ def point_to_segment(px, py, ax, ay, bx, by) -> Column:
     dx, dy = bx - ax, by - ay
     t = clip(F.coalesce(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0)), 0.0, 1.0)
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+
+
+def line_meets_rings(line, rings) -> Column:
+    """J02 for a line (array of {x, y}): has it a point in the rings, or a stretch that crosses one of their edges?"""
+    def stretches(points):
+        return F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def side(a, b, c):
+        return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+    def cross(s, e):
+        return (side(s["p"], s["q"], e["p"]) * side(s["p"], s["q"], e["q"]) < 0) & (side(e["p"], e["q"], s["p"]) * side(e["p"], e["q"], s["q"]) < 0)
+
+    edges = F.flatten(F.transform(col(rings), stretches))
+    return F.exists(col(line), lambda p: point_in_rings(p["x"], p["y"], rings)) | F.exists(stretches(col(line)), lambda s: F.exists(edges, lambda e: cross(s, e)))
+
+
+def distance_to_rings(x, y, rings) -> Column:
+    """How far a point lies from a shape; zero inside it."""
+    px, py = col(x), col(y)
+
+    def gap(p, q):
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        t = F.greatest(F.least(F.coalesce(F.try_divide((px - p["x"]) * dx + (py - p["y"]) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        return F.hypot(px - p["x"] - t * dx, py - p["y"] - t * dy)
+
+    gaps = F.flatten(F.transform(col(rings), lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), gap)))
+    return F.when(point_in_rings(px, py, rings), 0.0).otherwise(F.array_min(gaps))

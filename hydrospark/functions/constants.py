@@ -24,3 +24,5 @@ DEPTH_RAMP = ((0.0, 185, 236, 255), (0.2, 86, 199, 244), (0.5, 34, 126, 208), (0
 WATERWAY_STOP_WORDS = ("at", "near", "nr", "above", "below", "houston", "tx", "texas", "street", "st", "road", "rd", "drive", "dr")
 CFS_UNITS = ("cfs", "ft3/s", "ft^3/s", "ft3s")
 CMS_UNITS = ("cms", "m3/s", "m^3/s", "m3s")
+#: The slug of a name that has no letter or figure.
+EMPTY_SLUG = "selected_bayou"

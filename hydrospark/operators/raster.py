@@ -221,19 +221,32 @@ def nearest_true_cell(mask: DataFrame, x: float, y: float, grid: Grid, reach: fl
     return near.orderBy("distance_m", "row", "col").limit(1).select("row", "col", "distance_m")
 
 
-def clip_to_rings(cells: DataFrame, rings: DataFrame, grid: Grid) -> DataFrame:
-    """Cells whose centre is inside one of the polygons (column ``rings``).
+def inside_rings(cells: DataFrame, rings: DataFrame, grid: Grid, keys: Sequence[str] = ()) -> DataFrame:
+    """``row, col`` of the cells whose centre is inside each polygon (column ``rings``), with its ``keys``.
 
     Each polygon is sent to the tiles of 64 cells that its box touches; cells meet only those.
     """
     corner = lambda f, axis: f(F.transform(F.flatten("rings"), lambda p: p[axis]))
-    boxes = rings.select("rings", corner(F.array_min, "x").alias("x0"), corner(F.array_max, "x").alias("x1"), corner(F.array_min, "y").alias("y0"), corner(F.array_max, "y").alias("y1"))
+    boxes = rings.select(*keys, "rings", corner(F.array_min, "x").alias("x0"), corner(F.array_max, "x").alias("x1"), corner(F.array_min, "y").alias("y0"), corner(F.array_max, "y").alias("y1"))
     lo, hi = X.cell_of("x0", "y0", grid), X.cell_of("x1", "y1", grid)
     span = lambda axis: F.sequence(F.floor(F.least(lo[axis], hi[axis]) / 64), F.floor(F.greatest(lo[axis], hi[axis]) / 64))
-    tiles = boxes.select("rings", F.explode(span("row")).alias("__tr"), span("col").alias("s")).select("rings", "__tr", F.explode("s").alias("__tc"))
+    tiles = boxes.select(*keys, "rings", F.explode(span("row")).alias("__tr"), span("col").alias("s")).select(*keys, "rings", "__tr", F.explode("s").alias("__tc"))
     centre = X.cell_center("row", "col", grid)
-    inside = cells.withColumns({"__tr": F.floor(F.col("row") / 64), "__tc": F.floor(F.col("col") / 64)}).join(tiles, ["__tr", "__tc"]).where(X.point_in_rings(centre["x"], centre["y"], "rings")).select("row", "col").distinct()
-    return cells.join(inside, CELL, "left_semi")
+    met = cells.select("row", "col").withColumns({"__tr": F.floor(F.col("row") / 64), "__tc": F.floor(F.col("col") / 64)}).join(tiles, ["__tr", "__tc"])
+    return met.where(X.point_in_rings(centre["x"], centre["y"], "rings")).select(*keys, "row", "col").distinct()
+
+
+def clip_to_rings(cells: DataFrame, rings: DataFrame, grid: Grid) -> DataFrame:
+    """Cells whose centre is inside one of the polygons (column ``rings``)."""
+    return cells.join(inside_rings(cells, rings, grid), CELL, "left_semi")
+
+
+def check_crs(tiles: DataFrame, crs: str = "crs") -> str:
+    """The one reference system of all tiles; fails where they have several, or none."""
+    found = [r[0] for r in tiles.select(crs).distinct().limit(3).collect()]
+    if len(found) != 1 or found[0] is None:
+        raise ValueError(f"tiles must have one reference system, not {found}")
+    return found[0]
 
 
 def extent_edges(mask: DataFrame) -> DataFrame:

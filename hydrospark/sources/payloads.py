@@ -195,3 +195,17 @@ def geojson_features(pages: DataFrame, payload: str = "payload", keys: Sequence[
     rings = F.when(kind.isin("Polygon", "MultiLineString"), poly).when(kind == "MultiPolygon", multi).when(kind == "LineString", line).when(kind == "Point", point)
     out = f.select(*keys, kind.alias("geom_type"), rings.alias("rings"), F.to_json(F.try_variant_get("f", "$.properties", "variant")).alias("properties")).where("rings is not null and size(rings) > 0 and size(rings[0]) > 0")
     return out if where is None else out.where(where)
+
+
+def metadata(pages: DataFrame, payload: str = "payload", keys: Sequence[str] = ()) -> DataFrame:
+    """What a gauge's or a reach's record says of itself; records that are no objects drop out."""
+    v = pages.select(*keys, F.try_parse_json(payload).alias("obj")).where(F.startswith(F.schema_of_variant("obj"), F.lit("OBJECT")))
+    at = lambda *names, kind="string": first_key("obj", names, kind)
+    return v.select(*keys, at("lid", "gaugeId").alias("gauge_id"), at("usgsId", "usgs_id").alias("site_no"), at("reachId", "reach_id").alias("reach_id"), at("name").alias("name"), at("latitude", kind="double").alias("lat"), at("longitude", kind="double").alias("lon"))
+
+
+def reach_ids(pages: DataFrame, payload: str = "payload", keys: Sequence[str] = ()) -> DataFrame:
+    """The reach of a site: the first feature's ``comid``, or its ``nhdplus_comid``; empty ones are null."""
+    v = F.try_parse_json(payload)
+    at = lambda n: F.nullif(F.try_variant_get(v, f"$.features[0].properties.{n}", "string"), F.lit(""))
+    return pages.select(*keys, F.coalesce(at("comid"), at("nhdplus_comid")).alias("reach_id"))

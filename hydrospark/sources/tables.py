@@ -91,6 +91,11 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff}") ->
     return files.select(F.col("path").alias("key"), X.base_name("path").alias("name"), F.col("length").alias("bytes"))
 
 
+def recent(entries: DataFrame, modified: str, has_state: str, n: int = 20) -> DataFrame:
+    """The ``n`` entries changed last, of those that have a state."""
+    return entries.where(has_state).orderBy(F.desc(modified), *[c for c in entries.columns if c != modified][:1]).limit(n)
+
+
 @dataclass(frozen=True)
 class Workspace:
     """Where a study's tables lie, and its settings over the defaults."""
@@ -103,7 +108,7 @@ class Workspace:
     def slug(self) -> str:
         import re
 
-        return re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", self.name.strip().lower()))[:80]
+        return re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", self.name.strip().lower()))[:80] or C.EMPTY_SLUG
 
     def path(self, table: str) -> str:
         return str(Path(self.root) / f"workspace={self.slug}" / table) if "://" not in self.root else f"{self.root.rstrip('/')}/workspace={self.slug}/{table}"

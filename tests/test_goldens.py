@@ -78,9 +78,9 @@ def test_wetted_geometry(spark):
 def test_rolling_median_and_fill(spark):
     from pyspark.sql import Window as W
 
-    df = spark.createDataFrame(list(enumerate([1.0, None, 3.0, 9.0, 2.0])), "i int, x double")
-    w = W.partitionBy(F.lit(0)).orderBy("i")
-    rows = df.select("i", S.rolling_median("x", w, 5).alias("m"), S.fill_by_row("x", w).alias("f")).orderBy("i").collect()
+    df = spark.createDataFrame(list(enumerate([1.0, None, 3.0, 9.0, 2.0])), "i int, x double").withColumn("g", F.lit(0))
+    w = W.partitionBy("g").orderBy("i")
+    rows = df.select("i", S.rolling_median("x", w, 5).alias("m"), S.fill_by_row("x", ["g"], "i").alias("f")).orderBy("i").collect()
     assert [r.m for r in rows] == [2.0, 3.0, 2.5, 3.0, 3.0]
     assert [r.f for r in rows] == [1.0, 2.0, 3.0, 9.0, 2.0]
 
