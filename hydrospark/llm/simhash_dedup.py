@@ -20,8 +20,8 @@ one row.
 The pipeline's stage (``keep_one``) takes more in: texts whose sets of 5-word shingles have a
 Jaccard similarity of ``LEAST_JACCARD`` differ by some ten bits, beyond any radius whose
 shards stay small.  It therefore adds links from MinHash bands: in each band the fingerprints of
-a bucket meet its least one, and links that the radius does not make are kept only if
-the exact similarity of the texts is reached.  A bucket of n sends n - 1 pairs.
+a bucket meet ``HEADS`` of them, and links that the radius does not make are kept only if
+the exact similarity of the texts is reached.  A bucket of n sends less than ``HEADS`` * n pairs.
 
 Defined results: a null or wordless text has fingerprint zero; repeated rows share a
 component; a null doc_id stays a row and never names a component unless nothing else
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from hydrospark.llm.common import join_counted, numbered, stored, table
+from hydrospark.llm.common import aside, join_counted, numbered, stored, table
 from hydrospark.operators.graph import components
 
 RADIUS = 3
@@ -46,6 +46,8 @@ WIDE_WORDS = 5
 LEAST_JACCARD = 0.8
 BANDS = 14
 BAND_ROWS = 4
+#: Members of a bucket that all others meet.
+HEADS = 3
 SEED = 42
 #: Members of a shard that one task uses as queries; larger shards are walked by several tasks.
 TREE_QUERIES = 20_000
@@ -286,7 +288,9 @@ def wide_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     ``distinct`` has ``fp``, ``bands`` and the row ``first`` that stands for a fingerprint.
     """
     dealt = stored(distinct.select("fp", F.explode("bands").alias("band")), "simhash-bands")
-    heads = stored(dealt.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-heads")
+    # One head is the same in all buckets that it is in, the others differ from band to band.
+    some = [F.min_by("fp", F.xxhash64("fp", "band", F.lit(k))) for k in range(HEADS - 1)]
+    heads = stored(dealt.groupBy("band").agg(F.array_distinct(F.array(F.min("fp"), *some)).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", F.explode("head").alias("head")), "simhash-heads")
     pairs = dealt.join(heads, "band").where(f"bit_count(fp ^ head) > {RADIUS}").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
     pairs = stored(pairs, "simhash-pairs")
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
@@ -308,6 +312,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are linked by the radius or by ``LEAST_JACCARD``.  Rows that share a doc_id or have none are told
     apart by a row number; those without one stay only where no other row of their group has one.
     """
+    docs, back = aside(docs)
     rows = numbered(docs)
     printed = stored(_banded(rows), "simhash")
     key = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
@@ -316,7 +321,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = components(links)
     named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.row").alias("__r"))
-    return rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi").select(*docs.columns)
+    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi")
+    return back(kept)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
