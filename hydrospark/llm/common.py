@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.session import ship, table
 
-__all__ = ["join_counted", "numbered", "shared_path", "shared_root", "ship", "stored", "table"]
+__all__ = ["aside", "join_counted", "numbered", "shared_path", "shared_root", "ship", "stored", "table"]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,6 +50,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but the used ones renamed, so that none clashes with an operator's own; and the way back."""
+    names = [c if c in used else f"other_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__row``: a number of its own for each row without a doc_id of its own, else zero.  A ``__row`` in ``docs`` is replaced."""
     docs = docs.drop("__row")

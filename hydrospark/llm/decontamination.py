@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydrospark.llm.common import stored, table
+from hydrospark.llm.common import aside, stored, table
 
 WINDOW = 13
 #: A document is contaminated if it has a hit and one word in this many, or more, is hit.
@@ -244,6 +244,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     which no word is left goes.  ``n_chars``, where present, follows the new text.  All are
     scanned once; those that were cut are scanned again, as a cut joins what stood around it.
     """
+    docs, back = aside(docs)
     columns, done, rest = docs.columns, [], docs
     while True:
         seen = stored(_cut(scanned(rest, benchmark)), "decontaminated")
@@ -254,7 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    return back(out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out)
 
 
 def _cut(rows: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from hydrospark.llm.common import numbered, stored, table
+from hydrospark.llm.common import aside, numbered, stored, table
 
 ROLL = 2
 MEAN = 3
@@ -179,6 +179,7 @@ def cut(text: str, places: list[int]) -> tuple[str, int]:
 
 def remove(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``; ``n_chars``, where present, follows."""
+    docs, back = aside(docs)
     rows = marked(docs)
 
     def run(batches):
@@ -196,7 +197,7 @@ def remove(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(mask, pa.bool_()))
 
     out = rows.mapInArrow(run, T.StructType([f for f in rows.schema if f.name != "__places"])).select(*docs.columns)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return back(out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ Scale: one narrow pass over the texts, no shuffle of text.  The driver sees at m
 
 Defined results: a null text has no words and is treated as empty; a document
 without words fails the base rule; repeated rows and null ids are judged row by row;
-an empty table gives an empty result; other columns are neither read nor changed (columns
-``__votes`` and ``__failed`` are ``keep``'s own and do not come out of it).
+an empty table gives an empty result; other columns are neither read nor changed, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydrospark.llm.common import stored, table
+from hydrospark.llm.common import aside, stored, table
 
 RULES = ("length", "repetition", "symbols", "dup_lines", "word_length", "capitals", "variety", "letters", "wordlike")
 #: (rule, bad below, good from, good to, bad above); between them the rule abstains.
@@ -188,7 +188,7 @@ def keep(docs: DataFrame) -> DataFrame:
     Texts are measured once and written with their votes; the votes are then counted and
     judged where they lie.
     """
-    docs = docs.drop("__votes", "__failed")
+    docs, back = aside(docs)
     schema = T.StructType([*docs.schema, T.StructField("__votes", T.StringType()), T.StructField("__failed", T.BooleanType())])
 
     def run(batches):
@@ -200,7 +200,7 @@ def keep(docs: DataFrame) -> DataFrame:
     voted = stored(docs.mapInArrow(run, schema), "quality-votes")
     post = fit(pattern_counts(voted.select(F.col("__votes").alias("votes"))))
     good = docs.sparkSession.createDataFrame([(v,) for v, x in post.items() if x >= KEEP_FROM], "__good string")
-    return voted.where("not __failed").join(F.broadcast(good), F.col("__votes") == F.col("__good"), "left_semi").select(*docs.columns)
+    return back(voted.where("not __failed").join(F.broadcast(good), F.col("__votes") == F.col("__good"), "left_semi"))
 
 
 def accuracy(counts: Counter | dict[str, int]) -> dict[str, tuple[float, float]]:
