@@ -11,7 +11,7 @@ off, and to the row whose offset and length give the ids in the payload.
 
 Scale: ids are compressed for the shuffle; a task holds one batch of ids and the index of
 its shard (about 30 bytes for a document), never a shard's payload.  Shards take about
-``SHARD_BYTES`` each, however many there are; a doc_id with more rows than a shard takes is dealt
+``SHARD_BYTES`` each, or a ``MOST_SHARDS``th of the corpus if that is more; a doc_id with more rows than a shard takes is dealt
 to several neighbouring ones.  Files are read back in blocks of ``BLOCK_BYTES``, a few documents
 or many to a request.  A shard is written under a name of its own attempt and then moved in
 place, so tasks can be repeated and lost executors cost only their shards; what failed attempts
@@ -46,8 +46,9 @@ from hydrospark.llm.common import shared_path, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Bytes of text that a shard takes, about.
-SHARD_BYTES = 64 << 20
+#: Bytes of text that a shard takes, about, as long as there are no more than MOST_SHARDS of them.
+SHARD_BYTES = 16 << 20
+MOST_SHARDS = 20_000
 #: What a document counts for beside its text.
 DOC_BYTES = 64
 #: Bytes of payload in one read.
@@ -448,7 +449,7 @@ def token_files(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         raise ValueError("doc_id must be a whole number")
     size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + DOC_BYTES), F.lit(0)).alias("b")).first()["b"]
-    n_shards = max(8, -(-size // SHARD_BYTES)) if size else 1
+    n_shards = min(max(8, -(-size // SHARD_BYTES)), MOST_SHARDS) if size else 1
     written = stored(write_files(docs, path, vocabulary, n_shards), "token-manifest")
     _tidy(docs.sparkSession, path)
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
