@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.session import ship, table
 
-__all__ = ["aside", "join_counted", "numbered", "shared_path", "shared_root", "ship", "stored", "table"]
+__all__ = ["aside", "join_counted", "numbered", "scratch", "shared_path", "shared_root", "ship", "stored", "table"]
+
+
+_scopes: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,23 +33,38 @@ def shared_root(spark: SparkSession) -> str:
     return root if "://" in root or root.startswith("file:") else f"file://{root}"
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
+def shared_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    """A new path in the shared folder, deleted at the end of the innermost ``scratch`` unless it is lasting, else when the driver's JVM ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _scopes and not lasting:
+        _scopes[-1].append(path)
     return path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end the tables that operators have stored within it; what is to stay is written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _scopes.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder (at ``path`` where one is given) and read it back.
 
     Later steps then read the table instead of computing ``df`` again, and the
     lineage ends at files that outlive any executor.
     """
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = path or shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm.common import stored, table
+from hydrospark.llm.common import shared_path, stored, table
 
 #: What a piece must hold to be classified; searched in lower-cased texts as they are.
 MARKS = ("licen", "copyright", "copyleft", "warrant", "spdx", "gpl", "apache", "mozilla", "mpl-", "mpl 2", "mpl v", "mplv2", "mpl2", "bsd", "cc0", "cc by", "cc-by", "commons", "domain", "reserved", "permission", "hereby", "redistribution", "proprietary")
@@ -220,7 +220,7 @@ def model(spark: SparkSession) -> DataFrame:
     """The model of this application, fitted when first asked for."""
     app = spark.sparkContext.applicationId
     if app not in _models:
-        _models[app] = stored(train(spark), "license-model")
+        _models[app] = stored(train(spark), "license-model", shared_path(spark, "license-model", lasting=True))
     return _models[app]
 
 

@@ -377,3 +377,14 @@ def test_three_alike_of_which_two_are_near(spark):
     assert all(S.jaccard(docs[i][1], docs[i + 1][1]) < 0.8 <= S.jaccard(docs[i + 1][1], docs[i + 2][1]) for i in range(0, len(docs), 3))
     got = {r.doc_id for r in S.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {k for k, _ in plain_near(docs)} and len(got) <= len(stay)
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    with common.scratch(spark):
+        gone = common.shared_path(spark, "gone")
+        kept = common.shared_path(spark, "kept", lasting=True)
+        for path in (gone, kept):
+            assert common.stored(spark.range(3), "x", path).count() == 3
+    assert not Path(gone.removeprefix("file://")).exists() and spark.read.parquet(kept).count() == 3
