@@ -392,12 +392,12 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, n_shards: int) -> D
 
 def _below(cuts: list[int], how: str):
     """How many of the sorted cuts are under ``k`` (or equal to it as well), by binary search."""
-    steps, found = F.array(*[F.lit(c) for c in cuts]), F.lit(0)
-    for b in reversed(range(len(cuts).bit_length())):
-        more = found + (1 << b)
-        at = F.get(steps, more - 1)
-        found = F.when((more <= len(cuts)) & (at < F.col("k") if how == "<" else at <= F.col("k")), more).otherwise(found)
-    return found
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*[F.lit(c).cast("long") for c in cuts])
+    powers = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    fits = lambda at: at < F.col("k") if how == "<" else at <= F.col("k")
+    return F.aggregate(powers, F.lit(0), lambda found, b: F.when((found + b <= len(cuts)) & fits(F.get(steps, found + b - 1)), found + b).otherwise(found))
 
 
 def read_files(manifest: DataFrame, path: str) -> DataFrame:
