@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from hydrospark.llm.decontamination import OP10_SQL, op10_decontamination
+from hydrospark.llm.kdtree_clusters import OP11_SQL, op11_kdtree_clusters
 from hydrospark.llm.language_id import op4_language_id
 from hydrospark.llm.licenses import op3_license_scan
 from hydrospark.llm.line_dedup import op7_line_dedup
 from hydrospark.llm.packing import op2_best_fit_packing
 from hydrospark.llm.quality_rules import op8_quality_rules
+from hydrospark.llm.resampling import OP13_SQL, op13_importance_resampling
 from hydrospark.llm.secrets import OP1_SQL, op1_secret_scan
 from hydrospark.llm.sharding import OP5_SQL, op5_sharding
 from hydrospark.llm.simhash_dedup import op9_simhash_dedup
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_kdtree_clusters": op11_kdtree_clusters,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-ORACLES = {"op1_secret_scan": OP1_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op1_secret_scan": OP1_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL, "op11_kdtree_clusters": OP11_SQL, "op13_importance_resampling": OP13_SQL}
