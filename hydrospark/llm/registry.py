@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hydrospark.llm.context_mixing import op12_context_mixing
 from hydrospark.llm.decontamination import OP10_SQL, op10_decontamination
 from hydrospark.llm.kdtree_clusters import OP11_SQL, op11_kdtree_clusters
 from hydrospark.llm.language_id import op4_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_kdtree_clusters": op11_kdtree_clusters,
+    "op12_context_mixing": op12_context_mixing,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES = {"op1_secret_scan": OP1_SQL, "op5_sharding": OP5_SQL, "op10_decontamination": OP10_SQL, "op11_kdtree_clusters": OP11_SQL, "op13_importance_resampling": OP13_SQL}
