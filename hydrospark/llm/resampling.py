@@ -9,7 +9,7 @@ for each distinct text, its counts are multiplied by its copies, and the weight
 the noise, which depends on the document alone.
 
 Scale: texts are shuffled once, with their copies counted before; the bucket counts are one row
-for each bucket and task; joins carry digests, and a text with very many copies is joined where its rows lie
+for each task and block of buckets; joins carry digests, and a text with very many copies is joined where its rows lie
 (``join_counted``).  What is broadcast is one number for each bucket.  The order of the draw comes from a
 range partition and the sizes of its partitions, so no task sees all scores.
 
@@ -33,6 +33,8 @@ from hydrospark.llm.decontamination import words_of
 
 RUN = 2
 BUCKETS = 10_000
+#: Buckets whose counts travel together.
+BLOCK = 250
 LEAST_WORDS = 20
 PERCENT = 25
 SEED = 7
@@ -56,18 +58,32 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 
 def bucket_counts(texts: DataFrame, run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket, n``: features of all copies in each bucket."""
+    """``bucket, n``: features of all copies in each bucket.
+
+    A task gives its counts in blocks of buckets, which are added up one by one.
+    """
+    spark = texts.sparkSession
 
     def count(batches):
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros(-(-buckets // BLOCK) * BLOCK, np.int64)
         for b in batches:
             for text, copies in zip(b.column("text").to_pylist(), b.column("copies").to_pylist()):
-                total += copies * np.bincount(features(words_of(text), run) % np.uint32(buckets), minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+                total += copies * np.bincount(features(words_of(text), run) % np.uint32(buckets), minlength=len(total))
+        blocks = total.reshape(-1, BLOCK)
+        at = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blocks[k].tobytes() for k in at], pa.binary())], names=["block", "n"])
 
-    ship(texts.sparkSession)
-    return texts.select("text", "copies").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column("block").to_pylist(), b.column("n").to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int64)
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * BLOCK, (k + 1) * BLOCK), pa.int32()), pa.array(n)], names=["bucket", "n"]).filter(pa.array(n > 0))
+
+    ship(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select("text", "copies").mapInArrow(count, "block int, n binary").repartition(parts, "block").mapInArrow(add, "bucket int, n long")
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
