@@ -1,6 +1,6 @@
-"""Whole-grid operators that need paths: depression filling and least-cost distance.
+"""Whole-grid operators that need paths: depression filling (``spill``) and least-cost distance.
 
-Both are fixed points of "a cell takes the best of what its neighbours offer", and are worked
+Least cost is the fixed point of "a cell takes the best of what its neighbours offer", and is worked
 tile by tile: a tile with its rim of neighbour cells is one group, an exact numpy kernel settles
 it given the rim, and tiles repeat until no rim changes.  A task holds one tile; the number of
 rounds is that of tiles a best path crosses, not of cells.
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from hydrospark.operators.graph import checkpointed
 from hydrospark.operators.raster import CELL, EIGHT, FOUR, Grid, UNIT_GRID, step_length
+from hydrospark.operators.spill import fill_depressions
 from hydrospark.session import ship
 
+__all__ = ["cost_distance", "fill_depressions", "volume_limited_fill"]
+
 TILE = 128
 
 
@@ -80,22 +83,6 @@ def _relax(z: np.ndarray, w: np.ndarray, offsets, offer: Callable[[float, float,
     return out
 
 
-def fill_depressions(cells: DataFrame, value: str = "value", tile: int = TILE) -> DataFrame:
-    """``filled``, the least level at which water leaves over the edge, and ``fill_depth``.
-
-    Water leaves from cells that have a neighbour missing (the rim of the raster and of holes).
-    """
-    from hydrospark.operators.raster import neighbours
-
-    near = neighbours(cells.select("row", "col", F.col(value).cast("double").alias("z")), "z")
-    edge = F.lit(False)
-    for k in range(8):
-        edge = edge | F.col(f"n{k}").isNull()
-    start = F.when(edge, F.col("z")).otherwise(F.lit(float("inf")))
-    out = settle(near, start, lambda z, w: _relax(z, w, EIGHT, lambda v, here, there, k: max(v, there)), tile)
-    return out.select("row", "col", F.col("z").alias(value), F.col("w").alias("filled"), F.greatest(F.col("w") - F.col("z"), F.lit(0.0)).alias("fill_depth"))
-
-
 def cost_distance(cells: DataFrame, seeds: DataFrame, elevation: str = "value", grid: Grid = UNIT_GRID, connectivity: int = 4, uphill_penalty: float = 8.0, tile: int = TILE) -> DataFrame:
     """M17 (first half): ``cost`` of the cheapest way from a seed to every cell that one reaches.
 
