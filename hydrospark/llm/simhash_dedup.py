@@ -17,11 +17,13 @@ Scale: texts are read once and never shuffled; what moves is 16 rows of 24 bytes
 each *distinct* fingerprint.  Copies share a fingerprint, so a hot group of copies is
 one row.
 
-The pipeline's stage (``keep_one``) takes more in: texts whose sets of 5-word shingles have a
-Jaccard similarity of ``LEAST_JACCARD`` differ by some ten bits, beyond any radius whose
-shards stay small.  It therefore adds links from MinHash bands: in each band the fingerprints of
-a bucket meet ``HEADS`` of them, and links that the radius does not make are kept only if
-the exact similarity of the texts is reached.  A bucket of n sends less than ``HEADS`` * n pairs.
+The pipeline's stage (``keep_one``) takes near-duplicates as texts whose sets of 5-word shingles have a Jaccard
+similarity of ``LEAST_JACCARD`` or more.  Fingerprints alone neither tell them (pages with a common frame are within the
+radius) nor find them all (some ten bits differ), so links of the radius and pairs that share MinHash bands are
+candidates, and every pair's texts are compared.  A text goes only if it reaches the similarity with one that
+stays: chains delete nothing.  Bands alone, two bands that follow each other and three of them are
+the keys of buckets; all members of a bucket meet its ``HEADS`` smallest texts, and the survivors are dealt to
+buckets again until no pass finds a new link, so a bucket of n compares less than ``HEADS`` * n pairs a pass.
 
 Defined results: a null or wordless text has fingerprint zero; repeated rows share a
 component; a null doc_id stays a row and never names a component unless nothing else
@@ -33,10 +35,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from hydrospark.llm.common import aside, join_counted, numbered, stored, table
+from hydrospark.llm.common import aside, join_counted, numbered, ship, stored, table
 from hydrospark.operators.graph import components
 
 RADIUS = 3
@@ -46,8 +49,8 @@ WIDE_WORDS = 5
 LEAST_JACCARD = 0.8
 BANDS = 14
 BAND_ROWS = 4
-#: Members of a bucket that all others meet.
-HEADS = 3
+#: Members of a bucket that all others meet, in the first pass and in later ones.
+HEADS = (1, 4)
 SEED = 42
 #: Members of a shard that one task uses as queries; larger shards are walked by several tasks.
 TREE_QUERIES = 20_000
@@ -270,59 +273,101 @@ def jaccard(a: str | None, b: str | None) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def digest(text: str | None) -> bytes:
+    """What stands for all texts of the same lower-cased words."""
+    return xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+
 def _banded(rows: DataFrame) -> DataFrame:
-    """``doc_id, row, fp, bands`` of numbered rows."""
+    """``doc_id, row, node, fp, bands`` of numbered rows; node is the digest."""
 
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fp), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "row", "fp", "bands"])
+            node = pa.array([digest(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), node, pa.array(fp), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "bands"])
 
-    return rows.select("doc_id", F.col("__row").alias("row"), "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, fp long, bands array<long>")
+    ship(rows.sparkSession)
+    return rows.select("doc_id", F.col("__row").alias("row"), "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, node binary, fp long, bands array<long>")
 
 
-def wide_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links (a, b) among fingerprints beyond the radius whose texts reach ``LEAST_JACCARD``.
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    ``distinct`` has ``fp``, ``bands`` and the row ``first`` that stands for a fingerprint.
-    """
-    dealt = stored(distinct.select("fp", F.explode("bands").alias("band")), "simhash-bands")
-    # One head is the same in all buckets that it is in, the others differ from band to band.
-    some = [F.min_by("fp", F.xxhash64("fp", "band", F.lit(k))) for k in range(HEADS - 1)]
-    heads = stored(dealt.groupBy("band").agg(F.array_distinct(F.array(F.min("fp"), *some)).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", F.explode("head").alias("head")), "simhash-heads")
-    pairs = dealt.join(heads, "band").where(f"bit_count(fp ^ head) > {RADIUS}").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = stored(pairs, "simhash-pairs")
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = distinct.join(ends, "fp").select(F.col("fp").alias("__fp"), F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
-    texts = stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & (rows["__row"] == wanted["__r"])).select(F.col("__fp").alias("fp"), "text"), "simhash-texts")
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+
+def radius_pairs(distinct: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` of the radius: every text with the smallest of its fingerprint, and those of linked fingerprints."""
+    least = stored(distinct.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "simhash-least")
+    same = join_counted(distinct.select("node", "fp"), least, "fp", "n").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"__{c}"))
+    linked = near_links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+    return _ordered(same.unionByName(linked))
+
+
+def band_pairs(live: DataFrame, heads: int) -> DataFrame:
+    """Candidates ``a, b``: every text with the ``heads`` smallest of each of its buckets."""
+    at = lambda i, *more: F.xxhash64(*[F.element_at("bands", (i + k) % BANDS + 1) for k in range(len(more))], F.lit(len(more)))
+    places = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    keys = F.concat("bands", F.transform(places, lambda i: at(i, 0, 1)), F.transform(places, lambda i: at(i, 0, 1, 2)))
+    dealt = stored(live.where(F.size("bands") == BANDS).select("node", F.explode(keys).alias("key")), "simhash-bands")
+    first = dealt.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("nth") <= heads).select("key", F.col("node").alias("head"))
+    return _ordered(dealt.join(stored(first, "simhash-heads"), "key").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+
+
+def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the stored ``pairs`` whose texts reach ``LEAST_JACCARD``; ``distinct`` has each node's row as ``first``."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = distinct.join(ends, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
+    texts = stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & (rows["__row"] == wanted["__r"])).select("node", "text"), "simhash-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
         for t in batches:
             near = [jaccard(x, y) >= LEAST_JACCARD for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist())]
             yield t.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def covered(links: DataFrame) -> DataFrame:
+    """The nodes that go: in the order of their digests, whatever has a link (a < b) to a smaller one that stays.
+
+    Round by round, nodes without a smaller neighbour stay and take theirs along; digests are random, so
+    the rounds grow with the logarithm of the nodes.
+    """
+    edges, gone = links, None
+    while not edges.isEmpty():
+        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        hit = stored(edges.join(stay, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "simhash-gone")
+        gone = hit if gone is None else gone.unionByName(hit)
+        edges = stored(edges.join(hit, edges["a"] == hit["node"], "left_anti").join(hit, edges["b"] == hit["node"], "left_anti"), "simhash-left")
+    return gone if gone is not None else links.select(F.col("b").alias("node"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates: that of the smallest doc_id.
+    """The rows of ``docs`` that stay: of texts of the same words the one of the smallest doc_id, and of those each that reaches ``LEAST_JACCARD`` with none that stays.
 
-    Rows are linked by the radius or by ``LEAST_JACCARD``.  Rows that share a doc_id or have none are told
-    apart by a row number; those without one stay only where no other row of their group has one.
+    Among near-duplicates the smaller digest stays.  Rows that share a doc_id or have none are told
+    apart by a row number; those without one stay only where no other row of the same words has one.
     """
     docs, back = aside(docs)
     rows = numbered(docs)
-    printed = stored(_banded(rows), "simhash")
+    printed = _banded(rows)
     key = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
-    distinct = stored(printed.groupBy("fp").agg(F.min(F.struct(key.alias("first"), "bands")).alias("m")).select("fp", "m.*"), "simhash-distinct")
-    links = near_links(distinct.select("fp")).unionByName(wide_links(rows, distinct))
-    groups = components(links)
-    named = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
-    stay = named.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.row").alias("__r"))
-    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi")
-    return back(kept)
+    distinct = stored(printed.groupBy("node").agg(F.min(F.struct(key.alias("first"), "fp", "bands")).alias("m")).select("node", "m.*"), "simhash-distinct")
+    pairs = stored(_ordered(radius_pairs(distinct).unionByName(band_pairs(distinct, HEADS[0]))), "simhash-pairs")
+    seen, links, live = pairs, stored(similar(rows, distinct, pairs), "simhash-links"), distinct
+    while True:
+        gone = stored(covered(links), "simhash-covered")
+        live = stored(distinct.join(gone, "node", "left_anti"), "simhash-live")
+        pairs = stored(band_pairs(live, HEADS[1]).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+        more = stored(similar(rows, live, pairs), "simhash-links")
+        if more.isEmpty():
+            break
+        seen, links = seen.unionByName(pairs), links.unionByName(more)
+    stay = live.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
+    return back(rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

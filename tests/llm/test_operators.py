@@ -385,7 +385,7 @@ def test_dense_groups_lose_no_link(spark, monkeypatch, limit):
 def test_stage_takes_near_copies_beyond_the_radius(spark):
     """Texts at 0.8 on five words go, less similar ones stay, whatever their bits say."""
     rng = random.Random(11)
-    docs, stay = [], set()
+    docs = []
     for _ in range(40):
         words = [f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(120)]
         near, far = list(words), list(words)
@@ -393,12 +393,11 @@ def test_stage_takes_near_copies_beyond_the_radius(spark):
             near[k] = "other"
         for k in range(5, 120, 6):
             far[k] = "other"
-        stay |= {len(docs), len(docs) + 2}
         docs += [(len(docs) + i, " ".join(w)) for i, w in enumerate((words, near, far))]
     assert all(S.jaccard(docs[i][1], docs[i + 1][1]) >= 0.8 > S.jaccard(docs[i][1], docs[i + 2][1]) for i in range(0, len(docs), 3))
     assert sum((S.fingerprint(docs[i][1]) ^ S.fingerprint(docs[i + 1][1])).bit_count() > 3 for i in range(0, len(docs), 3)) > 20
     got = {r.doc_id for r in S.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == stay
+    assert all(i + 2 in got and (i in got) != (i + 1 in got) for i in range(0, len(docs), 3))
 
 
 def test_stage_keeps_different_texts_of_one_id(spark):
