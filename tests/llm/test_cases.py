@@ -80,31 +80,34 @@ def plain_boundaries(lines):
     return out + [(start, len(lines))] * (start < len(lines))
 
 
-def plain_lines(rows):
-    """Lines whose text, with the next line's, came before; runs of over 50 words and whole chunks of 25 go."""
-    pairs, long, out = set(), set(), []
+def plain_lines(rows, chunked=None):
+    """Chunks that came before go, and stretches of lines of over 50 words whose pairs first stood one after the other in one text."""
+    pairs, chunks, out = {}, set(), []
     for i, text in rows:
         lines = text.split("\n")
         words = [len(x.encode().split()) for x in lines]
-        pair, single = [False] * len(lines), [False] * len(lines)
-        for k, x in enumerate(lines):
-            if words[k] > 50:
-                single[k] = x in long
-                long.add(x)
-            if k + 1 < len(lines):
-                pair[k] = (x, lines[k + 1]) in pairs
-                pairs.add((x, lines[k + 1]))
-        drop, a = set(), 0
+        shift = [None] * len(lines)
+        for k in range(len(lines) - 1):
+            j, p = pairs.setdefault((lines[k], lines[k + 1]), (i, k))
+            shift[k] = None if (j, p) == (i, k) else (j, p - k)
+        drop, by_chunk = set(), set()
+        for a, z in plain_boundaries(lines):
+            if words[a] > 50 or (z - a > 1 and sum(words[a:z]) >= 25):
+                body = tuple(lines[a:z])
+                if body in chunks:
+                    by_chunk |= set(range(a, z))
+                chunks.add(body)
+        a = 0
         while a < len(lines):
-            z = a + 1
-            while z < len(lines) and pair[z - 1]:
+            z = a
+            while shift[a] and z < len(lines) and shift[z] == shift[a]:
                 z += 1
-            if sum(words[a:z]) > 50 and (z - a > 1 or single[a]):
-                drop |= set(range(a, z))
-            a = z
-        for a, z in plain_boundaries(lines):
-            if z - a > 1 and all(pair[a : z - 1]) and sum(words[a:z]) >= 25:
-                drop |= set(range(a, z))
+            if z > a and sum(words[a : z + 1]) > 50:
+                drop |= set(range(a, z + 1))
+            a = max(z, a + 1)
+        if chunked is not None:
+            chunked.append((len(by_chunk), len(drop - by_chunk)))
+        drop |= by_chunk
         left = "\n".join(x for k, x in enumerate(lines) if k not in drop)
         if not drop or left.encode().split():
             out.append((i, left))

@@ -8,7 +8,7 @@ from hydrospark.llm import decontamination, language_id, licenses, line_dedup, p
 from hydrospark.llm.common import shared_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ["row", "h", "fp", "key", "n", "spans", "places", "votes", "shard", "slot", "root", "node", "found", "cluster", "grp", "posterior", "label", "nth"]
+EXTRA = ["which", "found", "row", "h", "fp", "key", "n", "spans", "places", "votes", "shard", "slot", "root", "node", "cluster", "grp", "posterior", "label", "nth"]
 GOOD = "the river rose over its banks in the night and the people of the town went up to the hill with what they could carry while the rain went on and on"
 ROWS = [
     (1, GOOD + " one " + GOOD.replace("river", "water") + " end", "en", "a/x", 10),

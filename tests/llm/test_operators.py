@@ -209,23 +209,28 @@ def test_foreign_keys_are_told_off(tmp_path):
 # 7 ---------------------------------------------------------------------------------------
 
 
-def plain_line_dedup(docs):
-    """Documents by id; of chunks with equal bytes all but the first go."""
-    seen, out = set(), {}
-    for i in sorted(docs):
-        lines, gone = docs[i].split("\n"), []
-        for _, a, b in line_dedup.chunks(docs[i]):
-            body = "\n".join(lines[a:b])
-            if body in seen:
-                gone.append(a)
-            seen.add(body)
-        out[i] = line_dedup.cut(docs[i], gone)[0]
-    return out
+def test_line_dedup(spark, sf_dir):
+    from test_cases import plain_lines
 
+    rows = sorted((d.doc_id, d.text) for d in documents(spark, sf_dir).where("text is not null").collect())
+    got = {r.doc_id: (r.text, r.n_removed, r.n_chunked) for r in line_dedup.op7_line_dedup(spark, sf_dir).collect()}
+    chunked = []
+    want = dict(plain_lines(rows, chunked))
+    assert {i: t for i, (t, n, _) in got.items() if not n or t.split()} == want
+    assert sum(c for _, _, c in got.values()) == sum(c for c, _ in chunked)
 
-def test_line_dedup(spark, sf_dir):
-    got = {r.doc_id: r.text for r in line_dedup.op7_line_dedup(spark, sf_dir).collect()}
-    assert got == plain_line_dedup({d.doc_id: d.text for d in documents(spark, sf_dir).collect()})
+
+def test_what_never_stood_whole_stays(spark):
+    rng = random.Random(17)
+    a, b, c = (prose(20, rng) for _ in range(3))
+    docs = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}")]
+    out = {r.doc_id: r.text for r in line_dedup.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(out) == {1, 2, 3} and out[1] == docs[0][1] and out[2] == docs[1][1]
+    # A stretch of pairs that first stood in several texts never stood whole.
+    lines = [prose(14, rng) for _ in range(12)]
+    docs = [(k, f"{lines[k]}\n{lines[k + 1]}") for k in range(11)] + [(20, "\n".join(lines))]
+    whole, stretches = line_dedup.spans(docs[-1][1], [{"which": 2 * k, "doc": str(k), "row": 0, "first": 0} for k in range(11)])
+    assert (whole, stretches) == ([], [])
 
 
 def test_long_passages_go_wherever_they_stand(spark):
@@ -275,7 +280,7 @@ def test_rows_without_an_id_of_their_own_take_part(spark):
 
 def test_boundaries_resist_shifts():
     body = [prose(14) for _ in range(40)]
-    hashes = lambda lines: {h for h, _, _ in line_dedup.chunks("\n".join(lines))}
+    hashes = lambda lines: {h for w, h, _ in line_dedup._hashed("\n".join(lines)) if w % 2}
     a, b = hashes(body), hashes([prose(5), *body])
     assert len(a - b) <= 2
 
