@@ -3,7 +3,7 @@
 All test items go into one automaton over words.  Every document streams through it;
 the longest match that ends at each word is tracked, and where it reaches a window
 (13 words, or a whole shorter item) the words of that window are hit.  Spans of hit
-words are removed from documents that pass the coverage limit.
+words are removed where they pass the length limit, and all spans from documents that pass the coverage limit.
 
 Only stretches in which every neighbouring pair of words occurs in some item can hold
 a match of two words or more, so the automaton is stepped through those alone; the
@@ -36,6 +36,8 @@ from hydrospark.llm.common import aside, stored, table
 WINDOW = 13
 #: A document is contaminated if it has a hit and one word in this many, or more, is hit.
 COVERAGE = 20
+#: Spans of so many hit words, or more, are cut from any document.
+LONG_SPAN = 20
 #: Words of test items in one automaton (about 300 bytes each when built).
 ITEM_WORDS = 250_000
 #: Columns of a scan.
@@ -227,6 +229,13 @@ def judged(spans: list[int], n_words: int) -> tuple[int, bool]:
     return n_hit, n_hit > 0 and COVERAGE * n_hit >= n_words
 
 
+def to_cut(spans: list[int], n_words: int) -> list[int]:
+    """The spans that go: all of a contaminated document, else those that are long by themselves."""
+    if judged(spans, n_words)[1]:
+        return spans
+    return [x for a, b in zip(spans[::2], spans[1::2]) if b - a >= LONG_SPAN for x in (a, b)]
+
+
 def remove_spans(text: str, spans: list[int]) -> str:
     """The text without the hit words and what stands between them; the blanks around a cut stay once."""
     at = [m.span() for m in _WORD.finditer(text)]
@@ -238,9 +247,9 @@ def remove_spans(text: str, spans: list[int]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the hit spans cut out of contaminated documents, until none is left in them.
+    """``docs`` with the hit spans cut out of contaminated documents, and those of ``LONG_SPAN`` words out of all, until none is left in them.
 
-    Documents below the coverage limit stay as they are.  A contaminated document of
+    What is below both limits stays as it is.  A document of
     which no word is left goes.  ``n_chars``, where present, follows the new text.  All are
     scanned once; those that were cut are scanned again, as a cut joins what stood around it.
     """
@@ -259,17 +268,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """Scanned rows with the spans of contaminated ones cut out; ``__again`` marks those with words left."""
+    """Scanned rows with what is over a limit cut out; ``__again`` marks those that were cut and have words left."""
     schema = T.StructType([*(f for f in rows.schema if f.name not in MADE), T.StructField("__again", T.BooleanType())])
 
     def run(batches):
         for b in batches:
             texts, again, mask = [], [], []
             for text, spans, n in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), b.column("__n").to_pylist()):
-                n_hit, bad = judged(spans, n)
-                texts.append(remove_spans(text, spans) if bad else text)
-                again.append(bad)
-                mask.append(not bad or n > n_hit)
+                gone = to_cut(spans, n)
+                texts.append(remove_spans(text, gone) if gone else text)
+                again.append(bool(gone))
+                mask.append(not gone or n > sum(gone[1::2]) - sum(gone[::2]))
             cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in b.schema.names if c not in MADE]
             made = pa.RecordBatch.from_arrays([*cols, pa.array(again, pa.bool_())], names=[*(c for c in b.schema.names if c not in MADE), "__again"])
             yield made.filter(pa.array(mask, pa.bool_()))

@@ -133,7 +133,7 @@ def plain_near(rows):
 
 
 def plain_clean(rows, items):
-    """Spans of 13 words, or of whole shorter items, cut from documents of which a twentieth is hit."""
+    """Spans of 13 words, or of whole shorter items, cut from documents of which a twentieth is hit; spans of 20 words from all."""
     token = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
     low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
     windows = defaultdict(set)
@@ -147,7 +147,11 @@ def plain_clean(rows, items):
             at = [m.span() for m in token.finditer(text)]
             w = [low(text[a:b]) for a, b in at]
             hit = {q for k, some in windows.items() for p in range(len(w) - k + 1) if tuple(w[p : p + k]) in some for q in range(p, p + k)}
-            if not hit or 20 * len(hit) < len(w):
+            if 20 * len(hit) < len(w):
+                starts = [p for p in hit if p - 1 not in hit]
+                runs = [(p, next(q for q in range(p, len(w) + 1) if q not in hit)) for p in starts]
+                hit = {q for a, b in runs if b - a >= 20 for q in range(a, b)}
+            if not hit:
                 out.append((i, text))
                 break
             if len(hit) == len(w):

@@ -444,7 +444,9 @@ def test_spans_are_cut_out(spark):
     out = {r.doc_id: r.text for r in D.decontaminate(docs, bench).collect()}
     assert out[1] == "Before this. ! After that, too." and 3 not in out
     was = {r.doc_id: r.text for r in docs.collect()}
-    assert out[2] == was[2] and out[4] == was[4]  # clean, and below the coverage limit
+    assert out[2] == was[2] and out[4] == was[4]  # clean, and below both limits
+    long = spark.createDataFrame([(5, f"{prose(400)} {item} {prose(301)}")], docs.schema)  # a whole item, far below the coverage limit
+    assert item not in D.decontaminate(long, bench).first().text and D.report(long, bench).first().contaminated is False
 
 
 def test_large_benchmarks_use_several_automata(spark, monkeypatch):
