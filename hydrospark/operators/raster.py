@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.functions import columns as X
 from hydrospark.functions import constants as C
+from hydrospark.operators.order import percentiles
 
 Grid = tuple[float, float, float, float, float, float]
 UNIT_GRID: Grid = (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
@@ -101,15 +102,19 @@ def sample(points: DataFrame, cells: DataFrame, x: str, y: str, grid: Grid, valu
 
 
 def zonal(cells: DataFrame, zone: Sequence[str], value: str = "value", grid: Grid = UNIT_GRID, least: float | None = None) -> DataFrame:
-    """Count, area, volume, largest, mean and percentiles of each zone."""
+    """Count, area, volume, largest, mean and percentiles of each zone, of whatever size."""
     area = cell_area(grid)
     rows = cells if least is None else cells.where(F.col(value) >= least)
-    p = lambda q: F.percentile(value, F.lit(q))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.groupBy(*zone).agg(
+    whole = rows.groupBy(*zone).agg(
         F.count("*").alias("pixels"), (F.count("*") * area).alias("area_m2"), (F.count("*") * area / C.M2_PER_SQMI).alias("area_sqmi"), zero(F.sum(F.col(value) * area)).alias("volume_m3"),
-        zero(F.max(value)).alias("max_value"), zero(F.avg(value)).alias("mean_value"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"),
+        zero(F.max(value)).alias("max_value"), zero(F.avg(value)).alias("mean_value"),
     )
+    ranks = percentiles(rows, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, zone).withColumnsRenamed({z: f"__{z}" for z in zone})
+    same = F.lit(True)
+    for z in zone:
+        same = same & whole[z].eqNullSafe(ranks[f"__{z}"])
+    return (whole.join(ranks, same, "left") if zone else whole.crossJoin(F.broadcast(ranks))).drop(*[f"__{z}" for z in zone])
 
 
 def argmax_cell(cells: DataFrame, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
@@ -140,7 +145,7 @@ def extent_scores(coded: DataFrame, grid: Grid = UNIT_GRID, by: Sequence[str] =
 def depth_colours(cells: DataFrame, value: str = "value") -> DataFrame:
     """Red, green, blue, alpha of every cell; scaled by the 98th percentile of what is over 2 cm, 0.25 at least."""
     wet = F.col(value) > 0.02
-    top = cells.where(wet).agg(F.greatest(F.percentile(value, F.lit(0.98)), F.lit(0.25)).alias("__top"))
+    top = percentiles(cells.where(wet), value, {"__p": 0.98}).agg(F.greatest(F.max("__p"), F.lit(0.25)).alias("__top"))
     out = cells.join(F.broadcast(top))
     c = X.ramp_colour(X.clip(F.col(value) / F.col("__top"), 0.0, 1.0))
     return out.select("row", "col", value, c["red"].alias("red"), c["green"].alias("green"), c["blue"].alias("blue"), F.when(wet, 185).otherwise(0).alias("alpha"))

@@ -86,11 +86,13 @@ SELECT id, CAST(path_index AS BIGINT) AS path_index FROM ms"""
 
 
 def trace_down(spark, d):
-    """The way down from the first cell of every fifth row."""
-    return G.trace_down(_pointers(spark, d), _cells(spark, d).where("col = 0 and row % 5 = 0").select(R.cell_id(NCOLS)))
+    """The way down from every source, a cell that no cell drains to."""
+    p = _pointers(spark, d)
+    fed = p.where("ptr is not null").select(F.col("ptr").alias("id")).distinct()
+    return G.trace_down(p, p.select("id").join(fed, "id", "left_anti"))
 
 
-TRACE_SQL = _D8 + f"SELECT id AS start, cur AS id, CAST(steps AS BIGINT) AS steps FROM walk WHERE id % ({NCOLS} * 5) = 0"
+TRACE_SQL = _D8 + "SELECT walk.id AS start, cur AS id, CAST(steps AS BIGINT) AS steps FROM walk JOIN ptr s ON s.id = walk.id WHERE s.id NOT IN (SELECT ptr FROM ptr WHERE ptr IS NOT NULL)"
 
 
 def components(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hydrospark.functions import columns as X
+from hydrospark.operators import order as O
 from hydrospark.operators import series as S
 from hydrospark.session import table
 
@@ -352,9 +353,8 @@ DISTINCT_SQL = "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, event_type FROM
 
 def percentiles(spark, d):
     """Linear percentiles and the median of every type."""
-    p = lambda q: F.percentile("value", F.lit(q))
-    e = table(spark, d, "events")
-    return _rounded(e.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.98).alias("p98"), p(0.99).alias("p99"), F.median("value").alias("med")), 5)
+    wanted = {"p50": 0.5, "p95": 0.95, "p98": 0.98, "p99": 0.99, "med": 0.5}
+    return _rounded(O.percentiles(table(spark, d, "events"), "value", wanted, ["event_type"]), 5)
 
 
 PERCENTILE_SQL = "SELECT event_type, round(quantile_cont(value, 0.5), 5) AS p50, round(quantile_cont(value, 0.95), 5) AS p95, round(quantile_cont(value, 0.98), 5) AS p98, round(quantile_cont(value, 0.99), 5) AS p99, round(median(value), 5) AS med FROM events GROUP BY 1"
