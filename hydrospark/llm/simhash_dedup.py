@@ -49,8 +49,8 @@ WIDE_WORDS = 5
 LEAST_JACCARD = 0.8
 BANDS = 14
 BAND_ROWS = 4
-#: Members of a bucket that all others meet, in the first pass and in later ones.
-HEADS = (1, 4)
+#: Members of a bucket that all others meet; in the first pass it is one.
+HEADS = 4
 SEED = 42
 #: Members of a shard that one task uses as queries; larger shards are walked by several tasks.
 TREE_QUERIES = 20_000
@@ -305,12 +305,19 @@ def radius_pairs(distinct: DataFrame) -> DataFrame:
     return _ordered(same.unionByName(linked))
 
 
+def first_pairs(distinct: DataFrame) -> DataFrame:
+    """``node, head``: every text of a band's bucket of several, with the smallest one (which may be itself)."""
+    dealt = stored(distinct.select("node", F.explode("bands").alias("key")), "simhash-bands")
+    shared = stored(dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "simhash-heads")
+    return stored(join_counted(dealt, shared, "key", "n").select("node", "head").distinct(), "simhash-met")
+
+
 def band_pairs(live: DataFrame, heads: int) -> DataFrame:
-    """Candidates ``a, b``: every text with the ``heads`` smallest of each of its buckets."""
-    at = lambda i, *more: F.xxhash64(*[F.element_at("bands", (i + k) % BANDS + 1) for k in range(len(more))], F.lit(len(more)))
+    """Candidates ``a, b``: every text with the ``heads`` smallest of each of its buckets, of one band, two and three."""
+    at = lambda i, *more: F.xxhash64(*[F.element_at("bands", (i + k) % BANDS + 1) for k in more], F.lit(len(more)))
     places = F.sequence(F.lit(0), F.lit(BANDS - 1))
     keys = F.concat("bands", F.transform(places, lambda i: at(i, 0, 1)), F.transform(places, lambda i: at(i, 0, 1, 2)))
-    dealt = stored(live.where(F.size("bands") == BANDS).select("node", F.explode(keys).alias("key")), "simhash-bands")
+    dealt = stored(live.select("node", F.explode(keys).alias("key")), "simhash-bands")
     first = dealt.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("nth") <= heads).select("key", F.col("node").alias("head"))
     return _ordered(dealt.join(stored(first, "simhash-heads"), "key").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b")))
 
@@ -356,17 +363,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     printed = _banded(rows)
     key = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
     distinct = stored(printed.groupBy("node").agg(F.min(F.struct(key.alias("first"), "fp", "bands")).alias("m")).select("node", "m.*"), "simhash-distinct")
-    pairs = stored(_ordered(radius_pairs(distinct).unionByName(band_pairs(distinct, HEADS[0]))), "simhash-pairs")
-    seen, links, live = pairs, stored(similar(rows, distinct, pairs), "simhash-links"), distinct
+    met = first_pairs(distinct)
+    pairs = stored(_ordered(radius_pairs(distinct).unionByName(met.select(F.col("node").alias("a"), F.col("head").alias("b")))), "simhash-pairs")
+    seen, links = pairs, stored(similar(rows, distinct, pairs), "simhash-links")
+    # Only texts that share a bucket with another can meet one in a later pass.
+    crowd = stored(distinct.join(met.select("node").distinct(), "node", "left_semi"), "simhash-crowd")
     while True:
         gone = stored(covered(links), "simhash-covered")
-        live = stored(distinct.join(gone, "node", "left_anti"), "simhash-live")
-        pairs = stored(band_pairs(live, HEADS[1]).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
-        more = stored(similar(rows, live, pairs), "simhash-links")
+        pairs = stored(band_pairs(crowd.join(gone, "node", "left_anti"), HEADS).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+        more = stored(similar(rows, crowd, pairs), "simhash-links")
         if more.isEmpty():
             break
         seen, links = seen.unionByName(pairs), links.unionByName(more)
-    stay = live.select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
+    stay = distinct.join(gone, "node", "left_anti").select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
     return back(rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi"))
 
 
