@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.session import ship, table
 
-__all__ = ["aside", "join_counted", "numbered", "scratch", "shared_path", "shared_root", "ship", "stored", "table"]
+__all__ = ["aside", "join_counted", "numbered", "scratch", "shared_path", "shared_root", "ship", "sliced", "stored", "table"]
 
 
 _scopes: list[list[str]] = []
@@ -69,6 +69,13 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, rows: int = 1024):
+    """Record batches of at most so many rows, so that what a task makes of one stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but the used ones renamed, so that none clashes with an operator's own; and the way back."""
     names = [c if c in used else f"other_{k}" for k, c in enumerate(docs.columns)]

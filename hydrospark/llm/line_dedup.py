@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from hydrospark.llm.common import aside, join_counted, numbered, ship, stored, table
+from hydrospark.llm.common import aside, join_counted, numbered, ship, sliced, stored, table
 
 ROLL = 2
 MEAN = 3
@@ -93,7 +93,7 @@ def piece_table(rows: DataFrame) -> DataFrame:
     """``doc_id, row, which, h`` for every piece of numbered rows."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             keys, which, h = [], [], []
             for k, t in enumerate(b.column("text").to_pylist()):
                 for w, x, _ in _hashed(t):
@@ -112,7 +112,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
     """``doc_id, row, which, key, body``: the bytes of those pieces whose hash is in the array ``hs``; key is their digest."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             keys, which, key, body = [], [], [], []
             for k, (t, hs) in enumerate(zip(b.column("text").to_pylist(), b.column("hs").to_pylist())):
                 wanted = set(hs)
@@ -184,7 +184,7 @@ def remove(docs: DataFrame) -> DataFrame:
     rows = marked(docs)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts, mask = [], []
             for t, found in zip(b.column("text").to_pylist(), b.column("__found").to_pylist()):
                 if t is not None and found:
@@ -207,7 +207,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = marked(docs)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, gone, chunked, left, digest = [], [], [], [], []
             for t, found in zip(b.column("text").to_pylist(), b.column("__found").to_pylist()):
                 after, k, c = cut(t, found) if t is not None and found else (t, 0, 0)

@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from hydrospark.llm.common import aside, join_counted, numbered, ship, stored, table
+from hydrospark.llm.common import aside, join_counted, numbered, ship, sliced, stored, table
 from hydrospark.operators.graph import components
 
 RADIUS = 3
@@ -282,7 +282,7 @@ def _banded(rows: DataFrame) -> DataFrame:
     """``doc_id, row, node, fp, bands`` of numbered rows; node is the digest."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column("text").to_pylist()
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             node = pa.array([digest(t) for t in texts], pa.binary())
@@ -330,7 +330,7 @@ def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
-        for t in batches:
+        for t in sliced(batches):
             near = [jaccard(x, y) >= LEAST_JACCARD for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist())]
             yield t.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
