@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from hydrospark.functions import columns as X
 from hydrospark.operators import series as S
-from hydrospark.operators.raster import Grid, extent_edges
+from hydrospark.operators.raster import Grid
+from hydrospark.operators.rings import outline_points, outlines, ring_table
 from hydrospark.session import ship
 
 RINGS = "array<array<struct<x: double, y: double>>>"
@@ -82,66 +83,6 @@ def cells_near_rings(shapes: DataFrame, grid: Grid, nrows: int, ncols: int, buff
     return laid.where(hit).select("row", "col").distinct()
 
 
-def outlines(mask: DataFrame, grid: Grid, by: Sequence[str] = ()) -> DataFrame:
-    """The border of a mask as closed rings, in map units; holes run the other way.
-
-    The sides of cells are found by an aggregation; joining them end to end is done for one group
-    (a raster, or a component of it) at a time, so name a component in ``by`` for large masks.
-    """
-    ship(mask.sparkSession)
-    a, b, c, d, e, f = grid
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        nexts: dict[tuple, list[tuple]] = {}
-        for r0, c0, r1, c1 in pdf[["r0", "c0", "r1", "c1"]].sort_values(["r0", "c0", "r1", "c1"]).itertuples(index=False):
-            nexts.setdefault((r0, c0), []).append((r1, c1))
-        rings = []
-        while nexts:
-            start = min(nexts)
-            ring, here, came = [start], start, None
-            while True:
-                options = nexts[here]
-                # At a corner where two rings touch, the tighter turn keeps each ring simple.
-                k = 0 if len(options) == 1 or came is None else min(range(len(options)), key=lambda i: _turn(came, here, options[i]))
-                to = options.pop(k)
-                if not options:
-                    del nexts[here]
-                came, here = here, to
-                if here == start:
-                    break
-                ring.append(here)
-            keep = [p for i, p in enumerate(ring) if _bends(ring[i - 1], p, ring[(i + 1) % len(ring)])]
-            rings.append(keep + keep[:1])
-        shape = [[{"x": float(c + q * a + p * b), "y": float(f + q * d + p * e)} for p, q in ring] for ring in rings]
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "rings": shape}]) if rings else pd.DataFrame(columns=[*by, "rings"])
-
-    if not by:
-        return extent_edges(mask).withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(join, f"rings {RINGS}")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in mask.dtypes if n in by)
-    return extent_edges_by(mask, by).groupBy(*by).applyInPandas(join, f"{kinds}, rings {RINGS}")
-
-
-def extent_edges_by(mask: DataFrame, by: Sequence[str]) -> DataFrame:
-    """As extent_edges, within each group."""
-    r, c = F.col("row"), F.col("col")
-    side = lambda *p: F.struct(*[v.cast("int").alias(n) for v, n in zip(p, ("r0", "c0", "r1", "c1"))])
-    ways = F.array(side(r, c, r + 1, c), side(r + 1, c, r + 1, c + 1), side(r + 1, c + 1, r, c + 1), side(r, c + 1, r, c))
-    each = mask.select(*by, F.explode(ways).alias("e")).select(*by, "e.*")
-    end = lambda n: F.struct(F.col(f"r{n}").alias("r"), F.col(f"c{n}").alias("c"))
-    return each.withColumn("__k", F.array_sort(F.array(end(0), end(1)))).groupBy(*by, "__k").agg(F.count("*").alias("n"), F.min(F.struct("r0", "c0", "r1", "c1")).alias("e")).where("n = 1").select(*by, "e.*")
-
-
-def _turn(came: tuple, here: tuple, to: tuple) -> int:
-    """0 for a left turn, 1 for straight on, 2 for a right turn (the mask lies on the left)."""
-    ar, ac, br, bc = here[0] - came[0], here[1] - came[1], to[0] - here[0], to[1] - here[1]
-    cross = ac * br - ar * bc
-    return 0 if cross < 0 else 1 if cross == 0 else 2
-
-
-def _bends(p: tuple, q: tuple, r: tuple) -> bool:
-    return (q[0] - p[0]) * (r[1] - q[1]) != (q[1] - p[1]) * (r[0] - q[0])
-
-
 def ring_area(rings: str = "rings"):
     """Area of a shape by the shoelace formula; holes run the other way and count against it."""
     def one(ring):

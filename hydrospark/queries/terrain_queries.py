@@ -37,20 +37,24 @@ def volume_limited_fill(spark, d):
 
 
 def outlines(spark, d):
-    """Outlines of the connected cells over 0.2, with their areas."""
+    """Outlines of the connected cells over 0.2, ring by ring, with their areas."""
     m = _cells(spark, d).where("value > 0.2")
     ids = m.select(R.cell_id(NCOLS))
     parts = Gr.seeded_components(ids, R.links(m, NCOLS, 4), ids, 1)
     named = parts.select("root", F.floor(F.col("id") / NCOLS).cast("int").alias("row"), (F.col("id") % NCOLS).cast("int").alias("col"))
-    out = G.outlines(named, GRID, ["root"])
-    return out.select("root", F.round(G.ring_area(), 4).alias("area_m2"))
+    return G.ring_table(named, GRID, ["root"]).groupBy("root").agg(F.sum("n_points").alias("corners"), F.round(F.sum("area"), 4).alias("area_m2"))
 
 
 OUTLINE_SQL = _C + f""", m AS (SELECT row, col, row * {NCOLS} + col AS id FROM cells WHERE value > 0.2),
 l AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
 r AS (SELECT id, id AS o FROM m UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.o),
-lab AS (SELECT id, min(o) AS root FROM r GROUP BY 1)
-SELECT CAST(root AS BIGINT) AS root, round(count(*) * 4.0, 4) AS area_m2 FROM lab GROUP BY 1"""
+lab AS (SELECT id, min(o) AS root FROM r GROUP BY 1),
+a AS (SELECT root, count(*) AS n FROM lab GROUP BY 1),
+-- A corner for every bend of the border: where one or three of the four cells around a place are in, and two for two that touch there.
+spots AS (SELECT root, id // {NCOLS} + dr AS r, id % {NCOLS} + dc AS c, dr + 2 * dc AS k FROM lab, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dr, dc)),
+around AS (SELECT root, r, c, count(*) AS n, sum(k) AS s FROM spots GROUP BY 1, 2, 3),
+corners AS (SELECT root, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND s = 3 THEN 2 ELSE 0 END) AS corners FROM around GROUP BY 1)
+SELECT CAST(root AS BIGINT) AS root, CAST(corners AS BIGINT) AS corners, round(a.n * 4.0, 4) AS area_m2 FROM a JOIN corners USING (root)"""
 
 
 def _sections(spark, d):
@@ -86,11 +90,11 @@ SELECT count(*) AS point_count, count(e) AS valid_comparison_count, round(avg(ab
 
 
 def bounds(spark, d):
-    """The box of all cells over 0.3 as one multipart shape."""
+    """The box of all cells over 0.3, each a part of one shape."""
     m = _cells(spark, d).where("value > 0.3")
     x, y = 1000.0 + F.col("col") * 2.0, 5000.0 - F.col("row") * 2.0
     ring = F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, -2.0), (0.0, -2.0), (0.0, 0.0))])
-    return G.bounds(G.union_parts(m.select(F.array(ring).alias("rings"))))
+    return G.bounds(m.select(F.array(ring).alias("rings")))
 
 
 BOUND_SQL = _C + " SELECT min(1000.0 + col * 2.0) AS min_x, min(5000.0 - row * 2.0 - 2.0) AS min_y, max(1002.0 + col * 2.0) AS max_x, max(5000.0 - row * 2.0) AS max_y FROM cells WHERE value > 0.3"
