@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydrospark.functions import columns as X
+from hydrospark.operators import distance as D
 from hydrospark.operators import graph as G
 from hydrospark.operators import raster as R
 from hydrospark.queries.series_queries import _rounded
@@ -95,6 +96,16 @@ def trace_down(spark, d):
 TRACE_SQL = _D8 + "SELECT walk.id AS start, cur AS id, CAST(steps AS BIGINT) AS steps FROM walk JOIN ptr s ON s.id = walk.id WHERE s.id NOT IN (SELECT ptr FROM ptr WHERE ptr IS NOT NULL)"
 
 
+def distance_to_mask(spark, d):
+    """How far every cell is from the nearest cell over 0.3, with no cut-off."""
+    c = _cells(spark, d)
+    return _rounded(D.distance_to_mask(c, c.where("value > 0.3"), GRID).select("row", "col", "distance_m"), 6)
+
+
+DISTANCE_SQL = _C + """, m AS (SELECT row, col FROM cells WHERE value > 0.3)
+SELECT c.row, c.col, round(sqrt(min((c.row - m.row) ** 2 + (c.col - m.col) ** 2)) * 2.0, 6) AS distance_m FROM cells c, m GROUP BY 1, 2"""
+
+
 def components(spark, d):
     """8-connected groups of three cells or more over 0.12 that hold a cell over 0.3."""
     m = _cells(spark, d).where("value > 0.12")
@@ -287,10 +298,10 @@ SELECT row, col FROM k WHERE inside"""
 QUERIES = {
     "m01_flow_direction": flow_direction, "m02_pit_of_cell": pit_of_cell, "m03_upstream_area": upstream_area, "m06_basin": basin, "m07_mainstem": mainstem, "m08_trace_down": trace_down, "m11_height_above_drain": height_above_drain, "m16_components": components,
     "a01_zonal": zonal, "t09_argmax_cell": argmax_cell, "a11_confusion": confusion, "m31_extent_scores": extent_scores, "m26_coarsen": coarsen, "m23_resample_nearest": resample_nearest, "m23_resample_bilinear": resample_bilinear, "j07_nearest_section": nearest_section,
-    "x12_wet_cells": wet_cells, "j11_sample": sample, "u02_mosaic": mosaic, "m24_depth_colours": depth_colours, "m13_extent_edges": extent_edges, "w14_running_fill": running_fill, "m21_clip_polygon": clip_polygon,
+    "m19_distance_to_mask": distance_to_mask, "x12_wet_cells": wet_cells, "j11_sample": sample, "u02_mosaic": mosaic, "m24_depth_colours": depth_colours, "m13_extent_edges": extent_edges, "w14_running_fill": running_fill, "m21_clip_polygon": clip_polygon,
 }
 ORACLES = {
     "m01_flow_direction": _D8 + "SELECT row, col, direction FROM d8", "m02_pit_of_cell": _D8 + "SELECT id, arg_max(cur, steps) AS root, CAST(max(steps) AS BIGINT) AS steps FROM walk GROUP BY 1", "m03_upstream_area": _D8 + "SELECT id, total FROM area", "m06_basin": _BASIN + " SELECT id, outlet FROM met", "m07_mainstem": MAIN_SQL, "m08_trace_down": TRACE_SQL, "m11_height_above_drain": HAND_SQL, "m16_components": COMPONENT_SQL,
     "a01_zonal": ZONAL_SQL, "t09_argmax_cell": ARGMAX_SQL, "a11_confusion": CONFUSION + " SELECT row, col, code FROM k", "m31_extent_scores": SCORES_SQL, "m26_coarsen": COARSEN_SQL, "m23_resample_nearest": NEAREST_SQL, "m23_resample_bilinear": BILINEAR_SQL, "j07_nearest_section": SECTION_SQL,
-    "x12_wet_cells": WET_SQL, "j11_sample": SAMPLE_SQL, "u02_mosaic": MOSAIC_SQL, "m24_depth_colours": COLOUR_SQL, "m13_extent_edges": EDGE_SQL, "w14_running_fill": FILL_SQL, "m21_clip_polygon": CLIP_SQL,
+    "m19_distance_to_mask": DISTANCE_SQL, "x12_wet_cells": WET_SQL, "j11_sample": SAMPLE_SQL, "u02_mosaic": MOSAIC_SQL, "m24_depth_colours": COLOUR_SQL, "m13_extent_edges": EDGE_SQL, "w14_running_fill": FILL_SQL, "m21_clip_polygon": CLIP_SQL,
 }

@@ -93,6 +93,35 @@ def test_fill_is_the_greedy_walk(spark, budget):
     assert sum(got.values()) * 4.0 <= budget + 1e-6
 
 
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_cost_is_that_of_the_whole_grid(spark, connectivity):
+    """A maze of walls over many tiles, where cheapest ways wind in and out of tiles; costs are those of one Dijkstra."""
+    rng = np.random.default_rng(connectivity)
+    z = rng.random((22, 31)).round(3) * 2
+    z[3:20, 8] = z[2:21, 16] = z[0:18, 24] = np.nan
+    seeds = [(0, 0), (21, 30)]
+    steps = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr or dc) and (connectivity == 8 or not (dr and dc))]
+    cost, heap = dict.fromkeys(seeds, 0.0), [(0.0, *s) for s in seeds]
+    while heap:
+        v, r, c = heapq.heappop(heap)
+        if v > cost[r, c]:
+            continue
+        for dr, dc in steps:
+            i, j = r + dr, c + dc
+            if 0 <= i < 22 and 0 <= j < 31 and z[i, j] == z[i, j]:
+                new = v + np.hypot(dr * 2.0, dc * 3.0) * (1 + 8.0 * max(0.0, z[i, j] - z[r, c]))
+                if new < cost.get((i, j), np.inf):
+                    cost[i, j] = new
+                    heapq.heappush(heap, (new, i, j))
+    grid = (3.0, 0.0, 0.0, 0.0, -2.0, 0.0)
+    before = len(spark.catalog.listTables())
+    out = T.cost_distance(cells(spark, z), spark.createDataFrame(seeds, "row int, col int"), grid=grid, connectivity=connectivity, tile=7)
+    got = {(r.row, r.col): r.cost for r in out.collect()}
+    assert got.keys() == cost.keys() and all(abs(got[k] - cost[k]) < 1e-9 for k in cost)
+    assert len(spark.catalog.listTables()) == before
+    assert T.cost_distance(cells(spark, z), spark.createDataFrame([(99, 99)], "row int, col int"), grid=grid).count() == 0
+
+
 def test_outlines_and_area(spark):
     mask = np.zeros((6, 7))
     mask[1:5, 1:6] = 1
