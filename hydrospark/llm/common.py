@@ -64,6 +64,7 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     lineage ends at files that outlive any executor.
     """
     spark = df.sparkSession
+    ship(spark)
     path = path or shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,12 +79,14 @@ def sliced(batches, rows: int = 1024):
 
 def aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but the used ones renamed, so that none clashes with an operator's own; and the way back."""
+    ship(docs.sparkSession)
     names = [c if c in used else f"other_{k}" for k, c in enumerate(docs.columns)]
     return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__row``: a number of its own for each row without a doc_id of its own, else zero.  A ``__row`` in ``docs`` is replaced."""
+    ship(docs.sparkSession)
     docs = docs.drop("__row")
     shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
     shared = stored(shared, "shared-ids")

@@ -85,7 +85,8 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
         bodies.append(letters(r["text"]))
     if now is not None:
         made[now] = dictionary(bodies)
-    made = {x: body for x, body in made.items() if len(body) >= 8}
+    # The compressor wants eight bytes at least; a shorter dictionary is repeated until it has them.
+    made = {x: body if len(body) >= 8 else body * -(-8 // len(body)) for x, body in made.items() if body}
     room = min(DICT_BYTES, TOTAL_BYTES // max(1, len(made)))
     return {x: body[-room:] for x, body in sorted(made.items())}
 

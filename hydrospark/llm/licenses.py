@@ -251,7 +251,10 @@ def _marked(text):
 def pieces(docs: DataFrame) -> DataFrame:
     """``doc_id, row, found``: the marked pieces of every row, each with its first line's number, body and length in lines."""
     text = F.coalesce("text", F.lit(""))
-    cut = F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(F.when(F.length(x) <= LONG_LINE, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit("(?s).{1,%d}" % LONG_LINE), 0)), lambda b: F.struct(i.alias("line"), b.alias("body")))))
+    # Long lines are cut at blanks, twice, the second time half a piece later: what a cut parts is whole in a piece of the other.
+    parts = lambda x: F.regexp_extract_all(x, F.lit(r"(?s).{1,%d}(?!\S)|\S+" % LONG_LINE), 0)
+    later = lambda x: F.regexp_replace(x, r"(?s)^.{1,%d}(?!\S)" % (LONG_LINE // 2), "")
+    cut = F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(F.when(F.length(x) <= LONG_LINE, F.array(x)).otherwise(F.concat(parts(x), parts(later(x)))), lambda b: F.struct(i.alias("line"), b.alias("body")))))
     from_ = lambda k: F.slice(cut, k, F.greatest(F.size(cut), F.lit(1)))
     four = F.filter(F.arrays_zip(cut.alias("a"), from_(2).alias("b"), from_(3).alias("c"), from_(4).alias("d")), lambda z, i: i % 2 == 0)
     joined = F.transform(four, lambda z: F.struct(z["a"]["line"].alias("line"), F.get(F.split(F.concat_ws("\n", *[z[k]["body"] for k in "abcd"]), r"\n\s*\n"), F.lit(0)).alias("body"), F.lit(4).alias("size")))

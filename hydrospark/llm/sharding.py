@@ -160,21 +160,28 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
 def rebalance(docs: DataFrame, path: str, more: int = 0) -> int:
     """Edit the latest map for what ``docs`` weighs now, with ``more`` further shards, and write it as the next version; its number."""
     spark = docs.sparkSession
-    version, old = read_map(spark, path)
+    known = read_map(spark, path)
+    if known is None:
+        raise ValueError(f"{path} holds no map of slots; shard() with this path makes one")
+    version, old = known
     loads = slot_loads(slotted(docs, len(old)), len(old))
     write_map(spark, grown(old, loads, more) if more else evened(old, loads), loads, path, version + 1)
     return version + 1
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, path: str | None = None, version: int | None = None) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int | None = None, n_slots: int | None = None, path: str | None = None, version: int | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot, vslot``; slot numbers the records of a shard from 0.
 
     With a ``path``, the map there is used (the latest version, or the one named); where it has none, and
-    without a path, version 1 is made for ``n_shards`` and ``n_slots``.
+    without a path, version 1 is made for ``n_shards`` and ``n_slots``.  Numbers that are given must be those of a map that is there.
     """
     spark = docs.sparkSession
     known = read_map(spark, path, version) if path else None
-    n_slots = len(known[1]) if known else n_slots
+    if known:
+        for name, given, has in (("shards", n_shards, max(known[1]) + 1), ("slots", n_slots, len(known[1]))):
+            if given not in (None, has):
+                raise ValueError(f"the map at {path} has {has} {name}, not {given}; rebalance() edits it")
+    n_shards, n_slots = n_shards or N_SHARDS, len(known[1]) if known else n_slots or N_SLOTS
     rows = slotted(docs, n_slots)
     loads = slot_loads(rows, n_slots)
     slot_map = known[1] if known else balanced(loads, n_shards)

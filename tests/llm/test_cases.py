@@ -330,7 +330,7 @@ def test_a_stored_map_routes_the_same_and_is_edited(spark):
     path = common.shared_path(spark, "maps")
     place = lambda df: {r.doc_id: r.shard for r in df.collect()}
     first = place(sharding.shard(docs, 10, 512, path))
-    assert place(sharding.shard(docs, 99, 7, path)) == first  # the map that is there decides
+    assert place(sharding.shard(docs, path=path)) == first  # the map that is there decides
     more = docs.unionByName(spark.createDataFrame([(i, prose(40, rng)) for i in range(3000, 4000)], "doc_id long, text string"))
     assert {k: v for k, v in place(sharding.shard(more, path=path)).items() if k < 3000} == first
     assert sharding.rebalance(more, path, more=2) == 2
@@ -423,6 +423,22 @@ def test_chains_delete_nothing_that_resembles_none(spark):
     assert all(any(S.jaccard(docs[k][1], docs[g][1]) >= 0.8 for g in got) for k in range(30))
 
 
+def test_a_language_of_a_few_letters_is_learned(spark):
+    rows = [(i, "the river rose in the night and all the people went up the hill " * 3, "en") for i in range(200)] + [(1000 + k, "ñu", "qq") for k in range(6)]
+    assert set(language_id.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {"en", "qq"}
+
+
+def test_maps_that_are_not_there_or_differ(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(50)], "doc_id long, text string")
+    path = common.shared_path(spark, "maps")
+    with pytest.raises(ValueError, match="holds no map"):
+        sharding.rebalance(docs, path)
+    sharding.shard(docs, 4, 64, path).count()
+    with pytest.raises(ValueError, match="has 4 shards, not 5"):
+        sharding.shard(docs, 5, path=path)
+    assert sharding.shard(docs, path=path).select("shard").distinct().count() <= 4
+
+
 def test_scratch_tables_go(spark):
     from pathlib import Path
 

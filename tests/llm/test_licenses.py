@@ -107,8 +107,29 @@ def test_calibration_on_phrases_never_seen(spark):
     assert abs(np.mean(sure) - np.mean(right)) < 0.15
 
 
+def plain_cuts(line):
+    """Pieces of a long line that end with a word, and those of the line without its first half piece."""
+
+    def end(x, a, size):
+        fit = [e for e in range(a + 1, min(a + size, len(x)) + 1) if e == len(x) or x[e] == " "]
+        return fit[-1] if fit else None
+
+    def parts(x):
+        out, a = [], 0
+        while a < len(x):
+            e = end(x, a, L.LONG_LINE)
+            if e is None and x[a] != " ":
+                e = (x + " ").index(" ", a)
+            if e:
+                out.append(x[a:e])
+            a = e or a + 1
+        return out
+
+    return parts(line) + parts(line[end(line, 0, L.LONG_LINE // 2) or 0 :]) if len(line) > L.LONG_LINE else [line]
+
+
 def plain_pieces(text):
-    cut = [(i, x[a : a + L.LONG_LINE]) for i, x in enumerate((text or "").split("\n")) for a in range(0, max(1, len(x)), L.LONG_LINE)]
+    cut = [(i, b) for i, x in enumerate((text or "").split("\n")) for b in plain_cuts(x)]
     out = [(i, b, 1) for i, b in cut]
     for k in range(0, len(cut), 2):
         joined = "\n".join(b for _, b in cut[k : k + 4])
@@ -135,3 +156,11 @@ def test_a_saved_model_gives_the_same(spark):
 def test_a_line_in_every_document_is_no_group(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("Released under the MIT License.").alias("text"))
     assert L.licenses(docs).where("license = 'mit'").count() == 500
+
+
+def test_a_statement_anywhere_in_a_long_line(spark):
+    """Cuts of long lines fall between words, and what one cut parts the other keeps."""
+    word, said = "lorem", "SPDX-License-Identifier: MIT"
+    rows = [(k, ((word + " ") * 200)[: k - 1] + " " + said + " " + (word + " ") * 120) for k in [*range(180, 212), *range(375, 405), *range(590, 610), *range(790, 806)]] + [(2000, "x" * 900 + " " + said), (2001, said + " " + "y" * 900)]
+    got = {r.doc_id: r.license for r in L.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, x in got.items() if x != "mit"} == set()
