@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -156,13 +156,16 @@ def coarsen(cells: DataFrame, factor: int, value: str = "value") -> DataFrame:
     return cells.groupBy(F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(F.avg(value).alias(value))
 
 
-def resample(target: DataFrame, source: DataFrame, target_grid: Grid, source_grid: Grid, value: str = "value", method: str = "nearest") -> DataFrame:
+def resample(target: DataFrame, source: DataFrame, target_grid: Grid, source_grid: Grid, value: str = "value", method: str = "nearest", to_source: Callable[[Column, Column], Sequence[Column]] | None = None) -> DataFrame:
     """The source's values at the target's cell centres (``row, col``); null where it has none.
 
-    ``bilinear`` weighs the four cells around a centre; cells without data drop out of the weights.
+    ``to_source`` takes (x, y) of the target's system to (x, y) of the source's, where they are not one.  ``bilinear`` weighs the four cells around a centre; cells without data drop out of the weights.
     """
     centre = X.cell_center("row", "col", target_grid)
     rows = target.withColumn("__p", centre)
+    if to_source:
+        x, y = to_source(F.col("__p")["x"], F.col("__p")["y"])
+        rows = rows.withColumn("__p", F.struct(x.alias("x"), y.alias("y")))
     if method == "nearest":
         cell = X.cell_of(F.col("__p")["x"], F.col("__p")["y"], source_grid)
         pairs = rows.select("row", "col", cell["row"].alias("__r"), cell["col"].alias("__c"))
@@ -180,6 +183,34 @@ def resample(target: DataFrame, source: DataFrame, target_grid: Grid, source_gri
     return got.groupBy("row", "col").agg(X.safe_divide(F.sum(F.col("__w") * F.col(value)), F.sum(known)).alias(value))
 
 
+def reproject(source: DataFrame, source_grid: Grid, target_grid: Grid, to_target: Callable[[Column, Column], Sequence[Column]], to_source: Callable[[Column, Column], Sequence[Column]], value: str = "value", method: str = "nearest", tile: int = 64) -> DataFrame:
+    """A raster in another reference system: ``row, col, value`` of the target cells whose centre has a value.
+
+    The source's tiles are sent through ``to_target`` by points around their borders; the target tiles that these
+    footprints touch, and no others, are laid out as cells, and each cell's centre is taken back by ``to_source``.
+    """
+    tiles = source.select(F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc")).distinct()
+    along = [k / 8 for k in range(9)]
+    border = sorted({(a, b) for a in along for b in (0.0, 1.0)} | {(b, a) for a in along for b in (0.0, 1.0)})
+    a, b, c, d, e, f = map(float, source_grid)
+
+    def landed(r: float, k: float) -> Column:
+        # A cell more on each side, as bilinear weights reach that far.
+        row, col = F.col("tr") * tile - 1 + r * (tile + 2), F.col("tc") * tile - 1 + k * (tile + 2)
+        x, y = to_target(c + col * a + row * b, f + col * d + row * e)
+        return X.cell_of(x, y, target_grid)
+
+    points = tiles.select("tr", "tc", F.explode(F.array(*[landed(r, k) for r, k in border])).alias("p"))
+    boxes = points.groupBy("tr", "tc").agg(F.min("p.row").alias("r0"), F.max("p.row").alias("r1"), F.min("p.col").alias("c0"), F.max("p.col").alias("c1"))
+    # Between the points of a border it may bend out by a little more.
+    spare = lambda lo, hi: 1 + F.ceil((F.col(hi) - F.col(lo)) / 50)
+    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - spare(lo, hi)) / tile), F.floor((F.col(hi) + spare(lo, hi)) / tile))
+    touched = boxes.select(F.explode(span("r0", "r1")).alias("tr"), span("c0", "c1").alias("tcs")).select("tr", F.explode("tcs").alias("tc")).distinct()
+    laid = touched.select("tr", "tc", F.explode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("i")).select((F.col("tr") * tile + F.col("i")).cast("int").alias("row"), "tc", F.explode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("j"))
+    target = laid.select("row", (F.col("tc") * tile + F.col("j")).cast("int").alias("col"))
+    return resample(target, source, target_grid, source_grid, value, method, to_source).where(F.col(value).isNotNull())
+
+
 def adaptive_resolution(boxes: DataFrame, width: str, height: str, base: float, max_cells: int = 12_000_000, steps: Sequence[float] = (2, 3, 4, 5, 6, 8, 10, 12, 15, 20)) -> DataFrame:
     """For each box the finest of the steps, from ``base`` on, that keeps it within ``max_cells``; the coarsest if none does.
 

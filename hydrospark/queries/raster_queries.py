@@ -96,6 +96,51 @@ def trace_down(spark, d):
 TRACE_SQL = _D8 + "SELECT walk.id AS start, cur AS id, CAST(steps AS BIGINT) AS steps FROM walk JOIN ptr s ON s.id = walk.id WHERE s.id NOT IN (SELECT ptr FROM ptr WHERE ptr IS NOT NULL)"
 
 
+#: Cells of a fifth of a thousandth of a degree, and a UTM grid of 25 m.
+DEGREES = (0.0002, 0.0, -95.6, 0.0, -0.0002, 30.0)
+METRES = (25.0, 0.0, 200_000.0, 0.0, -25.0, 3_400_000.0)
+
+
+def reproject(spark, d):
+    """The grid in degrees on a grid in metres."""
+
+    def to_utm(lon, lat):
+        u = X.to_utm(lon, lat)
+        return u["x"], u["y"]
+
+    def from_utm(x, y):
+        u = X.from_utm(x, y)
+        return u["lon"], u["lat"]
+
+    return _rounded(R.reproject(_cells(spark, d), DEGREES, METRES, to_utm, from_utm), 7)
+
+
+def _utm_sql():
+    """SQL macros of the series, term by term."""
+    n, k = X._N, X._K0 * X._R
+    c = 2 * n**0.5 / (1 + n)
+    north = " + ".join(["xi"] + [f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(X._ALPHA, 1)])
+    east = " + ".join(["eta"] + [f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(X._ALPHA, 1)])
+    xi1 = " - ".join(["p"] + [f"{b!r} * sin({2 * j} * p) * cosh({2 * j} * q)" for j, b in enumerate(X._BETA, 1)])
+    eta1 = " - ".join(["q"] + [f"{b!r} * cos({2 * j} * p) * sinh({2 * j} * q)" for j, b in enumerate(X._BETA, 1)])
+    phi = " + ".join(["chi"] + [f"{v!r} * sin({2 * j} * chi)" for j, v in enumerate(X._DELTA, 1)])
+    return f""",
+f0 AS (SELECT sin(radians(30.0 - 0.0002 * row)) AS s, radians(-95.6 + 0.0002 * col + 93) AS lam FROM (SELECT row + a AS row, col + b AS col FROM cells, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b))),
+f1 AS (SELECT sinh(atanh(s) - {c!r} * atanh({c!r} * s)) AS t, lam FROM f0),
+f2 AS (SELECT atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM f1),
+f3 AS (SELECT floor((500000 + {k!r} * ({east}) - 200000) / 25) AS col, floor((3400000 - {k!r} * ({north})) / 25) AS row FROM f2),
+e AS (SELECT CAST(min(row) AS BIGINT) - 2 AS r0, CAST(max(row) AS BIGINT) + 2 AS r1, CAST(min(col) AS BIGINT) - 2 AS c0, CAST(max(col) AS BIGINT) + 2 AS c1 FROM f3),
+t AS (SELECT row, unnest(range(c0, c1 + 1)) AS col FROM (SELECT unnest(range(r0, r1 + 1)) AS row, c0, c1 FROM e)),
+i0 AS (SELECT row, col, (3400000 - (row + 0.5::DOUBLE) * 25) / {k!r} AS p, (200000 + (col + 0.5::DOUBLE) * 25 - 500000) / {k!r} AS q FROM t),
+i1 AS (SELECT row, col, {xi1} AS xi, {eta1} AS eta FROM i0),
+i2 AS (SELECT row, col, asin(sin(xi) / cosh(eta)) AS chi, degrees(atan2(sinh(eta), cos(xi))) - 93 AS lon FROM i1),
+i3 AS (SELECT row, col, floor((30.0 - degrees({phi})) / 0.0002) AS sr, floor((lon + 95.6) / 0.0002) AS sc FROM i2)
+SELECT CAST(i3.row AS INTEGER) AS row, CAST(i3.col AS INTEGER) AS col, round(value, 7) AS value FROM i3 JOIN cells ON cells.row = sr AND cells.col = sc"""
+
+
+REPROJECT_SQL = _C + _utm_sql()
+
+
 def distance_to_mask(spark, d):
     """How far every cell is from the nearest cell over 0.3, with no cut-off."""
     c = _cells(spark, d)
@@ -298,10 +343,10 @@ SELECT row, col FROM k WHERE inside"""
 QUERIES = {
     "m01_flow_direction": flow_direction, "m02_pit_of_cell": pit_of_cell, "m03_upstream_area": upstream_area, "m06_basin": basin, "m07_mainstem": mainstem, "m08_trace_down": trace_down, "m11_height_above_drain": height_above_drain, "m16_components": components,
     "a01_zonal": zonal, "t09_argmax_cell": argmax_cell, "a11_confusion": confusion, "m31_extent_scores": extent_scores, "m26_coarsen": coarsen, "m23_resample_nearest": resample_nearest, "m23_resample_bilinear": resample_bilinear, "j07_nearest_section": nearest_section,
-    "m19_distance_to_mask": distance_to_mask, "x12_wet_cells": wet_cells, "j11_sample": sample, "u02_mosaic": mosaic, "m24_depth_colours": depth_colours, "m13_extent_edges": extent_edges, "w14_running_fill": running_fill, "m21_clip_polygon": clip_polygon,
+    "m19_distance_to_mask": distance_to_mask, "m23_reproject": reproject, "x12_wet_cells": wet_cells, "j11_sample": sample, "u02_mosaic": mosaic, "m24_depth_colours": depth_colours, "m13_extent_edges": extent_edges, "w14_running_fill": running_fill, "m21_clip_polygon": clip_polygon,
 }
 ORACLES = {
     "m01_flow_direction": _D8 + "SELECT row, col, direction FROM d8", "m02_pit_of_cell": _D8 + "SELECT id, arg_max(cur, steps) AS root, CAST(max(steps) AS BIGINT) AS steps FROM walk GROUP BY 1", "m03_upstream_area": _D8 + "SELECT id, total FROM area", "m06_basin": _BASIN + " SELECT id, outlet FROM met", "m07_mainstem": MAIN_SQL, "m08_trace_down": TRACE_SQL, "m11_height_above_drain": HAND_SQL, "m16_components": COMPONENT_SQL,
     "a01_zonal": ZONAL_SQL, "t09_argmax_cell": ARGMAX_SQL, "a11_confusion": CONFUSION + " SELECT row, col, code FROM k", "m31_extent_scores": SCORES_SQL, "m26_coarsen": COARSEN_SQL, "m23_resample_nearest": NEAREST_SQL, "m23_resample_bilinear": BILINEAR_SQL, "j07_nearest_section": SECTION_SQL,
-    "m19_distance_to_mask": DISTANCE_SQL, "x12_wet_cells": WET_SQL, "j11_sample": SAMPLE_SQL, "u02_mosaic": MOSAIC_SQL, "m24_depth_colours": COLOUR_SQL, "m13_extent_edges": EDGE_SQL, "w14_running_fill": FILL_SQL, "m21_clip_polygon": CLIP_SQL,
+    "m19_distance_to_mask": DISTANCE_SQL, "m23_reproject": REPROJECT_SQL, "x12_wet_cells": WET_SQL, "j11_sample": SAMPLE_SQL, "u02_mosaic": MOSAIC_SQL, "m24_depth_colours": COLOUR_SQL, "m13_extent_edges": EDGE_SQL, "w14_running_fill": FILL_SQL, "m21_clip_polygon": CLIP_SQL,
 }
