@@ -22,8 +22,8 @@ similarity of ``LEAST_JACCARD`` or more.  Fingerprints alone neither tell them (
 radius) nor find them all (some ten bits differ), so links of the radius and pairs that share MinHash bands are
 candidates, and every pair's texts are compared.  A text goes only if it reaches the similarity with one that
 stays: chains delete nothing.  Bands alone, two bands that follow each other and three of them are
-the keys of buckets; all members of a bucket meet its ``HEADS`` smallest texts, and the survivors are dealt to
-buckets again until no pass finds a new link, so a bucket of n compares less than ``HEADS`` * n pairs a pass.
+the keys of buckets; all members of a bucket meet its ``HEADS`` smallest texts (more in narrower buckets), and the
+survivors are dealt to buckets again until no pass finds a new link, so a bucket of n compares at most four times n pairs a pass.
 
 Defined results: a null or wordless text has fingerprint zero; repeated rows share a
 component; a null doc_id stays a row and never names a component unless nothing else
@@ -49,8 +49,8 @@ WIDE_WORDS = 5
 LEAST_JACCARD = 0.8
 BANDS = 14
 BAND_ROWS = 4
-#: Members of a bucket that all others meet; in the first pass it is one.
-HEADS = 4
+#: Members that all others of a bucket of one band, two and three meet; in the first pass it is one, of one band.
+HEADS = (1, 2, 4)
 SEED = 42
 #: Members of a shard that one task uses as queries; larger shards are walked by several tasks.
 TREE_QUERIES = 20_000
@@ -312,14 +312,19 @@ def first_pairs(distinct: DataFrame) -> DataFrame:
     return stored(join_counted(dealt, shared, "key", "n").select("node", "head").distinct(), "simhash-met")
 
 
-def band_pairs(live: DataFrame, heads: int) -> DataFrame:
-    """Candidates ``a, b``: every text with the ``heads`` smallest of each of its buckets, of one band, two and three."""
+def band_pairs(live: DataFrame) -> DataFrame:
+    """Candidates ``a, b``: every text with the smallest ones of each of its buckets, of one band, two and three."""
     at = lambda i, *more: F.xxhash64(*[F.element_at("bands", (i + k) % BANDS + 1) for k in more], F.lit(len(more)))
     places = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    keys = F.concat("bands", F.transform(places, lambda i: at(i, 0, 1)), F.transform(places, lambda i: at(i, 0, 1, 2)))
-    dealt = stored(live.select("node", F.explode(keys).alias("key")), "simhash-bands")
-    first = dealt.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("nth") <= heads).select("key", F.col("node").alias("head"))
-    return _ordered(dealt.join(stored(first, "simhash-heads"), "key").where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    key = lambda k, bands: F.struct(k.alias("key"), F.lit(HEADS[bands - 1]).alias("most"))
+    keys = F.concat(F.transform("bands", lambda b: key(b, 1)), F.transform(places, lambda i: key(at(i, 0, 1), 2)), F.transform(places, lambda i: key(at(i, 0, 1, 2), 3)))
+    dealt = stored(live.select("node", F.explode(keys).alias("k")).select("node", "k.*"), "simhash-bands")
+    first = dealt.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("nth") <= F.least("most", F.lit(max(HEADS))))
+    heads = stored(first.groupBy("key").agg(F.collect_list("node").alias("heads")), "simhash-heads")
+    # A text has each head once, whatever buckets they share.
+    met = dealt.join(heads, "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+    smaller = met.select("node", F.filter("heads", lambda h: h < F.col("node")).alias("heads"))
+    return _ordered(smaller.select(F.col("node").alias("a"), F.explode("heads").alias("b")))
 
 
 def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -370,7 +375,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     crowd = stored(distinct.join(met.select("node").distinct(), "node", "left_semi"), "simhash-crowd")
     while True:
         gone = stored(covered(links), "simhash-covered")
-        pairs = stored(band_pairs(crowd.join(gone, "node", "left_anti"), HEADS).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+        pairs = stored(band_pairs(crowd.join(gone, "node", "left_anti")).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
         more = stored(similar(rows, crowd, pairs), "simhash-links")
         if more.isEmpty():
             break
