@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,65 @@ def running_excess(stream: DataFrame, bankfull: float, max_gap_hours: float = 3.
     return stream.where("time is not null and flow_cfs is not null").groupBy("series_id").applyInPandasWithState(step, VOLUME, STATE, "update", wait)
 
 
+SEALED = "last_time double, last_excess double, volume double, used long, skipped long, peak double, points long, late long, corrected long, recent binary"
+CORRECTED = VOLUME + ", corrected_readings long"
+
+
+def _summed(t: np.ndarray, q: np.ndarray, bankfull: float, gap_s: float, last: float, before: float) -> tuple[float, int, int]:
+    """(volume, intervals used, intervals skipped) of readings in order, the first joined to the last one before them, if any."""
+    excess = np.maximum(q - bankfull, 0.0) * C.CFS_TO_CMS
+    if last == last:
+        t, excess = np.append(last, t), np.append(before, excess)
+    step = np.diff(t)
+    ok = step <= gap_s
+    return float((0.5 * (excess[1:] + excess[:-1]) * step)[ok].sum()), int(ok.sum()), int((~ok).sum())
+
+
+def corrected_excess(stream: DataFrame, bankfull: float, look_back_hours: float, max_gap_hours: float = 3.0, idle: int | None = None) -> DataFrame:
+    """The excess volume of every series so far, where late and corrected readings change what was summed before.
+
+    ``stream`` has ``series_id, time, flow_cfs, seq``.  The state of a series holds its readings of the last ``look_back_hours`` before
+    its newest one, and sums of what is older; so a reading that arrives late within the look-back takes its place, and of two of
+    one time that with the larger ``seq`` counts, as in ``upsert_into``.  Older ones are only counted, in ``late_readings``.  The
+    state grows with the readings of a look-back, not with the series; without readings for ``idle`` milliseconds it is dropped.
+    """
+    wait = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    gap = max_gap_hours * 3600.0
+    ship(stream.sparkSession)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, before, volume, used, skipped, peak, n, late, corrected, raw = state.get if state.exists else (float("nan"), 0.0, 0.0, 0, 0, float("-inf"), 0, 0, 0, b"")
+        held = np.frombuffer(raw, "<f8").reshape(-1, 3)  # time, seq, flow
+        rows = pd.concat(list(parts))
+        new = np.stack([rows["time"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6, rows["seq"].to_numpy(float), rows["flow_cfs"].to_numpy(float)], axis=1)
+        fresh = new[~(new[:, 0] <= last)] if last == last else new
+        late += len(new) - len(fresh)
+        both = np.concatenate((held, fresh))
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        keep = np.append(both[1:, 0] != both[:-1, 0], True)[: len(both)]  # the largest seq of a time stands last
+        corrected += int(len(both) - keep.sum())
+        both = both[keep]
+        if len(both):
+            old = both[:, 0] < both[-1, 0] - look_back_hours * 3600.0
+            if old.any():
+                v, u, k = _summed(both[old, 0], both[old, 2], bankfull, gap, last, before)
+                volume, used, skipped, n = volume + v, used + u, skipped + k, n + int(old.sum())
+                peak = max(peak, float(both[old, 2].max()))
+                last, before = float(both[old][-1, 0]), max(float(both[old][-1, 2]) - bankfull, 0.0) * C.CFS_TO_CMS
+                both = both[~old]
+        state.update((last, before, volume, used, skipped, peak, n, late, corrected, both.astype("<f8").tobytes()))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
+        v, u, k = _summed(both[:, 0], both[:, 2], bankfull, gap, last, before)
+        top = max(peak, float(both[:, 2].max(initial=float("-inf"))))
+        yield pd.DataFrame([(key[0], volume + v, used + u, skipped + k, top, n + len(both), late, corrected)], columns=[p.split()[0] for p in CORRECTED.split(", ")])
+
+    return stream.where("time is not null and flow_cfs is not null").groupBy("series_id").applyInPandasWithState(step, CORRECTED, SEALED, "update", wait)
+
+
 def with_static(stream: DataFrame, static: DataFrame, on: list[str]) -> DataFrame:
     """Live readings on stored tables (profiles, ratings): a stream-static join."""
     return stream.join(static, on)
