@@ -82,6 +82,49 @@ def best_supported(ranked: DataFrame, by: Sequence[str] = (), tie: str = "site_n
 EARTH_KM = 6371.0088
 
 
+#: A point meets so many features at once; where more lie together, cells are halved until fewer do.
+CROWD = 256
+
+
+def _counts(features: DataFrame, m: int) -> DataFrame:
+    """``r, c, cnt``: the features in every cell of 360 / 2**m degrees."""
+    size = 360.0 / 2**m
+    return features.groupBy(F.floor((F.col("flat") + 90.0) / size).alias("r"), F.floor((F.col("flon") + 180.0) / size).alias("c")).agg(F.count("*").alias("cnt"))
+
+
+def _descended(asked: DataFrame, features: DataFrame, key: str, order: str, m: int, n: int, columns: Sequence[str], deepest: int = 26) -> DataFrame:
+    """``asked`` points with those features of their nine cells that can be among the ``n`` nearest.
+
+    Every point keeps a few occupied cells, by bounds of its distance to them, and goes down to their sixteenths; it
+    meets features only where no more than ``CROWD`` lie in a cell.  Of features in one place the first ``n`` count.
+    """
+    lat, lon = columns
+    # The bounds are great circles; a distance that is nearly one may differ by this much.
+    low, high = 0.98, 1.02
+    one = F.row_number().over(W.partitionBy("flat", "flon").orderBy(order))
+    features = checkpointed(features.withColumn("__one", one).where(F.col("__one") <= n).drop("__one"))
+    across = 2**m
+    around = F.explode(F.array(*[F.struct((F.col("__i") - i).alias("r"), F.pmod(F.col("__j") - j, F.lit(across)).alias("c")) for i in (-1, 0, 1) for j in sorted({x % across for x in (-1, 0, 1)})]))
+    front = asked.select("*", around.alias("__c")).select(*asked.columns, "__c.r", "__c.c").join(_counts(features, m), ["r", "c"])
+    while True:
+        size = 360.0 / 2**m
+        middle = X.haversine_km(lat, lon, (F.col("r") + 0.5) * size - 90.0, (F.col("c") + 0.5) * size - 180.0)
+        half = math.radians(size) * 2**-0.5 * EARTH_KM
+        front = front.withColumns({"__near": F.greatest(middle - half, F.lit(0.0)) * low, "__far": (middle + half) * high})
+        # The least distance within which n features lie for sure.
+        so_far = F.sum("cnt").over(W.partitionBy(key).orderBy("__far").rangeBetween(W.unboundedPreceding, 0))
+        sure = F.min(F.when(F.col("__sum") >= n, F.col("__far"))).over(W.partitionBy(key))
+        front = checkpointed(front.withColumn("__sum", so_far).withColumn("__sure", sure).where(F.col("__sure").isNull() | (F.col("__near") <= F.col("__sure"))).select(*asked.columns, "r", "c", "cnt"))
+        if m >= deepest or front.where(F.col("cnt") > CROWD).isEmpty():
+            break
+        m += 2
+        inner = _counts(features, m).select("r", "c", "cnt", F.floor(F.col("r") / 4).alias("pr"), F.floor(F.col("c") / 4).alias("pc"))
+        front = front.select(*asked.columns, F.col("r").alias("pr"), F.col("c").alias("pc")).join(inner, ["pr", "pc"]).select(*asked.columns, "r", "c", "cnt")
+    size = 360.0 / 2**m
+    placed = features.withColumns({"r": F.floor((F.col("flat") + 90.0) / size), "c": F.floor((F.col("flon") + 180.0) / size)})
+    return front.drop("cnt").join(placed, ["r", "c"]).drop("r", "c")
+
+
 def nearest(points: DataFrame, features: DataFrame, key: str, distance: Column, order: str, limit: float | None = None, n: int = 1, columns: Sequence[str] = ("lat", "lon")) -> DataFrame:
     """The ``n`` nearest features of every point, the nearer first, within ``limit`` km where given.
 
@@ -89,6 +132,7 @@ def nearest(points: DataFrame, features: DataFrame, key: str, distance: Column,
     circle.  Features are dealt to cells and a point meets those of its own cell and the eight around; it is settled
     if no feature beyond those can be nearer.  Only points that are not go on to the next round, in which
     cells are twice as wide.  The first cells are so wide that they hold a few features each on average; columns of cells close up at 180 degrees.
+    Where many features crowd a point's cells, it goes down through their parts by bounds (``_descended``) instead of meeting them all.
     """
     box = features.agg(F.count("*").alias("n"), (F.max("flat") - F.min("flat")).alias("h"), (F.max("flon") - F.min("flon")).alias("w")).first()
     wide = (2.0 * n * max(box["h"] or 0.0, 1e-3) * max(box["w"] or 0.0, 1e-3) / max(box["n"], 1)) ** 0.5
@@ -107,7 +151,14 @@ def nearest(points: DataFrame, features: DataFrame, key: str, distance: Column,
         arc = F.asin(F.lit(math.sin(math.radians(min(size, 90.0)))) * F.cos(F.radians(lat)))
         beyond = F.lit(float("inf")) if last else F.least(F.lit(math.radians(size)), arc) * EARTH_KM
         asked = rest.withColumns({"__i": row(lat), "__j": F.pmod(col(lon), F.lit(across)), "__beyond": beyond})
-        near = asked.join(dealt, ["__i", "__j"]).withColumn("distance", distance)
+        views = _counts(features, m).select("cnt", F.explode(F.array(*[F.struct((F.col("r") + i).alias("__i"), F.pmod(F.col("c") + j, F.lit(across)).alias("__j")) for i in (-1, 0, 1) for j in sides])).alias("v"))
+        crowded = checkpointed(views.groupBy("v.__i", "v.__j").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") > CROWD * n).select("__i", "__j"))
+        if crowded.isEmpty():
+            near = asked.join(dealt, ["__i", "__j"])
+        else:
+            met = asked.join(crowded, ["__i", "__j"], "left_anti").join(dealt, ["__i", "__j"])
+            near = met.unionByName(_descended(asked.join(crowded, ["__i", "__j"], "left_semi"), features, key, order, m, n, columns).select(*met.columns))
+        near = near.withColumn("distance", distance)
         near = near if limit is None else near.where(F.col("distance") <= limit)
         first = F.row_number().over(W.partitionBy(key).orderBy("distance", order))
         found = checkpointed(near.withColumn("rank", first).where(F.col("rank") <= n))

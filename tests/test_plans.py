@@ -1,6 +1,7 @@
 """Plans against plain restatements: the screen over the table's valley, curves, ties, late readings, failing sources."""
 
 import heapq
+import math
 import random
 import time
 from collections import deque
@@ -109,6 +110,30 @@ def test_curves_whose_points_crowd_together(spark):
     assert got["b", 3.0] == 7.0 and got["c", 1.0] is None
 
 
+@pytest.mark.parametrize("n, limit", [(1, None), (3, None), (2, 400.0)])
+def test_nearest_where_all_features_are_in_one_town(spark, monkeypatch, n, limit):
+    """Far points, points in the town and features stacked in one place: few meet, and the nearest are right."""
+    monkeypatch.setattr(M, "CROWD", 8)
+    rng = random.Random(n)
+    feats = [(i, 30.0 + rng.random() / 500, -95.0 + rng.random() / 500) for i in range(400)] + [(1000 + i, 30.001, -95.001) for i in range(60)] + [(2000, -40.0, 179.9)]
+    pts = [(i, rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(60)] + [(100 + i, 30.0 + rng.random() / 400, -95.0 + rng.random() / 400) for i in range(40)]
+    f, p = spark.createDataFrame(feats, "f int, flat double, flon double"), spark.createDataFrame(pts, "p int, lat double, lon double")
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    got = {}
+    for r in M.nearest(p, f, "p", X.haversine_km("lat", "lon", "flat", "flon"), "f", limit=limit, n=n).collect():
+        got.setdefault(r.p, []).append((round(r.distance, 6), r.f))
+    want = {}
+    for i, a, b in pts:
+        near = sorted((round(km(a, b, c, d), 6), k) for k, c, d in feats)
+        if some := [x for x in near[: n] if limit is None or x[0] <= limit]:
+            want[i] = some
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_nearest_against_all_pairs(spark):
     """Also across 180 degrees, near a pole, and with fewer features than asked for."""
     rng = random.Random(2)
