@@ -5,6 +5,8 @@ Those without SQL beside them are path problems, held against plain restatements
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hydrospark.operators import banks as B
@@ -16,6 +18,7 @@ from hydrospark.plans import validation as V
 from hydrospark.queries.raster_queries import _C, GRID, NCOLS, _cells
 from hydrospark.queries.series_queries import _rounded
 from hydrospark.session import table
+from hydrospark.sources import tiff
 
 
 def fill_depressions(spark, d):
@@ -99,7 +102,27 @@ def bounds(spark, d):
 
 BOUND_SQL = _C + " SELECT min(1000.0 + col * 2.0) AS min_x, min(5000.0 - row * 2.0 - 2.0) AS min_y, max(1002.0 + col * 2.0) AS max_x, max(5000.0 - row * 2.0) AS max_y FROM cells WHERE value > 0.3"
 
+
+
+def raster_files(spark, d):
+    """The grid written as TIFF files of 512 cells squared, and read back from all of their blocks."""
+    folder = f"{Gr.shared_folder(spark).rstrip('/')}/rasters-{uuid.uuid4().hex}"
+    tiff.write(_cells(spark, d), folder, GRID, side=512)
+    return _rounded(tiff.read(tiff.index(spark, folder), GRID).select("row", "col", "value"), 6)
+
+
+def mask_window(spark, d):
+    """The cells over 0.2 as mask files, and those of them that lie in the blocks that a box in map units meets."""
+    folder = f"{Gr.shared_folder(spark).rstrip('/')}/masks-{uuid.uuid4().hex}"
+    tiff.write(_cells(spark, d).where("value > 0.2"), folder, GRID, mask=True, side=64, block=16)
+    return tiff.read(tiff.in_window(tiff.index(spark, folder), 1040.0, -1e9, 1090.0, 5000.0), GRID).select("row", "col")
+
+
+# The box reaches over all rows from column 20 to 45, in blocks of 16 columns that is from 16 to 47.
+WINDOW_SQL = _C + " SELECT row, col FROM cells WHERE value > 0.2 AND col BETWEEN 16 AND 47"
+
 QUERIES = {
+    "s22_raster_files": raster_files, "m28_mask_window": mask_window,
     "m01_fill_depressions": fill_depressions, "m17_cost_distance": cost_distance, "m17_volume_limited_fill": volume_limited_fill, "m13_outlines": outlines, "m14_corridor": corridor, "h22_find_banks": find_banks, "a12_validate_marks": validate_marks, "a17_bounds": bounds,
 }
-ORACLES = {"m13_outlines": OUTLINE_SQL, "a12_validate_marks": MARK_SQL, "a17_bounds": BOUND_SQL}
+ORACLES = {"s22_raster_files": _C + " SELECT row, col, round(value, 6) AS value FROM cells", "m28_mask_window": WINDOW_SQL, "m13_outlines": OUTLINE_SQL, "a12_validate_marks": MARK_SQL, "a17_bounds": BOUND_SQL}
