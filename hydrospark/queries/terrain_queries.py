@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hydrospark.operators import banks as B
 from hydrospark.operators import geometry as G
 from hydrospark.operators import graph as Gr
+from hydrospark.operators import overlay as O
 from hydrospark.operators import raster as R
 from hydrospark.operators import terrain as T
 from hydrospark.plans import validation as V
@@ -121,8 +122,49 @@ def mask_window(spark, d):
 # The box reaches over all rows from column 20 to 45, in blocks of 16 columns that is from 16 to 47.
 WINDOW_SQL = _C + " SELECT row, col FROM cells WHERE value > 0.2 AND col BETWEEN 16 AND 47"
 
+
+
+def _box_rings(*boxes):
+    ring = lambda x0, y0, x1, y1: F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    return F.array(*[ring(*map(F.expr, b)) for b in boxes]).alias("rings")
+
+
+#: Customers as plots with a hole, suppliers as strips; corners are whole numbers, so SQL can count unit cells.
+_PLOT = ("2 * (c_custkey // 10)", "c_custkey * 37 % 300", "2 * (c_custkey // 10) + 6 + c_custkey % 5", "c_custkey * 37 % 300 + 5 + c_custkey % 7")
+_HOLE = ("2 * (c_custkey // 10) + 2", "c_custkey * 37 % 300 + 1", "2 * (c_custkey // 10) + 4", "c_custkey * 37 % 300 + 3")
+_STRIP = ("3 * s_suppkey", "s_suppkey * 53 % 300", "3 * s_suppkey + 10 + s_suppkey % 6", "s_suppkey * 53 % 300 + 40")
+
+
+def _plots(spark, d):
+    spark_div = lambda b: [e.replace("c_custkey // 10", "c_custkey div 10") for e in b]
+    plots = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), _box_rings(spark_div(_PLOT), spark_div(_HOLE)))
+    return plots, table(spark, d, "supplier").select(_box_rings(_STRIP))
+
+
+def overlay(spark, d):
+    """Each nation's plots dissolved, and what of them lies in the union of all strips."""
+    plots, strips = _plots(spark, d)
+    return _rounded(O.overlay_areas(plots, strips, ["nation"], 50.0), 4)
+
+
+def union_area(spark, d):
+    """Areas of the union of all plots, of all strips, and of what they share."""
+    return _rounded(O.overlay_areas(*_plots(spark, d), (), 50.0), 4)
+
+
+def _unit_cells(name, table_, keys, box, hole=None):
+    out = f" AND NOT (x >= {hole[0]} AND x < {hole[2]} AND y >= {hole[1]} AND y < {hole[3]})" if hole else ""
+    return f"{name} AS (SELECT DISTINCT {keys} x, y FROM (SELECT *, unnest(range({box[0]}, {box[2]})) AS x FROM {table_}), LATERAL (SELECT unnest(range({box[1]}, {box[3]})) AS y) WHERE true{out})"
+
+
+_UNITS = "WITH " + _unit_cells("p", "customer", "c_nationkey AS nation,", _PLOT, _HOLE) + ", " + _unit_cells("s", "supplier", "", _STRIP)
+OVERLAY_SQL = _UNITS + " SELECT nation, CAST(count(*) AS DOUBLE) AS left_area, CAST(count(s.x) AS DOUBLE) AS shared_area, CAST(count(*) - count(s.x) AS DOUBLE) AS left_only_area FROM p LEFT JOIN s ON s.x = p.x AND s.y = p.y GROUP BY 1"
+UNION_SQL = _UNITS + """, a AS (SELECT DISTINCT x, y FROM p), m AS (SELECT a.x AS ax, s.x AS sx FROM a FULL JOIN s ON a.x = s.x AND a.y = s.y)
+SELECT CAST(count(ax) AS DOUBLE) AS left_area, CAST(count(CASE WHEN sx IS NOT NULL THEN ax END) AS DOUBLE) AS shared_area, CAST(count(CASE WHEN sx IS NULL THEN ax END) AS DOUBLE) AS left_only_area, CAST(count(sx) AS DOUBLE) AS right_area, CAST(count(*) AS DOUBLE) AS union_area FROM m"""
+
 QUERIES = {
+    "u06_overlay_areas": overlay, "a16_union_area": union_area,
     "s22_raster_files": raster_files, "m28_mask_window": mask_window,
     "m01_fill_depressions": fill_depressions, "m17_cost_distance": cost_distance, "m17_volume_limited_fill": volume_limited_fill, "m13_outlines": outlines, "m14_corridor": corridor, "h22_find_banks": find_banks, "a12_validate_marks": validate_marks, "a17_bounds": bounds,
 }
-ORACLES = {"s22_raster_files": _C + " SELECT row, col, round(value, 6) AS value FROM cells", "m28_mask_window": WINDOW_SQL, "m13_outlines": OUTLINE_SQL, "a12_validate_marks": MARK_SQL, "a17_bounds": BOUND_SQL}
+ORACLES = {"u06_overlay_areas": OVERLAY_SQL, "a16_union_area": UNION_SQL, "s22_raster_files": _C + " SELECT row, col, round(value, 6) AS value FROM cells", "m28_mask_window": WINDOW_SQL, "m13_outlines": OUTLINE_SQL, "a12_validate_marks": MARK_SQL, "a17_bounds": BOUND_SQL}
