@@ -130,27 +130,32 @@ def clip_convex(shapes: DataFrame, window: Sequence[tuple[float, float]], keys:
     return kept.mapInPandas(run, kept.schema).where(F.size("rings") > 0)
 
 
+def kept_points(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of a line stay when those within the tolerance of what stays are left out (Douglas and Peucker)."""
+    keep = np.zeros(len(p), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(p) - 1)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        v, w = p[j] - p[i], p[i + 1 : j] - p[i]
+        size = np.hypot(*v)
+        far = np.hypot(*w.T) if size == 0 else np.abs(v[0] * w[:, 1] - v[1] * w[:, 0]) / size
+        k = int(far.argmax())
+        if far[k] > tolerance:
+            keep[i + 1 + k] = True
+            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+    return keep
+
+
 def simplify(shapes: DataFrame, tolerance: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Lines and rings without points that lie within the tolerance of what stays (Douglas and Peucker)."""
+    """Lines and rings thinned one by one; ``simplify.simplified`` keeps shared borders shared."""
     ship(shapes.sparkSession)
 
     def thin(line):
         p = np.array([(q["x"], q["y"]) for q in line], float)
-        keep = np.zeros(len(p), bool)
-        keep[[0, -1]] = True
-        todo = [(0, len(p) - 1)]
-        while todo:
-            i, j = todo.pop()
-            if j - i < 2:
-                continue
-            v, w = p[j] - p[i], p[i + 1 : j] - p[i]
-            size = np.hypot(*v)
-            far = np.hypot(*w.T) if size == 0 else np.abs(v[0] * w[:, 1] - v[1] * w[:, 0]) / size
-            k = int(far.argmax())
-            if far[k] > tolerance:
-                keep[i + 1 + k] = True
-                todo += [(i, i + 1 + k), (i + 1 + k, j)]
-        return [{"x": float(x), "y": float(y)} for x, y in p[keep]]
+        return [{"x": float(x), "y": float(y)} for x, y in p[kept_points(p, tolerance)]]
 
     def run(batches):
         for pdf in batches:

@@ -14,6 +14,7 @@ from hydrospark.operators import geometry as G
 from hydrospark.operators import graph as Gr
 from hydrospark.operators import overlay as O
 from hydrospark.operators import raster as R
+from hydrospark.operators import simplify as Si
 from hydrospark.operators import terrain as T
 from hydrospark.plans import validation as V
 from hydrospark.queries.raster_queries import _C, GRID, NCOLS, _cells
@@ -162,7 +163,20 @@ OVERLAY_SQL = _UNITS + " SELECT nation, CAST(count(*) AS DOUBLE) AS left_area, C
 UNION_SQL = _UNITS + """, a AS (SELECT DISTINCT x, y FROM p), m AS (SELECT a.x AS ax, s.x AS sx FROM a FULL JOIN s ON a.x = s.x AND a.y = s.y)
 SELECT CAST(count(ax) AS DOUBLE) AS left_area, CAST(count(CASE WHEN sx IS NOT NULL THEN ax END) AS DOUBLE) AS shared_area, CAST(count(CASE WHEN sx IS NULL THEN ax END) AS DOUBLE) AS left_only_area, CAST(count(sx) AS DOUBLE) AS right_area, CAST(count(*) AS DOUBLE) AS union_area FROM m"""
 
+
+
+def simplify(spark, d):
+    """Strips between each row of the grid, drawn as a line, and the next; neighbours share a line."""
+    at = lambda v, i: F.struct((i * 2.0).alias("x"), (F.col("vec_id") * 10.0 + v.cast("double")).alias("y"))
+    low = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", at).alias("low"))
+    high = low.select((F.col("vec_id") - 1).alias("vec_id"), F.col("low").alias("high"))
+    ring = F.concat("low", F.reverse("high"), F.slice("low", 1, 1))
+    strips = low.join(high, "vec_id").select("vec_id", F.array(ring).alias("rings"))
+    thin = Si.simplified(strips, 0.1, ["vec_id"])
+    return thin.select("vec_id", F.size(F.get("rings", F.lit(0))).alias("n_points"), F.round(G.ring_area(), 4).alias("area"))
+
 QUERIES = {
+    "m32_simplify": simplify,
     "u06_overlay_areas": overlay, "a16_union_area": union_area,
     "s22_raster_files": raster_files, "m28_mask_window": mask_window,
     "m01_fill_depressions": fill_depressions, "m17_cost_distance": cost_distance, "m17_volume_limited_fill": volume_limited_fill, "m13_outlines": outlines, "m14_corridor": corridor, "h22_find_banks": find_banks, "a12_validate_marks": validate_marks, "a17_bounds": bounds,
