@@ -177,7 +177,9 @@ def trapezoids(left: DataFrame, right: DataFrame | None = None, by: Sequence[str
     shapes = left.select(g.alias("g"), F.lit(0).alias("layer"), F.col("rings").cast(_RINGS))
     if right is not None:
         shapes = shapes.unionByName(right.select(F.lit("{}").alias("g"), F.lit(1).alias("layer"), F.col("rings").cast(_RINGS)))
-    done, pieces = None, checkpointed(_dealt(shapes.distinct(), tile).distinct())
+    # A number given keeps small but costly pieces from being put into a few tasks.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done, pieces = None, checkpointed(_dealt(shapes.distinct().repartition(n, "rings"), tile).distinct())
     for _ in range(depth):
         load = pieces.select("layer", *_TILE, "rings", "n").distinct().groupBy(*_TILE).agg(F.sum("n").alias("m"))
         full = checkpointed(load.where(F.col("m") > most).select(*_TILE))
@@ -185,7 +187,7 @@ def trapezoids(left: DataFrame, right: DataFrame | None = None, by: Sequence[str
             break
         fine = pieces.join(full, _TILE, "left_anti")
         done = fine if done is None else done.unionByName(fine)
-        pieces = checkpointed(_quartered(pieces.join(full, _TILE, "left_semi").select(*pieces.columns), tile).distinct())
+        pieces = checkpointed(_quartered(pieces.join(full, _TILE, "left_semi").select(*pieces.columns).repartition(n, "rings"), tile).distinct())
     pieces = pieces if done is None else done.unionByName(pieces)
     if right is not None and by:
         mine = pieces.where("layer = 0")
@@ -214,7 +216,7 @@ def trapezoids(left: DataFrame, right: DataFrame | None = None, by: Sequence[str
             yield from closed()
 
     names = [f.split()[0] for f in _OUT.split(", ")]
-    together = pieces.repartition("g", *_TILE).sortWithinPartitions("g", *_TILE, "layer")
+    together = pieces.repartition(n, "g", *_TILE).sortWithinPartitions("g", *_TILE, "layer")
     return _named(together.mapInPandas(lambda batches: _batched(rows(batches), names), _OUT), left, by)
 
 
