@@ -287,12 +287,18 @@ def outlier_add(value: Column | str, w, limit: float, exempt_first: bool = True)
     return far & (F.row_number().over(w) > 1) if exempt_first else far
 
 
-def outlier_ratio(value: Column | str, w, factor: float) -> Column:
-    """Over ``factor`` times the rolling median of 5, or under its reciprocal."""
+def outlier_ratio(value: Column | str, w, factor: float, positive: bool = True) -> Column:
+    """Over ``factor`` times the rolling median of 5, or under its reciprocal.
+
+    Unless all values count, only positive ones with a positive median can be outliers.  Where all do, any value over a
+    median of zero is one, and what is null stays null.
+    """
     x, f = X.col(value), max(float(factor), 1.01)
     med = rolling_median(x, w, 5)
-    ratio = F.when((med > 0) & (x > 0), x / med)
-    return F.coalesce((ratio > f) | (ratio < 1.0 / f), F.lit(False))
+    far = lambda r: (r > f) | (r < 1.0 / f)
+    if positive:
+        return F.coalesce(far(F.when((med > 0) & (x > 0), x / med)), F.lit(False))
+    return F.when((med == 0) & x.isNotNull(), True).otherwise(far(X.safe_divide(x, med)))
 
 
 def station(x: Column | str, y: Column | str, w) -> Column:
