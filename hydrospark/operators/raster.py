@@ -260,15 +260,20 @@ def nearest_true_cell(mask: DataFrame, x: float, y: float, grid: Grid, reach: fl
 def inside_rings(cells: DataFrame, rings: DataFrame, grid: Grid, keys: Sequence[str] = ()) -> DataFrame:
     """``row, col`` of the cells whose centre is inside each polygon (column ``rings``), with its ``keys``.
 
-    Each polygon is sent to the tiles of 64 cells that its box touches; cells meet only those.
+    Each polygon is sent to the tiles that its box touches, of a size (8 cells, 64, 512, ...) at which those are few;
+    cells meet only the polygons of their own tiles.
     """
     corner = lambda f, axis: f(F.transform(F.flatten("rings"), lambda p: p[axis]))
     boxes = rings.select(*keys, "rings", corner(F.array_min, "x").alias("x0"), corner(F.array_max, "x").alias("x1"), corner(F.array_min, "y").alias("y0"), corner(F.array_max, "y").alias("y1"))
     lo, hi = X.cell_of("x0", "y0", grid), X.cell_of("x1", "y1", grid)
-    span = lambda axis: F.sequence(F.floor(F.least(lo[axis], hi[axis]) / 64), F.floor(F.greatest(lo[axis], hi[axis]) / 64))
-    tiles = boxes.select(*keys, "rings", F.explode(span("row")).alias("__tr"), span("col").alias("s")).select(*keys, "rings", "__tr", F.explode("s").alias("__tc"))
+    across = F.greatest(F.abs(hi["row"] - lo["row"]), F.abs(hi["col"] - lo["col"]))
+    boxes = boxes.withColumn("__t", F.aggregate(F.array(*[F.lit(8**k) for k in range(2, 11)]), F.lit(8).cast("long"), lambda t, more: F.when(across > 4 * t, more.cast("long")).otherwise(t)))
+    sizes = sorted(r[0] for r in boxes.select("__t").distinct().collect())  # ten at most
+    span = lambda axis: F.sequence(F.floor(F.least(lo[axis], hi[axis]) / F.col("__t")), F.floor(F.greatest(lo[axis], hi[axis]) / F.col("__t")))
+    tiles = boxes.select(*keys, "rings", "__t", F.explode(span("row")).alias("__tr"), span("col").alias("s")).select(*keys, "rings", "__t", "__tr", F.explode("s").alias("__tc"))
     centre = X.cell_center("row", "col", grid)
-    met = cells.select("row", "col").withColumns({"__tr": F.floor(F.col("row") / 64), "__tc": F.floor(F.col("col") / 64)}).join(tiles, ["__tr", "__tc"])
+    placed = cells.select("row", "col", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])).alias("__t") if sizes else F.lit(0).cast("long").alias("__t"))
+    met = placed.withColumns({"__tr": F.floor(F.col("row") / F.col("__t")), "__tc": F.floor(F.col("col") / F.col("__t"))}).join(tiles, ["__t", "__tr", "__tc"])
     return met.where(X.point_in_rings(centre["x"], centre["y"], "rings")).select(*keys, "row", "col").distinct()
 
 

@@ -11,14 +11,22 @@ from hydrospark.functions import columns as X
 from hydrospark.operators import geometry as G
 from hydrospark.operators import matching as M
 from hydrospark.operators import raster as R
+from hydrospark.operators.graph import checkpointed
 
 
 def context(areas: DataFrame, keys: Sequence[str], domain: tuple[float, float, float, float], gauge: tuple[float, float], grid: R.Grid, basin: DataFrame, mainstem: DataFrame) -> DataFrame:
     """For every area (``rings``) how far the model covers it, with ``status`` and ``warnings``.
 
     ``domain`` is the box of the terrain (x0, y0, x1, y1); ``basin`` and ``mainstem`` are masks of cells, and the
-    basin's share of an area is that of the cells whose centres lie inside it.
+    basin's share of an area is that of the cells whose centres lie inside it.  Areas of equal rings are worked once.
     """
+    shapes = checkpointed(areas.select("rings").distinct().withColumn("__shape", F.monotonically_increasing_id()))
+    known = checkpointed(_context(shapes, ["__shape"], domain, gauge, grid, basin, mainstem).join(shapes.withColumnRenamed("rings", "__rings"), "__shape"))
+    return areas.select(*keys, "rings").join(known, F.col("rings").eqNullSafe(F.col("__rings"))).drop("rings", "__rings", "__shape")
+
+
+def _context(areas: DataFrame, keys: Sequence[str], domain: tuple[float, float, float, float], gauge: tuple[float, float], grid: R.Grid, basin: DataFrame, mainstem: DataFrame) -> DataFrame:
+    """``context`` of areas that all differ."""
     x0, y0, x1, y1 = domain
     gx, gy = (F.lit(float(v)) for v in gauge)
     inside = F.lit(x0 <= gauge[0] <= x1 and y0 <= gauge[1] <= y1)
