@@ -112,7 +112,8 @@ def _profile(spark, d):
     """Stations as rivers: hours along, values as conveyance (errors are missing) and freeboard."""
     from pyspark.sql import Window as W
 
-    e = table(spark, d, "events")
+    # A stated number of tasks, as few large ones hold more of the rivers in order at once.
+    e = table(spark, d, "events").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     s = (t - F.min(t).over(W.partitionBy("user_id"))) / 3.6e9
     p = e.select(F.col("user_id").alias("workspace_id"), F.col("event_id").alias("section_id"), s.alias("station_m"), "value", "event_type")
