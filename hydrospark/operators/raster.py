@@ -194,13 +194,14 @@ def reproject(source: DataFrame, source_grid: Grid, target_grid: Grid, to_target
     border = sorted({(a, b) for a in along for b in (0.0, 1.0)} | {(b, a) for a in along for b in (0.0, 1.0)})
     a, b, c, d, e, f = map(float, source_grid)
 
-    def landed(r: float, k: float) -> Column:
-        # A cell more on each side, as bilinear weights reach that far.
-        row, col = F.col("tr") * tile - 1 + r * (tile + 2), F.col("tc") * tile - 1 + k * (tile + 2)
-        x, y = to_target(c + col * a + row * b, f + col * d + row * e)
-        return X.cell_of(x, y, target_grid)
-
-    points = tiles.select("tr", "tc", F.explode(F.array(*[landed(r, k) for r, k in border])).alias("p"))
+    # The points are rows, so that what ``to_target`` says is in the plan once and not for each of them.
+    # A cell more on each side, as bilinear weights reach that far.
+    at = tiles.select("tr", "tc", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k")) for r, k in border])).alias("b"))
+    at = at.select("tr", "tc", (F.col("tr") * tile - 1 + F.col("b.r") * (tile + 2)).alias("row"), (F.col("tc") * tile - 1 + F.col("b.k") * (tile + 2)).alias("col"))
+    at = at.select("tr", "tc", (c + F.col("col") * a + F.col("row") * b).alias("x"), (f + F.col("col") * d + F.col("row") * e).alias("y"))
+    x, y = to_target(F.col("x"), F.col("y"))
+    at = at.select("tr", "tc", x.alias("x"), y.alias("y"))
+    points = at.select("tr", "tc", X.cell_of(F.col("x"), F.col("y"), target_grid).alias("p"))
     boxes = points.groupBy("tr", "tc").agg(F.min("p.row").alias("r0"), F.max("p.row").alias("r1"), F.min("p.col").alias("c0"), F.max("p.col").alias("c1"))
     # Between the points of a border it may bend out by a little more.
     spare = lambda lo, hi: 1 + F.ceil((F.col(hi) - F.col(lo)) / 50)
