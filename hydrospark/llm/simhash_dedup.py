@@ -23,7 +23,9 @@ radius) nor find them all (some ten bits differ), so links of the radius and pai
 candidates, and every pair's texts are compared.  A text goes only if it reaches the similarity with one that
 stays: chains delete nothing.  Bands alone, two bands that follow each other and three of them are
 the keys of buckets; all members of a bucket meet its ``HEADS`` smallest texts (more in narrower buckets), and the
-survivors are dealt to buckets again until no pass finds a new link, so a bucket of n compares at most four times n pairs a pass.
+survivors are dealt to buckets again until no pass finds a new link.  That takes most texts out cheaply; then all pairs of
+survivors that share a bucket of one band, or a fingerprint, are compared unless their sizes rule the similarity out, and what
+is found goes back to the passes.  In the end no two survivors of one bucket have been left uncompared.
 
 Defined results: a null or wordless text has fingerprint zero; repeated rows share a
 component; a null doc_id stays a row and never names a component unless nothing else
@@ -255,7 +257,11 @@ def wide_shingles(text: str | None) -> np.ndarray:
 
 def bands(text: str | None) -> list[int]:
     """The MinHash bands of the 5-word shingles, each as one signed number; none for a wordless text."""
-    hashes = wide_shingles(text)
+    return bands_of(wide_shingles(text))
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """``bands`` of a text's shingles."""
     if not len(hashes):
         return []
     least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
@@ -279,17 +285,19 @@ def digest(text: str | None) -> bytes:
 
 
 def _banded(rows: DataFrame) -> DataFrame:
-    """``doc_id, row, node, fp, bands`` of numbered rows; node is the digest."""
+    """``doc_id, row, node, fp, bands, size`` of numbered rows; node is the digest, size the number of distinct 5-word shingles."""
 
     def run(batches):
         for b in sliced(batches):
             texts = b.column("text").to_pylist()
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             node = pa.array([digest(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), node, pa.array(fp), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "bands"])
+            wide = [(bands_of(h), len(h)) for h in map(wide_shingles, texts)]
+            made = [pa.array(fp), pa.array([w for w, _ in wide], pa.list_(pa.int64())), pa.array([n for _, n in wide], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), node, *made], names=["doc_id", "row", "node", "fp", "bands", "size"])
 
     ship(rows.sparkSession)
-    return rows.select("doc_id", F.col("__row").alias("row"), "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, node binary, fp long, bands array<long>")
+    return rows.select("doc_id", F.col("__row").alias("row"), "text").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, row long, node binary, fp long, bands array<long>, size long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -327,6 +335,15 @@ def band_pairs(live: DataFrame) -> DataFrame:
     return _ordered(smaller.select(F.col("node").alias("a"), F.explode("heads").alias("b")))
 
 
+def bucket_pairs(live: DataFrame) -> DataFrame:
+    """Candidates ``a, b``: all pairs that share a band or a fingerprint and whose sizes let them reach ``LEAST_JACCARD``."""
+    keys = F.concat("bands", F.array(F.xxhash64("fp", F.lit(0))))
+    dealt = stored(live.select("node", "size", F.explode(keys).alias("key")), "simhash-buckets")
+    other = dealt.select(F.col("node").alias("b"), F.col("size").alias("m"), "key")
+    near = F.least("size", "m") >= F.greatest("size", "m") * LEAST_JACCARD - 1e-6
+    return dealt.join(other, "key").where((F.col("node") < F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()
+
+
 def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the stored ``pairs`` whose texts reach ``LEAST_JACCARD``; ``distinct`` has each node's row as ``first``."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -367,19 +384,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
     printed = _banded(rows)
     key = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
-    distinct = stored(printed.groupBy("node").agg(F.min(F.struct(key.alias("first"), "fp", "bands")).alias("m")).select("node", "m.*"), "simhash-distinct")
+    distinct = stored(printed.groupBy("node").agg(F.min(F.struct(key.alias("first"), "fp", "bands", "size")).alias("m")).select("node", "m.*"), "simhash-distinct")
     met = first_pairs(distinct)
     pairs = stored(_ordered(radius_pairs(distinct).unionByName(met.select(F.col("node").alias("a"), F.col("head").alias("b")))), "simhash-pairs")
     seen, links = pairs, stored(similar(rows, distinct, pairs), "simhash-links")
     # Only texts that share a bucket with another can meet one in a later pass.
-    crowd = stored(distinct.join(met.select("node").distinct(), "node", "left_semi"), "simhash-crowd")
+    several = met.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    crowd = stored(distinct.join(several, "node", "left_semi"), "simhash-crowd")
     while True:
         gone = stored(covered(links), "simhash-covered")
-        pairs = stored(band_pairs(crowd.join(gone, "node", "left_anti")).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
-        more = stored(similar(rows, crowd, pairs), "simhash-links")
-        if more.isEmpty():
+        live = crowd.join(gone, "node", "left_anti")
+        for candidates in (band_pairs, bucket_pairs):  # all pairs only where the heads find nothing more
+            pairs = stored(candidates(live).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+            more = stored(similar(rows, crowd, pairs), "simhash-links")
+            seen = seen.unionByName(pairs)
+            if not more.isEmpty():
+                break
+        else:
             break
-        seen, links = seen.unionByName(pairs), links.unionByName(more)
+        links = links.unionByName(more)
     stay = distinct.join(gone, "node", "left_anti").select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
     return back(rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi"))
 
