@@ -45,41 +45,44 @@ def corridor_quads(profile: DataFrame, by: Sequence[str] = ("workspace_id",), le
 def cells_near_rings(shapes: DataFrame, grid: Grid, nrows: int, ncols: int, buffer_m: float = 0.0) -> DataFrame:
     """M14 (cells): cells whose square comes within ``buffer_m`` of a shape (any touch counts).
 
-    Each shape is laid over the cells of its own box only.
+    Each shape is laid over the cells of its own box only.  Shapes are dealt to a stated number of tasks, and a cell meets
+    the edges of its shape as rows: a river's shapes come from one window, and a lambda over edges is not compiled.
     """
     a, b, c, d, e, f = grid
     corner = lambda fn, axis: fn(F.transform(F.flatten("rings"), lambda p: p[axis]))
-    box = shapes.select("rings", corner(F.array_min, "x").alias("x0"), corner(F.array_max, "x").alias("x1"), corner(F.array_min, "y").alias("y0"), corner(F.array_max, "y").alias("y1"))
+    dealt = shapes.select("rings").repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    box = dealt.select("rings", corner(F.array_min, "x").alias("x0"), corner(F.array_max, "x").alias("x1"), corner(F.array_min, "y").alias("y0"), corner(F.array_max, "y").alias("y1"))
     pad = buffer_m + max(abs(a), abs(e))
     lo, hi = X.cell_of(F.col("x0") - pad, F.col("y0") - pad, grid), X.cell_of(F.col("x1") + pad, F.col("y1") + pad, grid)
     span = lambda axis, n: F.sequence(F.greatest(F.least(lo[axis], hi[axis]), F.lit(0)), F.least(F.greatest(lo[axis], hi[axis]), F.lit(n - 1)))
     meets = (F.greatest(lo["row"], hi["row"]) >= 0) & (F.least(lo["row"], hi["row"]) < nrows) & (F.greatest(lo["col"], hi["col"]) >= 0) & (F.least(lo["col"], hi["col"]) < ncols)
-    laid = box.where(meets).select("rings", F.explode(span("row", nrows)).alias("row"), span("col", ncols).alias("s")).select("rings", "row", F.explode("s").alias("col"))
+    own = lambda ring: F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
+    # The shape's own number tells its cells from those of others.
+    laid = box.where(meets).select(F.monotonically_increasing_id().alias("shape"), span("row", nrows).alias("rows"), span("col", ncols).alias("cols"), F.transform("rings", own).alias("edges"))
+    sides = laid.select("shape", "rows", "cols", F.posexplode("edges").alias("ring", "es")).select("shape", "rows", "cols", "ring", F.explode("es").alias("e")).select("shape", "rows", "cols", "ring", "e.*")
+    met = sides.select("shape", "cols", "ring", "px", "py", "qx", "qy", F.explode("rows").alias("row")).select("shape", "row", "ring", "px", "py", "qx", "qy", F.explode("cols").alias("col"))
     centre = X.cell_center("row", "col", grid)
+    met = met.withColumns({"cx": centre["x"], "cy": centre["y"]})
     hx, hy = abs(a) / 2, abs(e) / 2
-    ring = F.get("rings", F.lit(0))
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    cx, cy = centre["x"], centre["y"]
-
-    def gap(g):
-        """Distance from the cell's square to an edge: 0 if they cross, else between corners and ends."""
-        p, q = g["p"], g["q"]
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        # Clip the edge to the square (Liang and Barsky): it crosses if an interval is left.
-        t0, t1 = F.lit(0.0), F.lit(1.0)
-        outside = F.lit(False)
-        for step, near, far in ((dx, cx - hx - p["x"], cx + hx - p["x"]), (dy, cy - hy - p["y"], cy + hy - p["y"])):
-            u, v = F.try_divide(near, step), F.try_divide(far, step)
-            t0 = F.greatest(t0, F.coalesce(F.least(u, v), F.lit(0.0)))
-            t1 = F.least(t1, F.coalesce(F.greatest(u, v), F.lit(1.0)))
-            outside = outside | ((step == 0) & ((near > 0) | (far < 0)))
-        crosses = ~outside & (t0 <= t1)
-        corners = [X.point_to_segment(cx + sx * hx, cy + sy * hy, p["x"], p["y"], q["x"], q["y"]) for sx in (-1, 1) for sy in (-1, 1)]
-        ends = F.hypot(F.greatest(F.abs(p["x"] - cx) - hx, F.lit(0.0)), F.greatest(F.abs(p["y"] - cy) - hy, F.lit(0.0)))
-        return F.when(crosses, 0.0).otherwise(F.least(*corners, ends))
-
-    hit = X.point_in_rings(cx, cy, "rings") | F.exists(edges, lambda g: gap(g) <= buffer_m)
-    return laid.where(hit).select("row", "col").distinct()
+    cx, cy, px, py, qx, qy = map(F.col, ("cx", "cy", "px", "py", "qx", "qy"))
+    dx, dy = qx - px, qy - py
+    # Clip the edge to the square (Liang and Barsky): it crosses if an interval is left; else the distance between corners and ends counts.
+    t0, t1 = F.lit(0.0), F.lit(1.0)
+    outside = F.lit(False)
+    for step, near, far in ((dx, cx - hx - px, cx + hx - px), (dy, cy - hy - py, cy + hy - py)):
+        u, v = F.try_divide(near, step), F.try_divide(far, step)
+        t0 = F.greatest(t0, F.coalesce(F.least(u, v), F.lit(0.0)))
+        t1 = F.least(t1, F.coalesce(F.greatest(u, v), F.lit(1.0)))
+        outside = outside | ((step == 0) & ((near > 0) | (far < 0)))
+    crosses = ~outside & (t0 <= t1)
+    corners = [X.point_to_segment(cx + sx * hx, cy + sy * hy, px, py, qx, qy) for sx in (-1, 1) for sy in (-1, 1)]
+    ends = F.hypot(F.greatest(F.abs(px - cx) - hx, F.lit(0.0)), F.greatest(F.abs(py - cy) - hy, F.lit(0.0)))
+    near = (F.col("ring") == 0) & (F.when(crosses, 0.0).otherwise(F.least(*corners, ends)) <= buffer_m)
+    # The centre is inside a shape if it lies on an edge, or if an odd number of edges is to its right.
+    right = ((py > cy) != (qy > cy)) & (cx < px + (cy - py) * F.try_divide(dx, dy))
+    on = (dx * (cy - py) - dy * (cx - px) == 0) & cx.between(F.least(px, qx), F.greatest(px, qx)) & cy.between(F.least(py, qy), F.greatest(py, qy))
+    sum_ = met.groupBy("shape", "row", "col").agg(F.max(F.coalesce(near | on, F.lit(False))).alias("near"), F.count_if(F.coalesce(right, F.lit(False))).alias("right"))
+    return sum_.where("near or right % 2 = 1").select("row", "col").distinct()
 
 
 def ring_area(rings: str = "rings"):
