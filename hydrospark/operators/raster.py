@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hydrospark.functions import columns as X
 from hydrospark.functions import constants as C
 from hydrospark.operators.order import percentiles
+from hydrospark.session import ship
 
 Grid = tuple[float, float, float, float, float, float]
 UNIT_GRID: Grid = (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
@@ -21,6 +25,8 @@ UNIT_GRID: Grid = (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
 EIGHT = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 CELL = ["row", "col"]
+#: Cells across a tile in which the nearest sections are looked for, at most.
+SECTION_TILE = 256
 
 
 def cell_area(grid: Grid) -> float:
@@ -228,22 +234,64 @@ def nearest_section(cells: DataFrame, sections: DataFrame, grid: Grid, reach: fl
     """Every cell with the nearest section cell within ``reach`` and what that section carries.
 
     ``sections`` has ``x, y``, ``order`` and the carried columns.  Of two sections in one cell the
-    later wins; of equal distances the lower (row, col).  Sections go to the tiles, one reach
-    wide, that they can matter to, so cells meet only those of their own tile.
+    later wins; of equal distances the lower (row, col).  Sections go to the tiles that they can matter to.  There
+    each line of sections (a column of the grid, or a row where those are fewer) gives the nearest of its own to a line of
+    cells across it by one search, so a cell meets the lines in reach and not all sections on them.
     """
+    ship(cells.sparkSession)
     cell = X.cell_of("x", "y", grid)
-    s = sections.select(cell["row"].alias("__sr"), cell["col"].alias("__sc"), F.struct(order, *carried).alias("__p"))
+    s = sections.select(cell["row"].alias("__sr"), cell["col"].alias("__sc"), F.struct(order, *carried).alias("__p")).where("__sr is not null and __sc is not null")
     s = s.groupBy("__sr", "__sc").agg(F.max_by("__p", f"__p.{order}").alias("__p"))
     sy, sx = abs(grid[4]), abs(grid[0])
-    th, tw = max(1, int(reach / sy) + 1), max(1, int(reach / sx) + 1)
+    far = int(reach / sy) + 1, int(reach / sx) + 1
+    th, tw = (min(max(k, 64), SECTION_TILE) for k in far)
     tile = lambda c, t: F.floor(F.col(c) / t)
-    around = F.explode(F.array(*[F.struct((tile("__sr", th) + i).alias("__tr"), (tile("__sc", tw) + j).alias("__tc")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    s = s.select("*", around.alias("t")).select("__sr", "__sc", "__p", "t.*")
-    pairs = cells.withColumns({"__tr": tile("row", th), "__tc": tile("col", tw)}).join(s, ["__tr", "__tc"])
-    d2 = F.pow((F.col("row") - F.col("__sr")) * sy, F.lit(2)) + F.pow((F.col("col") - F.col("__sc")) * sx, F.lit(2))
-    near = pairs.withColumn("__d2", d2).where(F.col("__d2") <= reach * reach)
-    best = near.groupBy("row", "col").agg(F.min_by(F.struct("__p", "__d2"), F.struct("__d2", "__sr", "__sc")).alias("b"))
-    return cells.join(best.select("row", "col", *[F.col(f"b.__p.{c}").alias(c) for c in (order, *carried)], F.sqrt("b.__d2").alias("distance_m")), CELL, "left")
+    span = lambda c, k, t: F.sequence(F.floor((F.col(c) - k) / t), F.floor((F.col(c) + k) / t))
+    s = s.select("*", F.explode(span("__sr", far[0], th)).alias("__tr")).select("*", F.explode(span("__sc", far[1], tw)).alias("__tc"))
+    s = s.select("__tr", "__tc", "__sr", "__sc", *[F.col(f"__p.{c}").alias(c) for c in (order, *carried)])
+    own = [c for c in cells.columns if c not in CELL]
+    asked = cells.select(*CELL, *own, tile("row", th).alias("__tr"), tile("col", tw).alias("__tc"))
+    schema = StructType([StructField(n, cells.schema[n].dataType) for n in (*CELL, *own)] + [StructField(n, s.schema[n].dataType) for n in (order, *carried)] + [StructField("distance_m", DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows
+        best, at = np.full(n, np.inf), np.full(n, -1)
+        if n and right.num_rows and left["row"].null_count + left["col"].null_count == 0:
+            at, best = _nearest_of(*(t[c].to_numpy().astype(np.int64) for t, c in ((left, "row"), (left, "col"), (right, "__sr"), (right, "__sc"))), sy, sx)
+        ok = best <= reach * reach
+        took = pa.array(np.where(ok, at, 0), pa.int64(), mask=~ok)
+        cols = [left[c] for c in (*CELL, *own)] + [right[c].take(took) if right.num_rows else pa.nulls(n, right.schema.field(c).type) for c in (order, *carried)]
+        return pa.Table.from_arrays([*cols, pa.array(np.sqrt(np.where(ok, best, 0.0)), mask=~ok)], names=schema.names)
+
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [df.repartition(n, "__tr", "__tc").groupBy("__tr", "__tc") for df in (asked, s)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(run, schema)
+
+
+def _nearest_of(row: np.ndarray, col: np.ndarray, sr: np.ndarray, sc: np.ndarray, sy: float, sx: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(at, d2)``: for cells the nearest of the places ``sr, sc`` and the squared distance to it; of equals the lower (row, column)."""
+    by_col = len(np.unique(sc)) <= len(np.unique(sr))
+    # Lines run along one axis; a place is on the line ``across`` at ``along``.
+    (along, across, s_along, s_across), (step, side) = ((row, col, sr, sc), (sy, sx)) if by_col else ((col, row, sc, sr), (sx, sy))
+    order = np.lexsort((s_along, s_across))
+    lines, first = np.unique(s_across[order], return_index=True)
+    places, back = np.unique(along, return_inverse=True)
+    at, best = np.full(len(row), -1), np.full(len(row), np.inf)
+    for line, a, b in zip(lines.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        on = s_along[order[a:b]]
+        right = np.searchsorted(on, places)
+        left = np.maximum(right - 1, 0)
+        right = np.minimum(right, len(on) - 1)
+        # Of two at the same distance the lower one.
+        pick = np.where(np.abs(places - on[left]) <= np.abs(places - on[right]), left, right)[back]
+        d2 = ((along - on[pick]) * step) ** 2 + ((across - line) * side) ** 2
+        new = order[a:b][pick]
+        better = d2 < best
+        same = np.flatnonzero((d2 == best) & (at >= 0))
+        old = at[same]
+        better[same] = (sr[new[same]] < sr[old]) | ((sr[new[same]] == sr[old]) & (sc[new[same]] < sc[old]))
+        at, best = np.where(better, new, at), np.where(better, d2, best)
+    return at, best
 
 
 def nearest_true_cell(mask: DataFrame, x: float, y: float, grid: Grid, reach: float = 250.0) -> DataFrame:
