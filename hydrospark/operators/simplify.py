@@ -24,8 +24,13 @@ _POINTS = "array<struct<x:double,y:double>>"
 LAST = 5
 
 
+def _digest(*columns: str):
+    """Sixteen bytes that stand for values in keys of joins."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns))))
+
+
 def _arcs(shapes: DataFrame) -> DataFrame:
-    """``sid, ring, place, turned, arc, points``: the arcs of every ring in their order, each in its one direction."""
+    """``sid, ring, place, turned, name, points``: the arcs of every ring in their order, each in its one direction."""
     rings = shapes.select("sid", F.posexplode("rings").alias("ring", "line"))
     clean = F.filter("line", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     # A point that comes twice in a row is one.
@@ -57,8 +62,8 @@ def _arcs(shapes: DataFrame) -> DataFrame:
             out.append((pdf["sid"].iloc[0], pdf["ring"].iloc[0], place, turned, [{"x": x, "y": y} for x, y in (way[::-1] if turned else way)]))
         return pd.DataFrame(out, columns=["sid", "ring", "place", "turned", "points"])
 
-    found = each.groupBy("sid", "ring").applyInPandas(run, f"sid string, ring int, place int, turned boolean, points {_POINTS}")
-    return found.withColumn("arc", F.sha2(F.to_json("points"), 256))
+    found = each.groupBy("sid", "ring").applyInPandas(run, f"sid binary, ring int, place int, turned boolean, points {_POINTS}")
+    return found.withColumn("name", _digest("points"))
 
 
 def _thinned(arcs: DataFrame, tolerance: float) -> DataFrame:
@@ -77,21 +82,33 @@ def _thinned(arcs: DataFrame, tolerance: float) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(line=[line(p, k) for p, k in zip(pdf["points"], pdf["level"])])
 
-    return arcs.select("arc", "level", "points").mapInPandas(run, f"arc string, level int, points {_POINTS}, line {_POINTS}")
+    return arcs.select("arc", "level", "points").mapInPandas(run, f"arc long, level int, points {_POINTS}, line {_POINTS}")
+
+
+def _tile(arcs: DataFrame, tolerance: float) -> float:
+    """Ten tolerances, or twice the length that nine of ten sides reach, if that is more: so a side is in few tiles."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda k: F.hypot(F.get("line", k)["x"] - F.get("line", k - 1)["x"], F.get("line", k)["y"] - F.get("line", k - 1)["y"]))
+    side = arcs.select(F.explode(pairs).alias("s")).where("s > 0 and s < double('infinity')").agg(F.percentile_approx("s", F.lit(0.1))).first()[0]
+    return max(10 * tolerance, 2 * float(side or 0.0))
 
 
 def _conflicts(arcs: DataFrame, tile: float) -> DataFrame:
     """``arc``: arcs, not yet as they were, whose line meets another's outside common ends, or goes around another arc."""
-    tiles = lambda lo, hi: F.sequence(F.floor(lo / tile), F.floor(hi / tile))
+    n_tasks = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = lambda lo, hi, size=tile: F.sequence(F.floor(lo / size), F.floor(hi / size))
     pairs = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda k: F.struct(k.alias("k"), F.get("line", k - 1).alias("p"), F.get("line", k).alias("q")))
     seg = arcs.select("arc", "level", F.explode(pairs).alias("s")).select("arc", "level", "s.k", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"))
-    # A long side goes to the tiles of its pieces, each at most one tile long.
-    n = F.greatest(F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / tile), F.lit(1))
+    # A long side goes to the tiles of its pieces, each at most one tile long; each tile once.
+    n = F.greatest(F.ceil(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / tile), F.lit(1)).cast("long")
     piece = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * t
-    cut = seg.select("*", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("i"), n.alias("n"))
-    t0, t1 = F.col("i") / F.col("n"), (F.col("i") + 1) / F.col("n")
-    xs, ys = (piece("x0", "x1", t0), piece("x0", "x1", t1)), (piece("y0", "y1", t0), piece("y0", "y1", t1))
-    spread = cut.select(*seg.columns, F.explode(tiles(F.least(*xs), F.greatest(*xs))).alias("tx"), tiles(F.least(*ys), F.greatest(*ys)).alias("t")).select(*seg.columns, "tx", F.explode("t").alias("ty")).distinct()
+
+    def of_piece(i):
+        t0, t1 = i / n, (i + 1) / n
+        xs, ys = (piece("x0", "x1", t0), piece("x0", "x1", t1)), (piece("y0", "y1", t0), piece("y0", "y1", t1))
+        return F.flatten(F.transform(tiles(F.least(*xs), F.greatest(*xs)), lambda tx: F.transform(tiles(F.least(*ys), F.greatest(*ys)), lambda ty: F.struct(tx.alias("tx"), ty.alias("ty")))))
+
+    spread = seg.select("*", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), of_piece)))).alias("t")).select(*seg.columns, "t.tx", "t.ty")
+    spread = spread.repartition(n_tasks, "tx", "ty")  # the same shuffle for both sides
     other = spread.withColumnsRenamed({c: f"o_{c}" for c in seg.columns})
     met = spread.join(other, ["tx", "ty"]).where(f"(arc, k) < (o_arc, o_k) and (level < {LAST} or o_level < {LAST})")
     side = lambda a, b, c: (F.col(b[0]) - F.col(a[0])) * (F.col(c[1]) - F.col(a[1])) - (F.col(b[1]) - F.col(a[1])) * (F.col(c[0]) - F.col(a[0]))
@@ -104,36 +121,47 @@ def _conflicts(arcs: DataFrame, tile: float) -> DataFrame:
     hit = met.where(cross | equal | on(a, b, c) | on(a, b, d) | on(c, d, a) | on(c, d, b))
     crossing = hit.select(F.explode(F.array(F.struct("arc", "level"), F.struct(F.col("o_arc").alias("arc"), F.col("o_level").alias("level")))).alias("e")).select("e.*")
     # What lies between an arc and its line: the arc there, the line back.  One point of each other arc is enough, as none crosses.
-    lens = arcs.where(F.size("line") < F.size("points")).select("arc", "level", F.array(F.concat("points", F.reverse("line"))).alias("rings"))
-    edge = lambda f, axis: f(F.transform(F.get("rings", F.lit(0)), lambda p: p[axis]))
-    near = lens.select("*", F.explode(tiles(edge(F.array_min, "x"), edge(F.array_max, "x"))).alias("tx"), tiles(edge(F.array_min, "y"), edge(F.array_max, "y")).alias("t")).select("arc", "level", "rings", "tx", F.explode("t").alias("ty"))
-    first = F.get("points", F.lit(0))
-    marks = arcs.select(F.col("arc").alias("o_arc"), F.explode(F.array(first, F.element_at("points", -1))).alias("p")).distinct()
-    marks = marks.select("o_arc", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.floor(F.col("p.x") / tile).alias("tx"), F.floor(F.col("p.y") / tile).alias("ty"))
-    own = F.exists(F.get("rings", F.lit(0)), lambda p: (p["x"] == F.col("x")) & (p["y"] == F.col("y")))
-    around = near.join(marks, ["tx", "ty"]).where(F.col("arc") != F.col("o_arc")).where(~own & X.point_in_rings(F.col("x"), F.col("y"), "rings")).select("arc", "level")
+    # Boxes meet ends of arcs first, in tiles of a size at which a box touches few, and only arcs with an end in their box bring their points.
+    lens = arcs.where(F.size("line") < F.size("points"))
+    end = lambda f, axis: f(F.transform("points", lambda p: p[axis]))
+    box = lens.select("arc", F.get("points", F.lit(0)).alias("p"), F.element_at("points", -1).alias("q"), end(F.array_min, "x").alias("x0"), end(F.array_max, "x").alias("x1"), end(F.array_min, "y").alias("y0"), end(F.array_max, "y").alias("y1"))
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = box.withColumn("step", F.aggregate(F.array(*[F.lit(k) for k in range(1, 16)]), F.lit(0), lambda s, k: F.when(wide > 4 * tile * F.pow(F.lit(8.0), s), k).otherwise(s)))
+    steps = sorted(r[0] for r in box.select("step").distinct().collect())  # sixteen at most
+    size = tile * F.pow(F.lit(8.0), F.col("step"))
+    box = box.select("*", F.explode(tiles(F.col("x0"), F.col("x1"), size)).alias("tx")).select("*", F.explode(tiles(F.col("y0"), F.col("y1"), size)).alias("ty"))
+    marks = arcs.select(F.explode(F.array(F.get("points", F.lit(0)), F.element_at("points", -1))).alias("m")).distinct()
+    marks = marks.select("m", F.explode(F.array(*map(F.lit, steps)).cast("array<int>")).alias("step")).select("m", "step", F.floor(F.col("m.x") / size).alias("tx"), F.floor(F.col("m.y") / size).alias("ty"))
+    held = F.col("m.x").between(F.col("x0"), F.col("x1")) & F.col("m.y").between(F.col("y0"), F.col("y1")) & (F.col("m") != F.col("p")) & (F.col("m") != F.col("q"))
+    asked = box.join(marks, ["step", "tx", "ty"]).where(held).select("arc", "m")
+    near = asked.join(lens.select("arc", "level", F.array(F.concat("points", F.reverse("line"))).alias("rings")), "arc")
+    own = F.exists(F.get("rings", F.lit(0)), lambda p: p == F.col("m"))
+    around = near.where(~own & X.point_in_rings(F.col("m.x"), F.col("m.y"), "rings")).select("arc", "level")
     return crossing.unionByName(around).where(F.col("level") < LAST).select("arc").distinct()
 
 
 def simplified(shapes: DataFrame, tolerance: float, keys: Sequence[str], tile: float | None = None) -> DataFrame:
     """``keys, rings``: lines and rings without points that lie within the tolerance of what stays, borders still shared.
 
-    ``keys`` name a row; rows of equal keys and shapes are one.  ``tile`` (map units, ten tolerances if not given) is how
+    ``keys`` name a row; rows of equal keys and shapes are one.  ``tile`` (map units; if not given ten tolerances, or more where sides are longer) is how
     far arcs are compared at a time.  Points with a missing coordinate and rings of one point are left out, and so are
     rows without a ring; a ring keeps three points.  Where shapes cross before, the arcs that cross stay as they were.
     """
     ship(shapes.sparkSession)
-    tile = float(tile or 10 * tolerance)
-    named = shapes.select(*keys, "rings").withColumn("sid", F.sha2(F.to_json(F.struct(*keys, "rings")), 256)).dropDuplicates(["sid"])
+    named = shapes.select(*keys, "rings").withColumn("sid", _digest(*keys, "rings")).dropDuplicates(["sid"])
     used = checkpointed(_arcs(named))
-    arcs = checkpointed(_thinned(used.groupBy("arc").agg(F.first("points").alias("points")).withColumn("level", F.lit(0)), tolerance))
+    # Arcs are numbered once; what is compared and shuffled carries the number.
+    names = checkpointed(used.groupBy("name").agg(F.first("points").alias("points")).withColumn("arc", F.monotonically_increasing_id()))
+    arcs = checkpointed(_thinned(names.withColumn("level", F.lit(0)), tolerance))
+    tile = float(tile or _tile(arcs, tolerance))
     while True:  # every round takes an arc with a conflict to its next level, and there are few levels
         bad = checkpointed(_conflicts(arcs, tile))
         if bad.isEmpty():
             break
         again = arcs.join(bad, "arc", "left_semi").withColumn("level", F.col("level") + 1)
         arcs = checkpointed(arcs.join(bad, "arc", "left_anti").unionByName(_thinned(again, tolerance)))
-    parts = used.join(arcs.select("arc", "line"), "arc").select("sid", "ring", F.struct("place", F.when(F.col("turned"), F.reverse("line")).otherwise(F.col("line")).alias("line")).alias("a"))
+    lines = names.select("name", "arc").join(arcs.select("arc", "line"), "arc").drop("arc")
+    parts = used.drop("points").join(lines, "name").select("sid", "ring", F.struct("place", F.when(F.col("turned"), F.reverse("line")).otherwise(F.col("line")).alias("line")).alias("a"))
     # Arcs of a ring follow one another; each but the first leaves out the point that it shares with the one before.
     whole = parts.groupBy("sid", "ring").agg(F.array_sort(F.collect_list("a")).alias("a"))
     line = F.flatten(F.transform("a", lambda v, i: F.when(i == 0, v["line"]).otherwise(F.slice(v["line"], 2, F.greatest(F.size(v["line"]) - 1, F.lit(0))))))
