@@ -58,7 +58,7 @@ def _tiles(cells: DataFrame, tile: int, name: str) -> DataFrame:
         place = (pdf["row"].to_numpy() - int(key[0]) * tile) * tile + pdf["col"].to_numpy() - int(key[1]) * tile
         return pd.DataFrame({"tr": [int(key[0])], "tc": [int(key[1])], "place": [place.astype("<i4").tobytes()], "z": [pdf["z"].to_numpy().astype("<f8").tobytes()], "seed": [pdf["seed"].to_numpy().astype("u1").tobytes()]})
 
-    dealt = cells.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)}).groupBy("tr", "tc").applyInPandas(run, "tr long, tc long, place binary, z binary, seed binary")
+    dealt = cells.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)}).repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tr", "tc").groupBy("tr", "tc").applyInPandas(run, "tr long, tc long, place binary, z binary, seed binary")
     spark = cells.sparkSession
     dealt.write.option("path", f"{shared_folder(spark)}/{name}").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "tr", "tc").saveAsTable(name)
     return spark.table(name)
@@ -136,7 +136,8 @@ def cost_distance(cells: DataFrame, seeds: DataFrame, elevation: str = "value",
             active = state.where("active").select(*key, "offers")
             if active.isEmpty():
                 break
-            spoken = tiles.join(active, key)
+            # A hash join on the shuffled side: a broadcast would leave the costly kernel to as few tasks as the small side has.
+            spoken = tiles.join(active.hint("shuffle_hash"), key)
             spoken = spoken.join(said, key, "left") if said is not None else spoken.withColumn("said", F.lit(None).cast("array<struct<k:int,place:int,cost:double>>"))
             now = checkpointed(spoken.mapInArrow(offers, "tr long, tc long, place int, k int, cost double, z double"))
             heard = now.groupBy(*key).agg(F.collect_list(F.struct("place", "k", "cost", "z")).alias("heard"))
@@ -147,7 +148,7 @@ def cost_distance(cells: DataFrame, seeds: DataFrame, elevation: str = "value",
             old = said.select(*key, F.inline("said")) if said is not None else own.limit(0)
             least = old.unionByName(own).groupBy(*key, "k", "place").agg(F.min("cost").alias("cost"))
             said = checkpointed(least.groupBy(*key).agg(F.collect_list(F.struct("k", "place", "cost")).alias("said")))
-            met = tiles.select(*key, "place", "z").join(heard, key).join(state.select(*key, "offers"), key, "left")
+            met = tiles.select(*key, "place", "z").join(heard.hint("shuffle_hash"), key).join(state.select(*key, "offers"), key, "left")
             new = checkpointed(met.mapInArrow(weighed, f"tr long, tc long, offers {_OFFERS}, active boolean"))
             state = checkpointed(new.unionByName(state.join(new.select(*key), key, "left_anti").withColumn("active", F.lit(False))))
         else:
@@ -161,7 +162,7 @@ def cost_distance(cells: DataFrame, seeds: DataFrame, elevation: str = "value",
                     cols = [pa.array(t["tr"] * tile + place // tile), pa.array(t["tc"] * tile + place % tile), pa.array(z.ravel()[place]), pa.array(cost)]
                     yield pa.RecordBatch.from_arrays(cols, names=["row", "col", "z", "cost"]).filter(pa.array(np.isfinite(cost)))
 
-        out = checkpointed(tiles.join(state.select(*key, "offers"), key).mapInArrow(give, "row long, col long, z double, cost double"))
+        out = checkpointed(tiles.join(state.select(*key, "offers").hint("shuffle_hash"), key).mapInArrow(give, "row long, col long, z double, cost double"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
