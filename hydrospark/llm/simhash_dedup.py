@@ -23,9 +23,13 @@ radius) nor find them all (some ten bits differ), so links of the radius and pai
 candidates, and every pair's texts are compared.  A text goes only if it reaches the similarity with one that
 stays: chains delete nothing.  Bands alone, two bands that follow each other and three of them are
 the keys of buckets; all members of a bucket meet its ``HEADS`` smallest texts (more in narrower buckets), and the
-survivors are dealt to buckets again until no pass finds a new link.  That takes most texts out cheaply; then all pairs of
-survivors that share a bucket of one band, or a fingerprint, are compared unless their sizes rule the similarity out, and what
-is found goes back to the passes.  In the end no two survivors of one bucket have been left uncompared.
+survivors are dealt to buckets again while that finds many new links (for one text in twenty).  That takes most texts out cheaply; then survivors that
+share a bucket of one band, or a fingerprint, are compared.  In buckets of at most ``FEW`` all pairs are, unless their sizes
+rule the similarity out.  Texts of larger buckets meet by their rarest shingles: in any one order of all
+shingles two texts that reach the similarity share one of their first few (about a ninth, for texts of equal sizes), so
+that pairs which share none of these cannot reach it, and are left out without being listed.
+Where a link lets texts come back that have not been compared with all that stay, these are compared as well.
+In the end no two survivors of one bucket reach the similarity.
 
 Defined results: a null or wordless text has fingerprint zero; repeated rows share a
 component; a null doc_id stays a row and never names a component unless nothing else
@@ -36,7 +40,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
@@ -53,6 +57,12 @@ BANDS = 14
 BAND_ROWS = 4
 #: Members that all others of a bucket of one band, two and three meet; in the first pass it is one, of one band.
 HEADS = (1, 2, 4)
+#: Members of a bucket that are all compared with each other; those of larger ones meet by their rarest shingles.
+FEW = 16
+#: More texts than these meet the heads before all that can be near are compared, and again if that finds links for one in twenty.
+MANY = 1000
+#: Shingles are put in order by how often those of the same slot come; a power of two.
+SLOTS = 1 << 20
 SEED = 42
 #: Members of a shard that one task uses as queries; larger shards are walked by several tasks.
 TREE_QUERIES = 20_000
@@ -335,20 +345,100 @@ def band_pairs(live: DataFrame) -> DataFrame:
     return _ordered(smaller.select(F.col("node").alias("a"), F.explode("heads").alias("b")))
 
 
-def bucket_pairs(live: DataFrame) -> DataFrame:
-    """Candidates ``a, b``: all pairs that share a band or a fingerprint and whose sizes let them reach ``LEAST_JACCARD``."""
-    keys = F.concat("bands", F.array(F.xxhash64("fp", F.lit(0))))
-    dealt = stored(live.select("node", "size", F.explode(keys).alias("key")), "simhash-buckets")
-    other = dealt.select(F.col("node").alias("b"), F.col("size").alias("m"), "key")
-    near = F.least("size", "m") >= F.greatest("size", "m") * LEAST_JACCARD - 1e-6
-    return dealt.join(other, "key").where((F.col("node") < F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()
+def bucket_keys() -> Column:
+    """The keys of a text's buckets: its bands, and its fingerprint."""
+    return F.concat("bands", F.array(F.xxhash64("fp", F.lit(0))))
+
+
+def _may_reach(n: str, m: str) -> Column:
+    """Sets of these sizes can have ``LEAST_JACCARD``."""
+    return F.least(n, m) >= F.greatest(n, m) * LEAST_JACCARD - 1e-6
+
+
+def bucket_pairs(live: DataFrame, fresh: DataFrame | None = None, without: DataFrame | None = None) -> DataFrame:
+    """Candidates ``a, b``: all pairs that share a band or a fingerprint and whose sizes let them reach ``LEAST_JACCARD``.
+
+    One of each pair is ``fresh`` where these are given; buckets of the keys ``without`` are left out.
+    """
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        out = rows.select("node", "size", F.explode(bucket_keys()).alias("key"))
+        return stored(out.join(without, "key", "left_anti") if without is not None else out, "simhash-buckets")
+
+    mine = dealt(live if fresh is None else fresh)
+    other = (mine if fresh is None else dealt(live)).select(F.col("node").alias("b"), F.col("size").alias("m"), "key")
+    order = F.col("node") < F.col("b") if fresh is None else F.col("node") != F.col("b")
+    return _ordered(mine.join(other, "key").where(order & _may_reach("size", "m")).select(F.col("node").alias("a"), "b"))
+
+
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many of ``texts`` have a shingle of each slot, counted by shingle."""
+
+    def run(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for b in sliced(batches):
+            each = [wide_shingles(t) for t in b.column("text").to_pylist()]
+            if each:
+                n += np.bincount((np.concatenate(each) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
+
+    ship(texts.sparkSession)
+    counts = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    return out
+
+
+def _overlap(n: int) -> int:
+    """The least that a set of ``n`` shares with another one at ``LEAST_JACCARD``."""
+    return int(np.ceil(n * LEAST_JACCARD - 1e-6))
+
+
+def rarest(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``node, size, nth, shingle`` of the shingles of each text of which two texts at ``LEAST_JACCARD`` share one; rarest first.
+
+    ``counts`` are those of all texts that may be compared: a shingle alone in its slot is in no other text.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+
+    def run(batches):
+        for b in sliced(batches, 256):
+            rows: list[tuple] = []
+            for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
+                hashes = wide_shingles(text)
+                times = sent.value[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+                first = np.lexsort((hashes, times))[: len(hashes) - _overlap(len(hashes)) + 1]
+                rows += [(node, len(hashes), int(k), int(hashes[first[k]])) for k in np.flatnonzero(times[first] > 1)]
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            made = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(np.array(cols[3], np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(made, names=["node", "size", "nth", "shingle"])
+
+    return texts.mapInArrow(run, "node binary, size long, nth long, shingle long")
+
+
+def rare_pairs(rare: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """Candidates ``a, b`` of the shingles of ``rarest``: no pair at ``LEAST_JACCARD`` is missing.  One of each is ``fresh`` where these are given.
+
+    A shingle counts only as far as what comes from it on in both texts can still be enough.
+    """
+    mine = rare if fresh is None else rare.join(fresh.select("node"), "node", "left_semi")
+    other = rare.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("nth").alias("mth"), "shingle")
+    order = F.col("node") < F.col("b") if fresh is None else F.col("node") != F.col("b")
+    least = F.ceil((F.col("size") + F.col("m")) * (LEAST_JACCARD / (1 + LEAST_JACCARD)) - 1e-6)
+    enough = (F.col("size") - F.col("nth") >= least) & (F.col("m") - F.col("mth") >= least)
+    return _ordered(mine.join(other, "shingle").where(order & _may_reach("size", "m") & enough).select(F.col("node").alias("a"), "b"))
+
+
+def texts_of(rows: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the ``nodes``; ``distinct`` has each node's row as ``first``."""
+    wanted = distinct.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
+    return stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & (rows["__row"] == wanted["__r"])).select("node", "text"), "simhash-texts")
 
 
 def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the stored ``pairs`` whose texts reach ``LEAST_JACCARD``; ``distinct`` has each node's row as ``first``."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = distinct.join(ends, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
-    texts = stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & (rows["__row"] == wanted["__r"])).select("node", "text"), "simhash-texts")
+    texts = texts_of(rows, distinct, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
@@ -367,7 +457,7 @@ def covered(links: DataFrame) -> DataFrame:
     """
     edges, gone = links, None
     while not edges.isEmpty():
-        stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        stay = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti")
         hit = stored(edges.join(stay, "a", "left_semi").select(F.col("b").alias("node")).distinct(), "simhash-gone")
         gone = hit if gone is None else gone.unionByName(hit)
         edges = stored(edges.join(hit, edges["a"] == hit["node"], "left_anti").join(hit, edges["b"] == hit["node"], "left_anti"), "simhash-left")
@@ -391,18 +481,39 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Only texts that share a bucket with another can meet one in a later pass.
     several = met.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     crowd = stored(distinct.join(several, "node", "left_semi"), "simhash-crowd")
+    dense = stored(crowd.select(F.explode(bucket_keys()).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("key"), "simhash-dense")
+    texts = counts = rare = compared = None
     while True:
         gone = stored(covered(links), "simhash-covered")
-        live = crowd.join(gone, "node", "left_anti")
-        for candidates in (band_pairs, bucket_pairs):  # all pairs only where the heads find nothing more
-            pairs = stored(candidates(live).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
-            more = stored(similar(rows, crowd, pairs), "simhash-links")
+        live = stored(crowd.join(gone, "node", "left_anti"), "simhash-live")
+        # All pairs of what stayed last time have been compared.
+        fresh = live if compared is None else stored(live.join(compared.select("node"), "node", "left_anti"), "simhash-fresh")
+        many, found = fresh.count(), []
+        if not many:
+            break
+        if many > MANY:
+            pairs = stored(band_pairs(live).join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+            found.append(stored(similar(rows, crowd, pairs), "simhash-links"))
             seen = seen.unionByName(pairs)
-            if not more.isEmpty():
-                break
-        else:
+        if not found or 20 * found[0].count() <= many:
+            pairs = bucket_pairs(live, None if compared is None else fresh, dense)
+            if texts is None and not dense.isEmpty():
+                inside = crowd.select("node", F.explode(bucket_keys()).alias("key")).join(dense, "key", "left_semi").select("node")
+                texts = texts_of(rows, crowd, inside)
+                counts = slot_counts(texts)
+            if texts is not None:
+                new = texts.join(fresh.select("node"), "node", "left_semi")
+                new = stored(rarest(new if rare is None else new.join(rare.select("node"), "node", "left_anti"), counts), "simhash-rarest")
+                rare = new if rare is None else rare.unionByName(new)
+                pairs = pairs.unionByName(rare_pairs(rare.join(live.select("node"), "node", "left_semi"), None if compared is None else fresh)).distinct()
+            pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+            found.append(stored(similar(rows, crowd, pairs), "simhash-links"))
+            seen, compared = seen.unionByName(pairs), live
+        if all(x.isEmpty() for x in found):
             break
-        links = links.unionByName(more)
+        for x in found:
+            links = links.unionByName(x)
+        links = stored(links, "simhash-links")
     stay = distinct.join(gone, "node", "left_anti").select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__r"))
     return back(rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__row"] == stay["__r"]), "left_semi"))
 
