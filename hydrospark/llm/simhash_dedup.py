@@ -30,6 +30,8 @@ shingles two texts that reach the similarity share one of their first few (about
 that pairs which share none of these cannot reach it, and are left out without being listed.
 Where a link lets texts come back that have not been compared with all that stay, these are compared as well.
 In the end no two survivors of one bucket reach the similarity.
+What grows with the texts is joined by merging, whatever its size on disk: keys and texts are many times larger in memory
+than in files, where digests that come again are written once, and a broadcast is held whole by the driver.
 
 Defined results: a null or wordless text has fingerprint zero; repeated rows share a
 component; a null doc_id stays a row and never names a component unless nothing else
@@ -223,8 +225,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
     """Spanning links (a, b) among distinct fingerprints ``fp`` within the radius."""
     dealt = distinct.select("fp", F.explode(F.array(*[F.expr(k) for k in shard_keys()])).alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n"))
-    # A fingerprint alone in a shard has no link there.
-    shared = dealt.join(sizes.where("n > 1"), "key")
+    # A fingerprint alone in a shard has no link there.  By merging: to the planner 16 rows of an array look like one.
+    shared = dealt.join(sizes.where("n > 1").hint("merge"), "key")
     parts = F.ceil(F.col("n") / TREE_QUERIES).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts)
     placed = shared.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(
@@ -318,7 +320,7 @@ def radius_pairs(distinct: DataFrame) -> DataFrame:
     """Candidates ``a, b`` of the radius: every text with the smallest of its fingerprint, and those of linked fingerprints."""
     least = stored(distinct.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "simhash-least")
     same = join_counted(distinct.select("node", "fp"), least, "fp", "n").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"__{c}"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"__{c}")).hint("merge")
     linked = near_links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
     return _ordered(same.unionByName(linked))
 
@@ -340,7 +342,7 @@ def band_pairs(live: DataFrame) -> DataFrame:
     first = dealt.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("node"))).where(F.col("nth") <= F.least("most", F.lit(max(HEADS))))
     heads = stored(first.groupBy("key").agg(F.collect_list("node").alias("heads")), "simhash-heads")
     # A text has each head once, whatever buckets they share.
-    met = dealt.join(heads, "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+    met = dealt.join(heads.hint("merge"), "key").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
     smaller = met.select("node", F.filter("heads", lambda h: h < F.col("node")).alias("heads"))
     return _ordered(smaller.select(F.col("node").alias("a"), F.explode("heads").alias("b")))
 
@@ -368,7 +370,7 @@ def bucket_pairs(live: DataFrame, fresh: DataFrame | None = None, without: DataF
     mine = dealt(live if fresh is None else fresh)
     other = (mine if fresh is None else dealt(live)).select(F.col("node").alias("b"), F.col("size").alias("m"), "key")
     order = F.col("node") < F.col("b") if fresh is None else F.col("node") != F.col("b")
-    return _ordered(mine.join(other, "key").where(order & _may_reach("size", "m")).select(F.col("node").alias("a"), "b"))
+    return _ordered(mine.join(other.hint("merge"), "key").where(order & _may_reach("size", "m")).select(F.col("node").alias("a"), "b"))
 
 
 def slot_counts(texts: DataFrame) -> np.ndarray:
@@ -427,7 +429,7 @@ def rare_pairs(rare: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
     order = F.col("node") < F.col("b") if fresh is None else F.col("node") != F.col("b")
     least = F.ceil((F.col("size") + F.col("m")) * (LEAST_JACCARD / (1 + LEAST_JACCARD)) - 1e-6)
     enough = (F.col("size") - F.col("nth") >= least) & (F.col("m") - F.col("mth") >= least)
-    return _ordered(mine.join(other, "shingle").where(order & _may_reach("size", "m") & enough).select(F.col("node").alias("a"), "b"))
+    return _ordered(mine.join(other.hint("merge"), "shingle").where(order & _may_reach("size", "m") & enough).select(F.col("node").alias("a"), "b"))
 
 
 def texts_of(rows: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -439,7 +441,8 @@ def texts_of(rows: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFram
 def similar(rows: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the stored ``pairs`` whose texts reach ``LEAST_JACCARD``; ``distinct`` has each node's row as ``first``."""
     texts = texts_of(rows, distinct, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    of = lambda c, text: texts.select(F.col("node").alias(c), F.col("text").alias(text)).hint("merge")
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
 
     def run(batches):
         for t in sliced(batches):
