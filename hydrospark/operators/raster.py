@@ -174,7 +174,9 @@ def resample(target: DataFrame, source: DataFrame, target_grid: Grid, source_gri
         rows = rows.withColumn("__p", F.struct(x.alias("x"), y.alias("y")))
     if method == "nearest":
         cell = X.cell_of(F.col("__p")["x"], F.col("__p")["y"], source_grid)
-        pairs = rows.select("row", "col", cell["row"].alias("__r"), cell["col"].alias("__c"))
+        # No cell has the number of none; where a place can't be null, no filter has ``to_source`` worked once more and by itself.
+        known = lambda c: F.coalesce(cell[c], F.lit(-(1 << 31)))
+        pairs = rows.select("row", "col", known("row").alias("__r"), known("col").alias("__c"))
         return pairs.join(source.select(F.col("row").alias("__r"), F.col("col").alias("__c"), value), ["__r", "__c"], "left").select("row", "col", value)
     a, b, c, d, e, f = source_grid
     det = a * e - b * d
@@ -213,9 +215,12 @@ def reproject(source: DataFrame, source_grid: Grid, target_grid: Grid, to_target
     spare = lambda lo, hi: 1 + F.ceil((F.col(hi) - F.col(lo)) / 50)
     span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - spare(lo, hi)) / tile), F.floor((F.col(hi) + spare(lo, hi)) / tile))
     touched = boxes.select(F.explode(span("r0", "r1")).alias("tr"), span("c0", "c1").alias("tcs")).select("tr", F.explode("tcs").alias("tc")).distinct()
-    laid = touched.select("tr", "tc", F.explode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("i")).select((F.col("tr") * tile + F.col("i")).cast("int").alias("row"), "tc", F.explode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("j"))
+    rows = touched.select("tr", "tc", F.explode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("i")).select((F.col("tr") * tile + F.col("i")).cast("int").alias("row"), "tc")
+    # Few rows until here, but as many cells as the target has from here on: they are dealt to tasks and not broadcast.
+    rows = rows.repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "tc")
+    laid = rows.select("row", "tc", F.explode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("j"))
     target = laid.select("row", (F.col("tc") * tile + F.col("j")).cast("int").alias("col"))
-    return resample(target, source, target_grid, source_grid, value, method, to_source).where(F.col(value).isNotNull())
+    return resample(target, source.hint("merge"), target_grid, source_grid, value, method, to_source).where(F.col(value).isNotNull())
 
 
 def adaptive_resolution(boxes: DataFrame, width: str, height: str, base: float, max_cells: int = 12_000_000, steps: Sequence[float] = (2, 3, 4, 5, 6, 8, 10, 12, 15, 20)) -> DataFrame:
