@@ -157,7 +157,11 @@ def height_above_drain(pointers: DataFrame, elevation: DataFrame, drains: DataFr
 
 def seeded_components(cells: DataFrame, links: DataFrame, seeds: DataFrame, least: int = 1) -> DataFrame:
     """``(id, root)`` of the components that hold a seed and have at least ``least`` nodes."""
-    label = cells.select("id").join(components(links).withColumnsRenamed({"node": "id"}), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return seeded(cells.select("id").join(components(links).withColumnsRenamed({"node": "id"}), "id", "left").select("id", F.coalesce("root", "id").alias("root")), seeds, least)
+
+
+def seeded(label: DataFrame, seeds: DataFrame, least: int = 1) -> DataFrame:
+    """``seeded_components`` of nodes that have their root: ``label`` has ``id, root``."""
     big = label.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("root")
     touched = label.join(seeds.select("id"), "id", "left_semi").select("root").distinct()
     return label.join(big, "root", "left_semi").join(touched, "root", "left_semi").select("id", "root")

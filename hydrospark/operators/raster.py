@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from hydrospark.functions import columns as X
 from hydrospark.functions import constants as C
+from hydrospark.operators import graph as G
 from hydrospark.operators.order import percentiles
 from hydrospark.session import ship
 
@@ -73,13 +74,69 @@ def pointers(directions: DataFrame, ncols: int) -> DataFrame:
     return directions.select(cell_id(ncols), (F.col("ds_row").cast("long") * ncols + F.col("ds_col")).alias("ptr"))
 
 
+def _half(connectivity: int) -> list[tuple[int, int]]:
+    return [(0, 1), (1, 0)] if connectivity == 4 else [(0, 1), (1, -1), (1, 0), (1, 1)]
+
+
 def links(cells: DataFrame, ncols: int, connectivity: int = 8) -> DataFrame:
     """Links ``(a, b)`` between neighbouring cells of a mask: half of the neighbours are enough."""
-    half = [(0, 1), (1, 0)] if connectivity == 4 else [(0, 1), (1, -1), (1, 0), (1, 1)]
+    half = _half(connectivity)
     shifted = cells.select((F.col("row").cast("long") * ncols + F.col("col")).alias("a"), F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in half])).alias("s")).select("a", "s.row", "s.col")
     return shifted.join(cells.select("row", "col"), CELL).select("a", (F.col("row").cast("long") * ncols + F.col("col")).alias("b"))
 
 
+def labels(cells: DataFrame, ncols: int, connectivity: int = 8, tile: int = SECTION_TILE) -> DataFrame:
+    """``(id, root)`` of every cell of a mask; root is the smallest id of its component.
+
+    Tiles are labelled alone, each a group of at most ``tile`` by ``tile`` cells.  The graph that is left for rounds has a node for
+    each component of a tile, and links only where rims of tiles meet, so rounds do not move cells.
+    """
+    ship(cells.sparkSession)
+    half = _half(connectivity)
+    known = cells.select(*CELL).where("row is not null and col is not null")
+    kinds = [StructField(c, known.schema[c].dataType) for c in CELL]
+
+    def run(t: pa.Table) -> pa.Table:
+        r, c = (t[n].to_numpy().astype(np.int64) for n in CELL)
+        ids, part = r * ncols + c, _labelled(r, c, half)
+        own = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(own, part, ids)
+        return pa.Table.from_arrays([t["row"], t["col"], pa.array(ids), pa.array(own[part])], names=[*CELL, "id", "own"])
+
+    at = lambda c: F.floor(F.col(c) / tile)
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = known.withColumns({"__tr": at("row"), "__tc": at("col")}).repartition(n, "__tr", "__tc").groupBy("__tr", "__tc")
+    local = G.checkpointed(dealt.applyInArrow(lambda t: run(t.select(CELL)), StructType([*kinds, StructField("id", LongType()), StructField("own", LongType())])))
+    rim = local.where(" or ".join(f"pmod({c}, {tile}) in (0, {tile - 1})" for c in CELL))
+    beyond = rim.select(F.col("own").alias("a"), *[at(c).alias(f"__{c}") for c in CELL], F.explode(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in half])).alias("s")).select("a", "__row", "__col", "s.row", "s.col")
+    met = beyond.where((at("row") != F.col("__row")) | (at("col") != F.col("__col"))).join(rim.select(*CELL, F.col("own").alias("b")), CELL).select("a", "b").distinct()
+    groups = G.components(met)
+    return local.join(groups, F.col("own") == F.col("node"), "left").select("id", F.coalesce("root", "own").alias("root"))
+
+
+def _labelled(row: np.ndarray, col: np.ndarray, half: Sequence[tuple[int, int]]) -> np.ndarray:
+    """For each cell the number of its component, below that of cells; cells may come twice."""
+    width = int(col.max() - col.min()) + 3
+    key, back = np.unique((row - row.min()) * width + col - col.min() + 1, return_inverse=True)
+    top = np.arange(len(key))
+    a, b = [], []
+    for dr, dc in half:
+        to = key + dr * width + dc
+        near = np.minimum(np.searchsorted(key, to), len(key) - 1)
+        ok = np.flatnonzero(key[near] == to)
+        a.append(ok)
+        b.append(near[ok])
+    a, b = np.concatenate(a), np.concatenate(b)
+    while len(a):
+        # Every top with a lower neighbour goes, at least half of those that have one.
+        np.minimum.at(top, np.maximum(top[a], top[b]), np.minimum(top[a], top[b]))
+        while not np.array_equal(top, top[top]):
+            top = top[top]
+        apart = top[a] != top[b]
+        a, b = a[apart], b[apart]
+    return top[back]
+
+
 def overlay(first: DataFrame, *others: DataFrame, how: str = "inner") -> DataFrame:
     """Co-registered rasters side by side; all joins are on (row, col), so one partitioning serves."""
     for o in others:

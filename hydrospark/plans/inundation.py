@@ -83,10 +83,9 @@ def screen(terrain: DataFrame, mainstem: DataFrame, profile: DataFrame, s: Scree
     base = Gr.checkpointed(R.masked(base, drop=[corridor, mainstem]))
     dry = Gr.checkpointed(R.masked(terrain, drop=[corridor, mainstem]))
     seeds = Gr.checkpointed(B.seeds(section, dry, s.grid, ["section_id"], least_depth=s.min_depth_m, passable=F.col("hand").between(-1e-6, s.max_hand_m)))
-    ids = base.select(R.cell_id(s.ncols))
     # Seeds outside the candidates open the candidates next to them.
     around = seeds.select("row", "col").unionByName(seeds.select(F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in (R.FOUR if s.connectivity == 4 else R.EIGHT)])).alias("n")).select("n.row", "n.col")).distinct()
-    kept = Gr.seeded_components(ids, R.links(base, s.ncols, s.connectivity), around.select(R.cell_id(s.ncols)), s.min_component_pixels)
+    kept = Gr.seeded(Gr.checkpointed(R.labels(base, s.ncols, s.connectivity)), around.select(R.cell_id(s.ncols)), s.min_component_pixels)
     potential = Gr.checkpointed(base.withColumn("id", F.col("row").cast("long") * s.ncols + F.col("col")).join(kept.select("id"), "id", "left_semi").drop("id"))
     excess, budget, source = budget_m3(s, hydrograph)
     filled = T.volume_limited_fill(potential, seeds, budget, "depth", "ground", s.grid, s.connectivity, s.uphill_penalty)

@@ -155,7 +155,7 @@ def components(spark, d):
     """8-connected groups of three cells or more over 0.12 that hold a cell over 0.3."""
     m = _cells(spark, d).where("value > 0.12")
     seeds = m.where("value > 0.3").select(R.cell_id(NCOLS))
-    return G.seeded_components(m.select(R.cell_id(NCOLS)), R.links(m, NCOLS), seeds, 3)
+    return G.seeded(G.checkpointed(R.labels(m, NCOLS)), seeds, 3)
 
 
 COMPONENT_SQL = _C + f""", m AS (SELECT row, col, row * {NCOLS} + col AS id, value FROM cells WHERE value > 0.12),

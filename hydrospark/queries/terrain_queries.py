@@ -44,8 +44,7 @@ def volume_limited_fill(spark, d):
 def outlines(spark, d):
     """Outlines of the connected cells over 0.2, ring by ring, with their areas."""
     m = _cells(spark, d).where("value > 0.2")
-    ids = m.select(R.cell_id(NCOLS))
-    parts = Gr.seeded_components(ids, R.links(m, NCOLS, 4), ids, 1)
+    parts = Gr.checkpointed(R.labels(m, NCOLS, 4))
     named = parts.select("root", F.floor(F.col("id") / NCOLS).cast("int").alias("row"), (F.col("id") % NCOLS).cast("int").alias("col"))
     return G.ring_table(named, GRID, ["root"]).groupBy("root").agg(F.sum("n_points").alias("corners"), F.round(F.sum("area"), 4).alias("area_m2"))
 
