@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -429,8 +430,14 @@ def running_fill(cells: DataFrame, budget_m3: float, cost: str, depth: str, grid
     ok = cells.where((F.col(depth) > 0) & F.col(cost).isNotNull())
     cuts, rows = ok.approxQuantile([cost, "row"], [i / n for i in range(1, n)], 0.001) if n > 1 else ([], [])
     frequent = sorted({x for x in cuts if cuts.count(x) > 1})
-    below = lambda c, at: sum((F.col(c) > x).cast("int") for x in sorted(set(at)))
-    part = F.lit(0) + below(cost, cuts)
+    ship(cells.sparkSession)
+
+    def below(c: str, at: list[float]) -> Column:
+        """How many of the cuts are below; by a search, as there are as many cuts as tasks."""
+        found = np.unique(np.array(at, float))
+        return F.when(F.col(c).isNotNull(), F.pandas_udf(lambda v: pd.Series(np.searchsorted(found, v.to_numpy(float))), "long")(F.col(c)))
+
+    part = below(cost, cuts)
     band = F.when(F.col(cost).isin(frequent), 1 + below("row", rows)).otherwise(0) if frequent else F.lit(0)
     ranged = ok.withColumns({"__p": part * (n + 1) + band, "__v": F.col(depth) * area})
     sums = {r["__p"]: r["s"] for r in ranged.groupBy("__p").agg(F.sum("__v").alias("s")).collect()}
@@ -438,7 +445,7 @@ def running_fill(cells: DataFrame, budget_m3: float, cost: str, depth: str, grid
     for p in sorted(sums):
         before[p] = total
         total += sums[p]
-    offset = F.element_at(F.create_map(*[x for p, b in before.items() for x in (F.lit(p), F.lit(b))]), F.col("__p")) if before else F.lit(0.0)
+    offset = F.element_at(F.create_map(*[x for p, b in before.items() for x in (F.lit(p).cast("long"), F.lit(b))]), F.col("__p")) if before else F.lit(0.0)
     w = W.partitionBy("__p").orderBy(cost, "row", "col").rowsBetween(W.unboundedPreceding, 0)
     run = ranged.withColumn("__cum", F.sum("__v").over(w) + offset)
     prev = F.col("__cum") - F.col("__v")
